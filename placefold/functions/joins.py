@@ -29,6 +29,8 @@ def salted_lookup(
     the lookup is small, Spark still broadcasts it by its measured size.
     """
     n = salts or salt_count(fact)
-    spread = fact.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(n)).cast("int"))
+    # Never null, so that an inner join infers no extra filter on the hash.
+    salt = F.coalesce(F.pmod(F.xxhash64(spread_by), F.lit(n)).cast("int"), F.lit(0))
+    spread = fact.withColumn("_salt", salt)
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return spread.join(repeated, [key, "_salt"], how).drop("_salt")

@@ -14,10 +14,13 @@ ADDRESS_DDL = (
 def decode(c: Column, ddl: str) -> Column:
     """Parsed JSON, null when the text is not JSON of that shape.
 
-    ``from_json`` alone answers bad text with a struct of nulls, so the text
-    is checked with ``try_parse_json`` first.
+    For an array ``from_json`` does just that. For a struct it answers bad text
+    with a struct of nulls, so there the text is checked first.
     """
-    return F.when(F.try_parse_json(c).isNotNull(), F.from_json(c, ddl))
+    value = F.from_json(c, ddl)
+    if ddl.startswith("array"):
+        return value
+    return F.when(F.try_parse_json(c).isNotNull(), value)
 
 
 def encode(c: Column, default: str) -> Column:
@@ -27,5 +30,5 @@ def encode(c: Column, default: str) -> Column:
 
 def setting(c: Column, field: str, ddl: str, default) -> Column:
     """One field of a settings text, ``default`` when missing or broken."""
-    value = decode(c, f"struct<{field}: {ddl}>").getField(field)
+    value = F.from_json(c, f"struct<{field}: {ddl}>").getField(field)
     return F.coalesce(value, F.lit(default).cast(ddl))

@@ -117,6 +117,13 @@ EXPORT_FIELDS: dict[str, str] = {
 }
 
 
+# Listing columns that an export reads.
+EXPORT_COLUMNS = (
+    "id", "city", "area", "state_region", "postcode", "country", "name", "category", "categories",
+    "phone", "website", "address", "review_count", "review_rating", "place_id", "link",
+)
+
+
 def available_names(columns: Iterable[Mapping[str, str]]) -> set[str]:
     """All names a sink's column descriptions go by."""
     labels = ("column_name", "name", "title", "displayName")

@@ -204,19 +204,20 @@ def _span(low: Column, high: Column, per_degree: int) -> Column:
     return F.sequence(cell_of(low, per_degree), cell_of(high, per_degree))
 
 
-def _touches_box() -> Column:
-    """Edge and box of one joined row share a point.
+def _touches(edge: Column) -> Column:
+    """The edge and the box of this row share a point.
 
     Their extents overlap and the four corners are not all strictly on one
     side of the edge's line.
     """
+    lon1, lon2 = edge.getField("lon1"), edge.getField("lon2")
+    lat1, lat2 = edge.getField("lat1"), edge.getField("lat2")
     overlap = (
-        (F.greatest("lon1", "lon2") >= F.col("west"))
-        & (F.least("lon1", "lon2") <= F.col("east"))
-        & (F.greatest("lat1", "lat2") >= F.col("south"))
-        & (F.least("lat1", "lat2") <= F.col("north"))
+        (F.greatest(lon1, lon2) >= F.col("west"))
+        & (F.least(lon1, lon2) <= F.col("east"))
+        & (F.greatest(lat1, lat2) >= F.col("south"))
+        & (F.least(lat1, lat2) <= F.col("north"))
     )
-    edge = F.struct("lon1", "lat1", "lon2", "lat2")
     sides = [
         _side(edge, F.col(lon), F.col(lat)) for lon in ("west", "east") for lat in ("south", "north")
     ]
@@ -229,40 +230,27 @@ def boxes_meet_polygons(
     """Whether each box (box_id, geom_id, sides) meets its own geometry.
 
     True when an edge touches the box or the box's south-west corner lies in a
-    part; true as well for boxes whose geometry is not known. Boxes and edges
-    meet on shared grid cells of one geometry, and a box found in many cells
-    is reduced to one flag before the shuffle.
+    part; true as well for boxes whose geometry is not known. Boxes meet the
+    parts of their geometry in one join on shared grid cells: each cell answers
+    for the edges in it and the corner's cell also for the corner. The answers
+    of a box are combined before the shuffle.
     """
+    here = (F.col("cx") == cell_of(F.col("west"), per_degree)) & (
+        F.col("cy") == cell_of(F.col("south"), per_degree)
+    )
+    hit = F.exists("edges", _touches) | (
+        here & holds_point(F.col("edges"), F.col("west"), F.col("south"))
+    )
     box_cells = boxes.select(
         "box_id", "geom_id", "south", "west", "north", "east",
         F.explode(_span(F.col("west"), F.col("east"), per_degree)).alias("cx"),
     ).select("*", F.explode(_span(F.col("south"), F.col("north"), per_degree)).alias("cy"))
-    edge_cells = edges.select(
-        "geom_id", "lon1", "lat1", "lon2", "lat2",
-        F.explode(
-            _span(F.least("lon1", "lon2"), F.greatest("lon1", "lon2"), per_degree)
-        ).alias("cx"),
-    ).select(
-        "*",
-        F.explode(
-            _span(F.least("lat1", "lat2"), F.greatest("lat1", "lat2"), per_degree)
-        ).alias("cy"),
+    answers = (
+        box_cells.join(cell_index(edges, per_degree), ["geom_id", "cx", "cy"], "left")
+        .groupBy("box_id", "geom_id")
+        .agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("hit"))
     )
-    touched = (
-        box_cells.join(edge_cells, ["geom_id", "cx", "cy"]).where(_touches_box()).select("box_id")
-    )
-    corners = boxes.select(
-        "box_id", "geom_id", F.col("west").alias("lon"), F.col("south").alias("lat")
-    )
-    within = points_in_polygons(corners, edges, ("geom_id",), per_degree).select("box_id")
     shaped = edges.select("geom_id").distinct().withColumn("has_shape", F.lit(True))
-    hits = touched.union(within).distinct().withColumn("hit", F.lit(True))
-    return (
-        boxes.join(shaped, "geom_id", "left")
-        .join(hits, "box_id", "left")
-        .select(
-            "box_id",
-            "geom_id",
-            (F.col("has_shape").isNull() | F.col("hit").isNotNull()).alias("intersects"),
-        )
+    return answers.join(shaped, "geom_id", "left").select(
+        "box_id", "geom_id", (F.col("has_shape").isNull() | F.col("hit")).alias("intersects")
     )

@@ -19,7 +19,8 @@ DUE_AS_OF = "2024-01-31 00:20:00"
 
 def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = view(spark, sf_dir, "listing_jobs")
-    return op.export_rows(golden_listings(spark, sf_dir), jobs, SOURCE, "id")
+    leads = golden_listings(spark, sf_dir, *op.EXPORT_COLUMNS)
+    return op.export_rows(leads, jobs, SOURCE, "id")
 
 
 def csv_export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,13 +41,15 @@ def sync_state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delta_since_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sync.undelivered(golden_listings(spark, sf_dir), _state(spark, sf_dir)).select(
+    leads = golden_listings(spark, sf_dir, "id", "name", "phone", "website")
+    return sync.undelivered(leads, _state(spark, sf_dir)).select(
         "job_id", "id", "dedupe_key", "name", "phone", "website"
     )
 
 
 def changed_since_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sync.changed_since(golden_listings(spark, sf_dir), _state(spark, sf_dir)).select(
+    leads = golden_listings(spark, sf_dir, "id", "updated_at")
+    return sync.changed_since(leads, _state(spark, sf_dir)).select(
         "job_id", "id", "dedupe_key", "updated_at"
     )
 
@@ -54,7 +57,7 @@ def changed_since_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.sync_overview(
         view(spark, sf_dir, "listing_jobs"),
-        golden_listings(spark, sf_dir),
+        golden_listings(spark, sf_dir, "id"),
         _state(spark, sf_dir),
         INTERVAL_MINUTES,
     )

@@ -25,9 +25,9 @@ def normalized_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize(parsed, "seq", "job_id", "observed_at")
 
 
-def golden_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Golden rows of the parsed records."""
-    return merge(as_sightings(normalized_records(spark, sf_dir)))
+def golden_listings(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Golden rows of the parsed records, all or only some columns."""
+    return merge(as_sightings(normalized_records(spark, sf_dir)), columns=columns or None)
 
 
 def golden_observations(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

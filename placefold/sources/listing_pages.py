@@ -8,16 +8,24 @@ ratings and counts are cut out of them by column expressions afterwards.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import html_tree
 from .html_tree import Element, Match, find_all, find_first, parse_html
 
+# The extractor travels to the executors inside its task, so that they need no
+# copy of this package.
+for _module in (html_tree, sys.modules[__name__]):
+    cloudpickle.register_pickle_by_value(_module)
+
 RAW_RECORD = (
     "struct<name: string, href: string, path: string, phone_text: string, tel_href: string, "
     "website: string, street: string, locality: string, full_address: string, "
@@ -216,10 +224,11 @@ def raw_pages(
 ) -> DataFrame:
     """``carry`` columns, count text and raw records of each page.
 
-    Pages without the layout's marker have no listing; they are answered
-    without Python.
+    One pass over the pages. Those without the layout's marker have no
+    listing; their text is not handed to Python.
     """
-    kept = pages.select(*carry, html)
+    marked = F.when(F.col(html).contains(profile.marker), F.col(html)).alias(html)
+    kept = pages.select(*carry, marked)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.drop(html).schema)
     schema += f", count_text string, records array<{RAW_RECORD}>"
 
@@ -227,19 +236,13 @@ def raw_pages(
         for batch in batches:
             counts, records = [], []
             for page in batch[html]:
-                root = parse_html(page)
+                root = parse_html(page or "")
                 counts.append(_count_text(root, profile))
                 cards = (_record(c, profile, own_host) for c in find_all(root, profile.card))
                 records.append([r for r in cards if r])
             yield batch.drop(columns=[html]).assign(count_text=counts, records=records)
 
-    marked = F.coalesce(F.col(html).contains(profile.marker), F.lit(False))
-    none = F.array().cast(f"array<{RAW_RECORD}>")
-    with_cards = kept.where(marked).mapInPandas(extract, schema)
-    without = kept.where(~marked).select(
-        *carry, F.lit(None).cast("string").alias("count_text"), none.alias("records")
-    )
-    return with_cards.union(without)
+    return kept.mapInPandas(extract, schema)
 
 
 def page_summary(raw: DataFrame, profile: Profile) -> DataFrame:
