@@ -20,7 +20,7 @@ def decode(c: Column, ddl: str) -> Column:
     value = F.from_json(c, ddl)
     if ddl.startswith("array"):
         return value
-    return F.when(F.try_parse_json(c).isNotNull(), value)
+    return F.when(F.try_parse_json(c).isNotNull() & (F.trim(c) != "null"), value)
 
 
 def encode(c: Column, default: str) -> Column:

@@ -220,17 +220,24 @@ def _record(card: Element, profile: Profile, own_host: str) -> dict | None:
 
 
 def raw_pages(
-    pages: DataFrame, profile: Profile, own_host: str, *carry: str, html: str = "html"
+    pages: DataFrame,
+    profile: Profile,
+    own_host: str,
+    *carry: str,
+    html: str = "html",
+    with_counts: bool = True,
 ) -> DataFrame:
     """``carry`` columns, count text and raw records of each page.
 
-    One pass over the pages. Those without the layout's marker have no
-    listing; their text is not handed to Python.
+    When the count text is not needed, pages without the layout's marker,
+    which have no listing, are not handed to Python.
     """
-    marked = F.when(F.col(html).contains(profile.marker), F.col(html)).alias(html)
-    kept = pages.select(*carry, marked)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.drop(html).schema)
-    schema += f", count_text string, records array<{RAW_RECORD}>"
+    text = F.col(html)
+    if not with_counts:
+        text = F.when(text.contains(profile.marker), text)
+    kept = pages.select(*carry, text.alias(html))
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in kept.drop(html).schema]
+    schema = ", ".join([*fields, "count_text string", f"records array<{RAW_RECORD}>"])
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -307,4 +314,5 @@ def extract_listings(
 ) -> DataFrame:
     """Parsed records of stored pages; ``base_url`` is the directory's own site."""
     own_host = re.sub(r"^https?://(www\.)?", "", base_url).split(".")[0]
-    return listing_records(raw_pages(pages, profile, own_host, *carry), profile, base_url, *carry)
+    raw = raw_pages(pages, profile, own_host, *carry, with_counts=False)
+    return listing_records(raw, profile, base_url, *carry)
