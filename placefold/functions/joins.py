@@ -1,8 +1,8 @@
-"""Joins of a large fact table to a per-key lookup under key skew."""
+"""Lookups and top-k per key that hold when one key has most of the rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,11 @@ def salt_count(df: DataFrame) -> int:
     return max(4, min(256, width // 4))
 
 
+def _salt(spread_by: Column, salts: int) -> Column:
+    # Never null, so that an inner join infers no extra filter on the hash.
+    return F.coalesce(F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"), F.lit(0))
+
+
 def salted_lookup(
     fact: DataFrame,
     lookup: DataFrame,
@@ -29,8 +34,32 @@ def salted_lookup(
     the lookup is small, Spark still broadcasts it by its measured size.
     """
     n = salts or salt_count(fact)
-    # Never null, so that an inner join infers no extra filter on the hash.
-    salt = F.coalesce(F.pmod(F.xxhash64(spread_by), F.lit(n)).cast("int"), F.lit(0))
-    spread = fact.withColumn("_salt", salt)
+    spread = fact.withColumn("_salt", _salt(spread_by, n))
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return spread.join(repeated, [key, "_salt"], how).drop("_salt")
+
+
+def top_per_key(
+    df: DataFrame,
+    key: str,
+    order: list[Column],
+    n: int,
+    rank: str,
+    spread_by: Column,
+    salts: int | None = None,
+) -> DataFrame:
+    """The first ``n`` rows of every key with their position in ``rank``.
+
+    Spark cuts each input partition to ``n`` rows per group before it shuffles
+    (window group limit). With very many input partitions that is still a lot
+    for one hot key, so the key is first cut per salt and then as a whole: the
+    last step gets at most n x salts rows of a key.
+    """
+    parts = salts or salt_count(df)
+    spread = df.withColumn("_salt", _salt(spread_by, parts))
+    within = Window.partitionBy(key, "_salt").orderBy(*order)
+    cut = spread.withColumn(rank, F.row_number().over(within)).where(F.col(rank) <= n)
+    whole = Window.partitionBy(key).orderBy(*order)
+    return (
+        cut.drop("_salt").withColumn(rank, F.row_number().over(whole)).where(F.col(rank) <= n)
+    )

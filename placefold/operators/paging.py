@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import top_per_key
 from ..functions.text import nonempty, result_total
 
 MAX_PAGE_ROWS = 1000
@@ -51,16 +52,14 @@ def task_counts(shards: DataFrame) -> DataFrame:
 
 
 def task_errors(shards: DataFrame, limit: int = 25) -> DataFrame:
-    """The newest ``limit`` tasks with an error of every job.
-
-    The rank filter runs before the shuffle too (window group limit), so a job
-    sends at most ``limit`` rows from each input partition.
-    """
-    newest = Window.partitionBy("job_id").orderBy(F.col("updated_at").desc(), F.col("id").desc())
-    return (
-        shards.where(nonempty(F.col("last_error")))
-        .withColumn("position", F.row_number().over(newest))
-        .where(F.col("position") <= clamp(limit, 1, MAX_ERROR_ROWS))
+    """The newest ``limit`` tasks with an error of every job."""
+    return top_per_key(
+        shards.where(nonempty(F.col("last_error"))),
+        "job_id",
+        [F.col("updated_at").desc(), F.col("id").desc()],
+        clamp(limit, 1, MAX_ERROR_ROWS),
+        rank="position",
+        spread_by=F.col("id"),
     )
 
 

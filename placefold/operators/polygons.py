@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import EARTH_RADIUS_M, cell_of, make_box
+from ..functions.joins import top_per_key
 
 CELLS_PER_DEGREE = 1
 
@@ -55,13 +56,20 @@ def seed_boxes(
     (all parts) is reached or ``max_seeds`` are taken; parts below
     ``min_part_ratio`` are left out, except that the largest always stays.
 
-    The rank cut comes first and runs before the shuffle too (window group
-    limit), so at most ``max_seeds`` parts of a country reach the running sum.
+    The rank cut comes first, so at most ``max_seeds`` parts of a country reach
+    the running sum.
     """
     parts = part_measures(edges).where(F.col("area") > 0)
     totals = parts.groupBy("geom_id").agg(F.sum("area").alias("total"))
     largest = Window.partitionBy("geom_id").orderBy(F.col("area").desc(), "part_id")
-    top = parts.withColumn("seed", F.row_number().over(largest)).where(F.col("seed") <= max_seeds)
+    top = top_per_key(
+        parts,
+        "geom_id",
+        [F.col("area").desc(), F.col("part_id")],
+        max_seeds,
+        rank="seed",
+        spread_by=F.col("part_id"),
+    )
     before = largest.rowsBetween(Window.unboundedPreceding, -1)
     chosen = (
         top.join(totals, "geom_id")
@@ -126,37 +134,29 @@ def cell_index(edges: DataFrame, per_degree: int = CELLS_PER_DEGREE) -> DataFram
 
     Those are the edges that reach the cell's latitude band and are not wholly
     west of the cell: the others cannot cross an eastward ray from inside it.
-    One row of a part holds the part's edges, as its source geometry does.
+    Edges are gathered per part and band, never as a whole polygon; a finer
+    grid (``per_degree``) makes shorter lists.
     """
     edge = F.struct("lon1", "lat1", "lon2", "lat2")
-    row = lambda c: cell_of(c, per_degree)
-    parts = edges.groupBy("geom_id", "part_id").agg(
-        F.collect_list(edge).alias("edges"),
-        F.min("lat1").alias("south"),
-        F.min("lon1").alias("west"),
-        F.max("lat1").alias("north"),
-        F.max("lon1").alias("east"),
-    )
-    bands = parts.withColumn("cy", F.explode(F.sequence(row(F.col("south")), row(F.col("north"))))).withColumn(
-        "edges",
-        F.filter(
-            "edges",
-            lambda e: F.col("cy").between(
-                row(F.least(e.getField("lat1"), e.getField("lat2"))),
-                row(F.greatest(e.getField("lat1"), e.getField("lat2"))),
-            ),
-        ),
+    low, high = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
+    column = lambda c: cell_of(c, per_degree)
+    bands = (
+        edges.withColumn("cy", F.explode(_span(low, high, per_degree)))
+        .groupBy("geom_id", "part_id", "cy")
+        .agg(
+            F.collect_list(edge).alias("edges"),
+            F.min(F.least("lon1", "lon2")).alias("west"),
+            F.max(F.greatest("lon1", "lon2")).alias("east"),
+        )
     )
-    return bands.withColumn(
-        "cx", F.explode(F.sequence(row(F.col("west")), row(F.col("east"))))
-    ).select(
+    return bands.withColumn("cx", F.explode(_span(F.col("west"), F.col("east"), per_degree))).select(
         "geom_id",
         "part_id",
         "cx",
         "cy",
         F.filter(
             "edges",
-            lambda e: row(F.greatest(e.getField("lon1"), e.getField("lon2"))) >= F.col("cx"),
+            lambda e: column(F.greatest(e.getField("lon1"), e.getField("lon2"))) >= F.col("cx"),
         ).alias("edges"),
     )
 

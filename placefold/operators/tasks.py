@@ -293,6 +293,43 @@ def fold_marks(marks: DataFrame) -> DataFrame:
     )
 
 
+def job_lifecycle_fold(log: DataFrame) -> DataFrame:
+    """Current state of each job from its event log, by partial aggregates only.
+
+    Events: created, seeded, paused, resumed, canceled, failed and finalized
+    (which carries the final ``status`` and may carry artifact paths). Resuming
+    a job that was never seeded puts it back in the queue.
+    """
+    seq, event = F.col("seq"), F.col("event")
+    seeded_at = F.min(F.when(event == "seeded", seq))
+    folded = log.groupBy("job_id").agg(
+        F.max_by(F.struct("event", "status", "message", seq.alias("at")), seq).alias("last"),
+        F.min(F.when(event == "created", F.col("ts"))).alias("created_at"),
+        F.min_by("ts", F.when(event == "seeded", seq)).alias("started_at"),
+        seeded_at.alias("seeded_at"),
+        F.max_by("ts", F.when(event.isin("canceled", "failed", "finalized"), seq)).alias("finished_at"),
+        F.max_by("artifact", F.when(F.col("artifact").isNotNull(), seq)).alias("artifact"),
+        F.max_by("ts", seq).alias("updated_at"),
+    )
+    last = F.col("last.event")
+    started = F.coalesce(F.col("seeded_at") < F.col("last.at"), F.lit(False))
+    status = (
+        F.when(last == "created", "pending")
+        .when(last == "seeded", "running")
+        .when(last == "resumed", F.when(started, "running").otherwise("pending"))
+        .when(last == "finalized", F.col("last.status"))
+        .otherwise(last)
+    )
+    message = (
+        F.when(F.col("status") == "pending", "Queued")
+        .when(F.col("status") == "running", "Running")
+        .when(last == "paused", "Paused by operator.")
+        .when(last == "canceled", "Canceled")
+        .otherwise(F.col("last.message"))
+    )
+    return folded.withColumn("status", status).withColumn("message", message).drop("last", "seeded_at")
+
+
 def stale(cutoff: Column) -> Column:
     return (F.col("status") == "running") & (F.col("updated_at") <= cutoff)
 

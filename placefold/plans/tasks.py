@@ -41,6 +41,10 @@ def lifecycle_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.lifecycle_fold(view(spark, sf_dir, "shard_events"))
 
 
+def job_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.job_lifecycle_fold(view(spark, sf_dir, "job_events"))
+
+
 def owned_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.owned_writes(view(spark, sf_dir, "shard_events"))
 
@@ -141,6 +145,22 @@ QUERIES = {
             SELECT shard_id, status, attempts AS attempt_count, err AS last_error, updated_seq FROM replay""",
         ),
     ),
+    "job_lifecycle": (
+        job_lifecycle,
+        with_views(
+            "job_events",
+            """, m AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS back,
+                min(CASE WHEN event = 'seeded' THEN seq END) OVER (PARTITION BY job_id) AS seeded_at FROM job_events),
+            l AS (SELECT *, CASE WHEN event = 'created' OR (event = 'resumed' AND coalesce(seeded_at >= seq, TRUE)) THEN 'pending'
+                WHEN event IN ('seeded', 'resumed') THEN 'running' WHEN event = 'finalized' THEN status ELSE event END AS now FROM m WHERE back = 1),
+            a AS (SELECT job_id, min(ts) FILTER (event = 'created') AS created_at, arg_min(ts, seq) FILTER (event = 'seeded') AS started_at,
+                arg_max(ts, seq) FILTER (event IN ('canceled', 'failed', 'finalized')) AS finished_at,
+                arg_max(artifact, seq) FILTER (artifact IS NOT NULL) AS artifact, arg_max(ts, seq) AS updated_at FROM job_events GROUP BY job_id)
+            SELECT a.*, l.now AS status, CASE WHEN now = 'pending' THEN 'Queued' WHEN now = 'running' THEN 'Running'
+              WHEN event = 'paused' THEN 'Paused by operator.' WHEN event = 'canceled' THEN 'Canceled' ELSE l.message END AS message
+            FROM a JOIN l ON l.job_id = a.job_id""",
+        ),
+    ),
     "owned_writes": (
         owned_writes,
         with_views(

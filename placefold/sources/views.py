@@ -222,6 +222,17 @@ SELECT CAST(floor(CAST(o_orderkey AS DOUBLE) / 8e0) AS BIGINT) AS shard_id, o_or
 FROM {orders}
 """
 
+# Event log of jobs, one job per user.
+JOB_EVENTS = """
+SELECT concat('job ', CAST(user_id AS STRING)) AS job_id, event_id AS seq, ts,
+  CASE event_id % 7 WHEN 0 THEN 'created' WHEN 1 THEN 'seeded' WHEN 2 THEN 'paused' WHEN 3 THEN 'resumed' WHEN 4 THEN 'canceled'
+    WHEN 5 THEN 'failed' ELSE 'finalized' END AS event,
+  CASE WHEN event_id % 7 = 6 THEN CASE event_id % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'partial' ELSE 'failed' END END AS status,
+  CASE WHEN event_id % 7 >= 5 THEN concat('message ', CAST(event_id % 100 AS STRING)) END AS message,
+  CASE WHEN event_id % 7 = 6 AND event_id % 3 <> 2 THEN concat('/exports/', CAST(event_id AS STRING), '.csv') END AS artifact
+FROM {events} WHERE user_id % 3 <> 0 OR event_id % 7 <> 1
+"""
+
 # Start, success and failure of delivery runs, in sequence.
 SYNC_RUNS = """
 SELECT event_type AS job_id, event_id AS seq, ts,
@@ -316,6 +327,7 @@ VIEWS = {
     "place_records": PLACE_RECORDS,
     "attempts": ATTEMPTS,
     "shard_events": SHARD_EVENTS,
+    "job_events": JOB_EVENTS,
     "sync_runs": SYNC_RUNS,
     "settings_log": SETTINGS_LOG,
     "expiring": EXPIRING,

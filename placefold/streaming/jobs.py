@@ -44,11 +44,17 @@ def start_merge(
     checkpoint: str,
     columns: Iterable[str] | None = None,
     trigger: dict = DRAIN,
+    compact_every: int | None = None,
 ) -> StreamingQuery:
-    """Fold a stream of sightings into the states under ``root``."""
+    """Fold a stream of sightings into the states under ``root``.
+
+    With ``compact_every`` each so many batches are folded into one base.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         states.write_batch(fold_sightings(batch, columns=columns), root, batch_id)
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            compact_merge(batch.sparkSession, root)
 
     return _start(sightings, each, checkpoint, trigger)
 

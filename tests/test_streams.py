@@ -47,6 +47,16 @@ def test_merge_in_many_batches_equals_one(spark, sf_dir, event_files):
     assert rows(st.golden_table(spark, f"{root}/state")) == expected
 
 
+def test_merge_compacts_on_the_way(spark, sf_dir, event_files):
+    source, schema = event_files
+    root = fresh_dir(spark, "merge")
+    seen = as_sightings(spark.sql(VIEWS["observations"], events=st.stream_parquet(spark, source, schema, max_files=2)))
+    st.start_merge(seen, f"{root}/state", f"{root}/checkpoint", compact_every=2).awaitTermination()
+    assert states.state_paths(spark, f"{root}/state") == ([f"{root}/state/base/3"], 3)
+    expected = rows(merge_listings(as_sightings(view(spark, sf_dir, "observations"))))
+    assert rows(st.golden_table(spark, f"{root}/state")) == expected
+
+
 def test_unfinished_batches_are_not_read(spark, sf_dir):
     root = fresh_dir(spark, "partial")
     seen = as_sightings(view(spark, sf_dir, "observations"))
