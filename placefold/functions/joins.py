@@ -17,26 +17,27 @@ def _salt(spread_by: Column, salts: int) -> Column:
     return F.coalesce(F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"), F.lit(0))
 
 
-def salted_lookup(
+def salted_join(
     fact: DataFrame,
-    lookup: DataFrame,
-    key: str,
+    other: DataFrame,
+    keys: list[str],
     spread_by: Column,
     how: str = "left",
     salts: int | None = None,
 ) -> DataFrame:
-    """Join ``lookup`` (one row per ``key``) to a fact table with hot keys.
+    """Join a fact table with hot keys to a much smaller table.
 
     The fact rows of one key are spread over ``salts`` shuffle partitions by a
-    hash of ``spread_by`` and each lookup row is repeated once per salt, so no
-    task gets more than 1/salts of a hot key. An adaptive skew split would be
-    dropped when the next step groups by the same key; this one is not. While
-    the lookup is small, Spark still broadcasts it by its measured size.
+    hash of ``spread_by`` and each row of the other side is repeated once per
+    salt, so no task gets more than 1/salts of a hot key. An adaptive skew
+    split would be dropped when the next step groups by the same key, and
+    starts only at large partitions; this one always works. While the other
+    side is small, Spark still broadcasts it by its measured size.
     """
     n = salts or salt_count(fact)
     spread = fact.withColumn("_salt", _salt(spread_by, n))
-    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return spread.join(repeated, [key, "_salt"], how).drop("_salt")
+    repeated = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
 def top_per_key(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.boxes import SIDES
-from ..functions.joins import salted_lookup
+from ..functions.joins import salted_join
 from ..functions.jsons import ADDRESS_DDL, BBOX_DDL, encode
 from ..functions.text import csv_field, first_filled, subcategories
 
@@ -166,7 +166,7 @@ def with_job(leads: DataFrame, jobs: DataFrame) -> DataFrame:
     facts = conform(jobs, {"id": "string", **fields}).select(
         F.col("id").alias("job_id"), *[F.col(f).alias(f"job_{f}") for f in fields]
     )
-    return salted_lookup(leads, facts, "job_id", spread_by=F.col("dedupe_key"), how="inner")
+    return salted_join(leads, facts, ["job_id"], spread_by=F.col("dedupe_key"), how="inner")
 
 
 def _text(name: str) -> Column:

@@ -78,6 +78,16 @@ def as_sightings(observations: DataFrame) -> DataFrame:
     )
 
 
+def _grouped(df: DataFrame, key: list[str]):
+    """Group by ``key`` behind its hash.
+
+    Aggregates of texts are sort-based. With the hash as the leading grouping
+    column the sort decides by one 64-bit prefix instead of comparing the key
+    texts, which often start alike.
+    """
+    return df.groupBy(F.xxhash64(*key).alias("_hash"), *key)
+
+
 def fold_sightings(
     sightings: DataFrame,
     order: str = "seq",
@@ -110,7 +120,7 @@ def fold_sightings(
         when = F.when(nonempty(F.col(c)), at)
         aggs += [F.min_by(c, when).alias(c), F.min(when).alias(f"{c}_at")]
     aggs += [F.max(c).alias(c) for c in _of(chosen, MAXIMUM)]
-    return sightings.groupBy(*key).agg(*aggs)
+    return _grouped(sightings, key).agg(*aggs).drop("_hash")
 
 
 def combine_states(
@@ -131,7 +141,7 @@ def combine_states(
     for c in _of(chosen, FIRST_FILLED):
         aggs += [F.min_by(c, f"{c}_at").alias(c), F.min(f"{c}_at").alias(f"{c}_at")]
     aggs += [F.max(c).alias(c) for c in _of(chosen, MAXIMUM)]
-    return states.groupBy(*key).agg(*aggs)
+    return _grouped(states, key).agg(*aggs).drop("_hash")
 
 
 def golden_rows(

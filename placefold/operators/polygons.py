@@ -11,10 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import EARTH_RADIUS_M, cell_of, make_box
-from ..functions.joins import top_per_key
+from ..functions.joins import salt_count, salted_join, top_per_key
 
 CELLS_PER_DEGREE = 1
 
+# Ways to spread the points of one cell; each repeats the cell's index rows.
+CELL_SALTS = 16
+
 
 def part_measures(edges: DataFrame) -> DataFrame:
     """Spherical area in square metres and bounding box of each part.
@@ -105,28 +108,32 @@ def _side(edge: Column, lon: Column, lat: Column) -> Column:
     ) * (edge.getField("lat2") - edge.getField("lat1"))
 
 
-def _crosses(edge: Column, lon: Column, lat: Column) -> Column:
-    """The edge crosses the eastward ray of the point (no division needed)."""
-    lat1, lat2 = edge.getField("lat1"), edge.getField("lat2")
-    return ((lat1 > lat) != (lat2 > lat)) & (
-        (_side(edge, lon, lat) > F.lit(0.0)) == (lat2 > lat1)
-    )
+# Added for an edge the point lies on; larger than any number of edges.
+_ON_EDGE = 1 << 40
 
 
-def _on_edge(edge: Column, lon: Column, lat: Column) -> Column:
+def _edge_score(edge: Column, lon: Column, lat: Column) -> Column:
+    """1 when the edge crosses the eastward ray of the point, else 0.
+
+    Most edges are ruled out by their latitudes alone. No division is needed:
+    the point is west of the edge when it is on the proper side of its line.
+    """
     lon1, lon2 = edge.getField("lon1"), edge.getField("lon2")
     lat1, lat2 = edge.getField("lat1"), edge.getField("lat2")
-    return (
-        (_side(edge, lon, lat) == F.lit(0.0))
-        & lon.between(F.least(lon1, lon2), F.greatest(lon1, lon2))
-        & lat.between(F.least(lat1, lat2), F.greatest(lat1, lat2))
-    )
+    side = _side(edge, lon, lat)
+    beside = (lat < F.least(lat1, lat2)) | (lat > F.greatest(lat1, lat2))
+    on_edge = (side == F.lit(0.0)) & lon.between(F.least(lon1, lon2), F.greatest(lon1, lon2))
+    crosses = ((lat1 > lat) != (lat2 > lat)) & ((side > F.lit(0.0)) == (lat2 > lat1))
+    one = lambda n: F.lit(n).cast("bigint")
+    return F.when(beside, one(0)).when(on_edge, one(_ON_EDGE)).when(crosses, one(1)).otherwise(one(0))
 
 
 def holds_point(edges: Column, lon: Column, lat: Column) -> Column:
     """Even-odd test over an edge array; a point on an edge is inside."""
-    crossings = F.size(F.filter(edges, lambda e: _crosses(e, lon, lat)))
-    return (crossings % 2 == 1) | F.exists(edges, lambda e: _on_edge(e, lon, lat))
+    score = F.aggregate(
+        edges, F.lit(0).cast("bigint"), lambda total, e: total + _edge_score(e, lon, lat)
+    )
+    return (score >= _ON_EDGE) | (score % 2 == 1)
 
 
 def cell_index(edges: DataFrame, per_degree: int = CELLS_PER_DEGREE) -> DataFrame:
@@ -161,6 +168,17 @@ def cell_index(edges: DataFrame, per_degree: int = CELLS_PER_DEGREE) -> DataFram
     )
 
 
+def _at_cells(
+    points: DataFrame, per_degree: int, index: DataFrame, keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """Points beside the index rows of their cell."""
+    located = points.withColumns(
+        {"cx": cell_of(F.col("lon"), per_degree), "cy": cell_of(F.col("lat"), per_degree)}
+    )
+    n = min(CELL_SALTS, salt_count(points))
+    return salted_join(located, index, ["cx", "cy", *keys], F.struct("lon", "lat"), "inner", n)
+
+
 def points_in_polygons(
     points: DataFrame,
     edges: DataFrame,
@@ -170,15 +188,12 @@ def points_in_polygons(
     """Pairs of a point and a polygon part that holds it.
 
     An equi-join on the grid cell (and on ``keys``, such as the point's own
-    country) finds the candidates; crowded cells are left to the adaptive skew
-    split, which can cut the point side of this join freely.
+    country) finds the candidates. The points of a crowded cell are spread over
+    a few tasks; beyond that the adaptive skew split can cut their side freely.
     """
     index = cell_index(edges, per_degree)
-    located = points.withColumns(
-        {"cx": cell_of(F.col("lon"), per_degree), "cy": cell_of(F.col("lat"), per_degree)}
-    )
     return (
-        located.join(index, ["cx", "cy", *keys])
+        _at_cells(points, per_degree, index, keys)
         .where(holds_point(F.col("edges"), F.col("lon"), F.col("lat")))
         .drop("cx", "cy", "edges")
     )
@@ -189,11 +204,8 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, per_degree: int = CELLS
     covered = boxes.select(
         "*", F.explode(_span(F.col("west"), F.col("east"), per_degree)).alias("cx")
     ).select("*", F.explode(_span(F.col("south"), F.col("north"), per_degree)).alias("cy"))
-    located = points.withColumns(
-        {"cx": cell_of(F.col("lon"), per_degree), "cy": cell_of(F.col("lat"), per_degree)}
-    )
     return (
-        located.join(covered, ["cx", "cy"])
+        _at_cells(points, per_degree, covered)
         .where(F.col("lat").between(F.col("south"), F.col("north")))
         .where(F.col("lon").between(F.col("west"), F.col("east")))
         .drop("cx", "cy")
