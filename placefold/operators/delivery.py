@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 from ..functions.boxes import SIDES
 from ..functions.joins import salted_join
 from ..functions.jsons import ADDRESS_DDL, BBOX_DDL, encode
 from ..functions.text import csv_field, first_filled, subcategories
+from ..workspace import fresh_dir
 
 # Spark types of the listing columns.
 LISTING_FIELDS: dict[str, str] = {
@@ -247,9 +248,8 @@ def csv_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws(",", *fields).alias("line"))
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    """CSV files with a header, in the order of the rows."""
-    (
+def _csv_writer(rows: DataFrame) -> DataFrameWriter:
+    return (
         rows.write.mode("overwrite")
         .option("header", True)
         .option("escape", '"')
@@ -257,10 +257,14 @@ def write_csv(rows: DataFrame, path: str) -> None:
         .option("nullValue", "")
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
     )
 
 
+def write_csv(rows: DataFrame, path: str) -> None:
+    """CSV files with a header, in the order of the rows."""
+    _csv_writer(rows).csv(path)
+
+
 def json_rows(rows: DataFrame) -> DataFrame:
     return rows.select([F.col(name).alias(camel) for name, camel in EXPORT_FIELDS.items()])
 
@@ -273,23 +277,16 @@ def write_json(rows: DataFrame, path: str) -> None:
 def write_exports(leads: DataFrame, jobs: DataFrame, source: str, path: str) -> None:
     """Both exports of every job, ordered by id within a job's files.
 
-    Files are partitioned by job; range partitioning on (job, id) splits a
-    large job over many files and keeps the order across them.
+    The rows are written once to shared storage, because range partitioning
+    samples its input and both formats read it. Ranges over (job, id) split a
+    large job over many files and keep the order across them.
     """
-    rows = export_rows(leads, jobs, source, "job_id", "id")
+    spark = leads.sparkSession
+    staged = fresh_dir(spark, "export")
+    export_rows(leads, jobs, source, "job_id", "id").write.parquet(staged)
+    rows = spark.read.parquet(staged)
     placed = rows.repartitionByRange("job_id", "id").sortWithinPartitions("job_id", "id")
-    for_csv = placed.select("job_id", *EXPORT_FIELDS)
-    (
-        for_csv.write.mode("overwrite")
-        .partitionBy("job_id")
-        .option("header", True)
-        .option("escape", '"')
-        .option("emptyValue", "")
-        .option("nullValue", "")
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(f"{path}/csv")
-    )
+    _csv_writer(placed.select("job_id", *EXPORT_FIELDS)).partitionBy("job_id").csv(f"{path}/csv")
     camel = placed.select("job_id", *[F.col(n).alias(c) for n, c in EXPORT_FIELDS.items()])
     camel.write.mode("overwrite").partitionBy("job_id").option("ignoreNullFields", False).json(
         f"{path}/json"

@@ -109,10 +109,19 @@ def attempt_outcomes(attempts: DataFrame, limits: TaskLimits = TaskLimits()) ->
         box, limits.min_width, limits.min_height
     )
     coarse = F.coalesce(F.col("error_code") == COARSE_CODE, F.lit(False))
-    empty = (F.coalesce("raw_count", F.lit(0)) <= 0) & (F.col("n_leads") == 0)
+    empty = (F.col("raw_count") <= 0) & (F.col("n_leads") == 0)
     dense = F.col("raw_count") >= limits.split_threshold
     tired = F.col("attempt") >= 2
+    told = lambda name, otherwise: F.coalesce(F.col(name), F.lit(otherwise))
     facts = attempts.withColumns(
+        {
+            # A task without a country shape counts as inside it.
+            "intersects": told("intersects", True),
+            "failed": told("failed", False),
+            "job_canceled": told("job_canceled", False),
+            "raw_count": told("raw_count", 0),
+        }
+    ).withColumns(
         {
             "can_split": splittable,
             "radius_m": radius_m(box),

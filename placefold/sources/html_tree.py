@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
+UNSHOWN = frozenset(("script", "style"))
 SELF_CLOSING_SIBLINGS = {"li": {"li"}, "p": {"p"}, "option": {"option"}, "td": {"td"}, "tr": {"tr", "td"}}
 
 
@@ -20,6 +21,8 @@ class Element:
     children: list = field(default_factory=list)
 
     def text(self) -> str:
+        if self.tag in UNSHOWN:
+            return ""
         return "".join(c if isinstance(c, str) else c.text() for c in self.children)
 
     def walk(self):

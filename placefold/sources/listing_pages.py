@@ -162,10 +162,11 @@ PROFILES = {
 }
 
 
-def _first_text(root: Element, choices: tuple[Choice, ...]) -> str | None:
+def _first_text(root: Element, choices: tuple[Choice, ...], strip: bool = True) -> str | None:
     for choice in choices:
         found = find_first(root, choice)
-        text = found.text().strip() if found is not None else ""
+        text = found.text() if found is not None else ""
+        text = text.strip() if strip else text
         if text:
             return text
     return None
@@ -181,7 +182,7 @@ def _first_attr(root: Element, choices: tuple[Choice, ...], name: str) -> str |
 
 
 def _count_text(root: Element, profile: Profile) -> str | None:
-    found = _first_text(root, profile.count)
+    found = _first_text(root, profile.count, strip=False)
     if found is None and profile.count_in_paragraph:
         for p in find_all(root, (Match(tag="p"),)):
             if re.search(r"\d+ of \d+", p.text()):

@@ -7,12 +7,18 @@ folder of this machine, so that tests run without configuration.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="placefold-")
+
+
 def shared_root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
@@ -20,9 +26,7 @@ def shared_root(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     if spark.sparkContext.master.startswith("local"):
-        root = tempfile.mkdtemp(prefix="placefold-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        return root
+        return _local_root()
     raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
 
 

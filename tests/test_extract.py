@@ -128,3 +128,4 @@ def test_tree_closes_what_html_leaves_open():
     assert [e.text() for e in find_all(root, (Match("li"),))] == ["a", "bc", "c", "d"]
     assert [e.text() for e in find_all(root, (Match("p"),))][0] == "x"
     assert not find_all(root, (Match("b"),))
+    assert parse_html("<div>a<script>x</script><style>y</style>b</div>").text() == "ab"
