@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.boxes import cell_of
+from ..functions.joins import salt_count, salted_join
+from .polygons import CELL_SALTS
 
 PER_DEGREE = 10
 
@@ -28,4 +30,7 @@ def locate_points(points: DataFrame, gazetteer: DataFrame) -> DataFrame:
             "cell_y": cell_of(F.col("lat"), PER_DEGREE),
         }
     )
-    return located.join(cell_places(gazetteer), ["cell_x", "cell_y"], "left")
+    salts = min(CELL_SALTS, salt_count(points))
+    spread_by = F.struct("lon", "lat")
+    places = cell_places(gazetteer)
+    return salted_join(located, places, ["cell_x", "cell_y"], spread_by, "left", salts)

@@ -1,8 +1,8 @@
 """Polygon predicates and measures on edge tables.
 
-An edge table has geom_id, part_id, ring_id (0 outer, others holes) and the
-edge ends lon1, lat1, lon2, lat2. Boxes west of their east side only: shapes
-across the antimeridian are not handled.
+An edge table has geom_id, part_id, ring_id (0 outer, others holes), seq and
+the edge ends lon1, lat1, lon2, lat2; the edge with the next seq of a ring
+starts where this one ends. Shapes across the antimeridian are not handled.
 """
 
 from __future__ import annotations
@@ -128,43 +128,76 @@ def _edge_score(edge: Column, lon: Column, lat: Column) -> Column:
     return F.when(beside, one(0)).when(on_edge, one(_ON_EDGE)).when(crosses, one(1)).otherwise(one(0))
 
 
-def holds_point(edges: Column, lon: Column, lat: Column) -> Column:
-    """Even-odd test over an edge array; a point on an edge is inside."""
+def holds_point(edges: Column, loose: Column, lon: Column, lat: Column) -> Column:
+    """Even-odd test inside a cell; a point on an edge is inside.
+
+    ``loose`` has the latitudes where chains of edges east of the cell end.
+    """
     score = F.aggregate(
         edges, F.lit(0).cast("bigint"), lambda total, e: total + _edge_score(e, lon, lat)
     )
-    return (score >= _ON_EDGE) | (score % 2 == 1)
+    above = F.size(F.filter(loose, lambda end: end > lat))
+    return (score >= _ON_EDGE) | ((score + above) % 2 == 1)
+
+
+def _loose_ends(east: Column) -> Column:
+    """Latitudes of the vertices that have only one of their edges in ``east``.
+
+    An edge wholly east of a cell crosses the eastward ray of a point in the
+    cell when exactly one of its ends is above the point. Summed over a chain
+    of edges the inner vertices count twice and cancel, so its ends say it all.
+    """
+    starts = F.transform(east, lambda e: e.getField("vertex"))
+    ends = F.transform(east, lambda e: e.getField("vertex") + 1)
+    first, last = F.array_except(starts, ends), F.array_except(ends, starts)
+    return F.concat(
+        F.transform(
+            F.filter(east, lambda e: F.array_contains(first, e.getField("vertex"))),
+            lambda e: e.getField("lat1"),
+        ),
+        F.transform(
+            F.filter(east, lambda e: F.array_contains(last, e.getField("vertex") + 1)),
+            lambda e: e.getField("lat2"),
+        ),
+    )
 
 
 def cell_index(edges: DataFrame, per_degree: int = CELLS_PER_DEGREE) -> DataFrame:
-    """Parts by grid cell, each with the edges a test inside that cell needs.
+    """Parts by grid cell, with what a test inside that cell needs.
 
-    Those are the edges that reach the cell's latitude band and are not wholly
-    west of the cell: the others cannot cross an eastward ray from inside it.
-    Edges are gathered per part and band, never as a whole polygon; a finer
-    grid (``per_degree``) makes shorter lists.
+    That is the edges that reach into the cell, and of all edges further east
+    in its latitude band only the loose ends of their chains. So a cell deep
+    inside a detailed country carries a few numbers, and each edge is kept
+    about once. Edges are gathered per part and band, never as a whole polygon.
     """
-    edge = F.struct("lon1", "lat1", "lon2", "lat2")
-    low, high = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
+    edge = F.struct(
+        "lon1", "lat1", "lon2", "lat2",
+        (F.col("ring_id").cast("bigint") * F.lit(1 << 40) + F.col("seq")).alias("vertex"),
+    )
     column = lambda c: cell_of(c, per_degree)
+    west_of = lambda e: column(F.least(e.getField("lon1"), e.getField("lon2")))
+    east_of = lambda e: column(F.greatest(e.getField("lon1"), e.getField("lon2")))
     bands = (
-        edges.withColumn("cy", F.explode(_span(low, high, per_degree)))
+        edges.withColumn(
+            "cy", F.explode(_span(F.least("lat1", "lat2"), F.greatest("lat1", "lat2"), per_degree))
+        )
         .groupBy("geom_id", "part_id", "cy")
         .agg(
-            F.collect_list(edge).alias("edges"),
+            F.collect_list(edge).alias("band"),
             F.min(F.least("lon1", "lon2")).alias("west"),
             F.max(F.greatest("lon1", "lon2")).alias("east"),
         )
     )
-    return bands.withColumn("cx", F.explode(_span(F.col("west"), F.col("east"), per_degree))).select(
+    cells = bands.withColumn("cx", F.explode(_span(F.col("west"), F.col("east"), per_degree)))
+    return cells.select(
         "geom_id",
         "part_id",
         "cx",
         "cy",
         F.filter(
-            "edges",
-            lambda e: column(F.greatest(e.getField("lon1"), e.getField("lon2"))) >= F.col("cx"),
+            "band", lambda e: (west_of(e) <= F.col("cx")) & (east_of(e) >= F.col("cx"))
         ).alias("edges"),
+        _loose_ends(F.filter("band", lambda e: west_of(e) > F.col("cx"))).alias("loose"),
     )
 
 
@@ -194,8 +227,8 @@ def points_in_polygons(
     index = cell_index(edges, per_degree)
     return (
         _at_cells(points, per_degree, index, keys)
-        .where(holds_point(F.col("edges"), F.col("lon"), F.col("lat")))
-        .drop("cx", "cy", "edges")
+        .where(holds_point(F.col("edges"), F.col("loose"), F.col("lon"), F.col("lat")))
+        .drop("cx", "cy", "edges", "loose")
     )
 
 
@@ -251,7 +284,7 @@ def boxes_meet_polygons(
         F.col("cy") == cell_of(F.col("south"), per_degree)
     )
     hit = F.exists("edges", _touches) | (
-        here & holds_point(F.col("edges"), F.col("west"), F.col("south"))
+        here & holds_point(F.col("edges"), F.col("loose"), F.col("west"), F.col("south"))
     )
     box_cells = boxes.select(
         "box_id", "geom_id", "south", "west", "north", "east",

@@ -148,6 +148,37 @@ def inside(rings, lon, lat):
     return odd
 
 
+def coast(n=1500, seed=3):
+    """A large detailed outline with a detailed lake and a far island."""
+    rng = random.Random(seed)
+    ring = lambda cx, cy, r: [
+        [cx + r * rng.uniform(0.7, 1) * math.cos(2 * math.pi * i / n), cy + r * rng.uniform(0.7, 1) * math.sin(2 * math.pi * i / n)]
+        for i in range(n)
+    ]
+    close = lambda points: [*points, points[0]]
+    return [[close(ring(4, 44, 4.5)), close(ring(4.3, 44.2, 1.4))], [close(ring(8.2, 48.3, 0.4))]]
+
+
+@pytest.mark.parametrize("per_degree", [1, 3])
+def test_points_in_a_detailed_country(spark, per_degree):
+    rng = random.Random(1)
+    parts = coast()
+    points = [(i, rng.uniform(-1, 9), rng.uniform(39, 49)) for i in range(1200)]
+    frame = spark.createDataFrame(points, "point_id bigint, lon double, lat double")
+    edges = frame_of(spark, [(1, parts)])
+    want = {(p, i) for p, lon, lat in points for i, rings in enumerate(parts) if inside(rings, lon, lat)}
+    got = polygons.points_in_polygons(frame, edges, per_degree=per_degree).collect()
+    assert {(r.point_id, r.part_id) for r in got} == want and len(want) > 200
+    assert len(got) == len(want)
+    # The index keeps an edge only in the cells it reaches, however many lie west of it.
+    reach = lambda a, b: f"(floor(greatest({a}, {b}) * {per_degree}) - floor(least({a}, {b}) * {per_degree}) + 1)"
+    cells = edges.selectExpr(f"sum({reach('lon1', 'lon2')} * {reach('lat1', 'lat2')}) AS n").first().n
+    sizes = polygons.cell_index(edges, per_degree).select(
+        F.sum(F.size("edges")).alias("edges"), F.max(F.size("loose")).alias("loose")).first()
+    assert sizes.edges == cells
+    assert sizes.loose < 500
+
+
 @pytest.mark.parametrize("per_degree", [1, 4])
 def test_points_in_polygons_equal_ray_casting(spark, per_degree):
     rng = random.Random(9)
