@@ -79,7 +79,6 @@ def density_cells(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     level = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("depth")
-    up = F.expr(f"{depth} - depth")
     cells = (
         occupied.select("*", level)
         .withColumns({"ix": F.expr(f"shiftright(ix, {depth} - depth)"),

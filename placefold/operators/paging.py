@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.joins import top_per_key
 from ..functions.text import nonempty, result_total
+from .merge import KEY, merge_listings
 
 MAX_PAGE_ROWS = 1000
 MAX_ERROR_ROWS = 250
@@ -22,6 +23,25 @@ def page_of(df: DataFrame, order: list[Column], limit: int = 100, offset: int =
     return df.orderBy(*order).offset(max(offset, 0)).limit(rows)
 
 
+def listing_page(
+    sightings: DataFrame,
+    columns: tuple[str, ...],
+    limit: int = 100,
+    offset: int = 0,
+    order: str = "seq",
+) -> DataFrame:
+    """A page of golden listings by id, straight from sightings.
+
+    A listing's id is its first arrival, so the page's keys are known from a
+    cheap minimum per key; only their sightings (at most a page of keys, small
+    enough for Spark to broadcast) are merged.
+    """
+    first_seen = sightings.groupBy(*KEY).agg(F.min(order).alias("id"))
+    keys = page_of(first_seen, [F.col("id")], limit, offset).select(*KEY)
+    page = sightings.join(keys, list(KEY), "left_semi")
+    return merge_listings(page, order, columns=("id", *columns)).orderBy("id")
+
+
 def after_id(df: DataFrame, last_id: int, limit: int | None = None) -> DataFrame:
     """Rows behind a cursor; the id bound reaches the scan."""
     rows = df.where(F.col("id") > last_id)

@@ -277,8 +277,8 @@ def boxes_meet_polygons(
     True when an edge touches the box or the box's south-west corner lies in a
     part; true as well for boxes whose geometry is not known. Boxes meet the
     parts of their geometry in one join on shared grid cells: each cell answers
-    for the edges in it and the corner's cell also for the corner. The answers
-    of a box are combined before the shuffle.
+    for the edges in it and the corner's cell also for the corner. Only the
+    boxes that meet something go on from there.
     """
     here = (F.col("cx") == cell_of(F.col("west"), per_degree)) & (
         F.col("cy") == cell_of(F.col("south"), per_degree)
@@ -290,12 +290,21 @@ def boxes_meet_polygons(
         "box_id", "geom_id", "south", "west", "north", "east",
         F.explode(_span(F.col("west"), F.col("east"), per_degree)).alias("cx"),
     ).select("*", F.explode(_span(F.col("south"), F.col("north"), per_degree)).alias("cy"))
-    answers = (
-        box_cells.join(cell_index(edges, per_degree), ["geom_id", "cx", "cy"], "left")
-        .groupBy("box_id", "geom_id")
-        .agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("hit"))
+    met = (
+        box_cells.join(cell_index(edges, per_degree), ["geom_id", "cx", "cy"])
+        .where(hit)
+        .select("box_id")
+        .distinct()
+        .withColumn("met", F.lit(True))
     )
     shaped = edges.select("geom_id").distinct().withColumn("has_shape", F.lit(True))
-    return answers.join(shaped, "geom_id", "left").select(
-        "box_id", "geom_id", (F.col("has_shape").isNull() | F.col("hit")).alias("intersects")
+    return (
+        boxes.select("box_id", "geom_id")
+        .join(met, "box_id", "left")
+        .join(shaped, "geom_id", "left")
+        .select(
+            "box_id",
+            "geom_id",
+            (F.col("has_shape").isNull() | F.col("met").isNotNull()).alias("intersects"),
+        )
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.jsons import ADDRESS_DDL, BBOX_DDL, decode, setting
 from ..operators import paging
-from ..operators.merge import as_sightings, merge_listings
+from ..operators.merge import as_sightings
 from ..sources import listing_pages as lp
 from ..sources.views import view, with_views
 from .golden import GOLDEN
@@ -25,8 +25,7 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lead_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = as_sightings(view(spark, sf_dir, "observations")).where(F.col("job_id") == "click")
-    leads = merge_listings(seen, columns=("id", "name", "phone", "website"))
-    return paging.page_of(leads, [F.col("id")], limit=50, offset=20)
+    return paging.listing_page(seen, ("name", "phone", "website"), limit=50, offset=20)
 
 
 def shard_page(spark: SparkSession, sf_dir: str) -> DataFrame:
