@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import bands, bpe, secret_scan, token_files
+from . import bands, bpe, minhash, secret_scan, token_files, winnow
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op4_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, sf_dir)).drop(minhash.ROW)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.token_folder(spark)
     token_files.write_token_files(
@@ -65,9 +69,23 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_winnow_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.find_contamination(_documents(spark, sf_dir), load(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        winnow.contaminated().alias("contaminated"),
+    )
+
+
 QUERIES = {
     "op1_compression_bands": (op1_compression_bands, None),
     "op2_secret_scan": (op2_secret_scan, None),
     "op4_byte_pairs": (op4_byte_pairs, None),
+    "op5_near_duplicates": (op5_near_duplicates, None),
     "op6_token_files": (op6_token_files, None),
+    "op8_winnow_benchmark": (op8_winnow_benchmark, None),
 }
