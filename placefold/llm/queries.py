@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import bands, bpe, minhash, secret_scan, token_files, winnow
+from . import bands, bpe, lines, minhash, secret_scan, token_files, winnow
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = lines.dedup_lines(_documents(spark, sf_dir))
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(_documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
     return coded.select(
@@ -84,6 +89,7 @@ def op8_winnow_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_compression_bands": (op1_compression_bands, None),
     "op2_secret_scan": (op2_secret_scan, None),
+    "op3_line_windows": (op3_line_windows, lines.SQL),
     "op4_byte_pairs": (op4_byte_pairs, None),
     "op5_near_duplicates": (op5_near_duplicates, None),
     "op6_token_files": (op6_token_files, None),
