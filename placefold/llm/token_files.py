@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import uuid
+from itertools import islice
 from urllib.parse import urlparse
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..workspace import fresh_dir
-from .common import ID, ROW, TEXT, keyed, ranges, text_slices
+from .common import ID, ROW, TEXT, Numbered, keyed, ranges, text_slices
 
 KEPT_CHUNKS = 400_000
 MANIFEST = "part int, name string, n_docs long, n_tokens long, width int"
@@ -41,19 +42,39 @@ class ChunkCoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.by_chunk = self._drops_white_space()
-        self._forget()
-
-    def _drops_white_space(self) -> bool:
         probe = "Ab c\n\tdé 'll  x1\r\v\f|| <|endoftext|> Σς e"
         whole = self._library_ids([probe])[0]
-        return whole == [i for ids in self._library_ids(probe.split()) for i in ids]
+        self.by_chunk = whole == [i for ids in self._library_ids(probe.split()) for i in ids]
+        lower = probe.encode().lower().decode()
+        self.folds = self.by_chunk and self._library_ids([lower])[0] == whole
+        plain = [
+            (t.content, i)
+            for i, t in self.library.get_added_tokens_decoder().items()
+            if not (t.lstrip or t.rstrip or t.single_word or t.normalized)
+        ]
+        self.between = min(plain, key=lambda t: t[1], default=None)
+        self._forget()
 
     def _library_ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _each(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks one after the other, and how many each has.
+
+        Many chunks go to the library as one text, with an added token between
+        them, which it cuts out before anything else.
+        """
+        if self.between is None or any(self.between[0] in c for c in chunks):
+            each = self._library_ids(chunks)
+            return np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each], np.int64)
+        token, mark = self.between
+        groups = [chunks[i : i + 1000] for i in range(0, len(chunks), 1000)]
+        flat = np.concatenate([[*ids, mark] for ids in self._library_ids([token.join(g) for g in groups])])
+        ends = np.flatnonzero(flat == mark) - np.arange(len(chunks))
+        return flat[flat != mark].astype(np.uint32), np.diff(ends, prepend=0)
+
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = Numbered()
         self.ids = np.empty(0, np.uint32)
         self.begin = np.zeros(1, np.int64)
 
@@ -65,30 +86,34 @@ class ChunkCoder:
             return np.array([i for e in each for i in e], np.uint32), lens
         if len(self.known) > KEPT_CHUNKS:
             self._forget()
-        if b"" not in self.known:
-            self._learn([b""], [[end_id]])
+        if not self.known:
+            self._learn(np.array([end_id], np.uint32), np.array([1]))
+            self.known[b""]  # number 0, with the end id
         chunks: list[bytes] = []
         count = []
         for text in texts:
-            own = text.encode("utf-8", "replace").split()
+            data = text.encode("utf-8", "replace")
+            own = (data.lower() if self.folds else data).split()
             count.append(len(own) + 1)
             chunks += own
             chunks.append(b"")  # stands for the end of the document
-        new = [c for c in dict.fromkeys(chunks) if c not in self.known]
-        if new:
-            self._learn(new, self._library_ids([c.decode("utf-8") for c in new]))
+        had = len(self.known)
         at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        if len(self.known) > had:  # new chunks were numbered in the order they came
+            new = list(islice(reversed(self.known), len(self.known) - had))[::-1]
+            try:
+                self._learn(*self._each([c.decode("utf-8") for c in new]))
+            except BaseException:
+                self._forget()  # numbers without ids must not outlive a failed task
+                raise
         lens = self.begin[at + 1] - self.begin[at]
         doc = np.repeat(np.arange(len(texts)), count)
         flat = self.ids[ranges(self.begin[at], self.begin[at + 1])]
         return flat, np.bincount(doc, weights=lens, minlength=len(texts)).astype(np.int64)
 
-    def _learn(self, chunks: list[bytes], ids: list[list[int]]) -> None:
-        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks))))
-        flat = np.fromiter((i for e in ids for i in e), np.uint32)
-        self.ids = np.concatenate([self.ids, flat])
-        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
-        self.begin = np.concatenate([self.begin, self.begin[-1] + ends])
+    def _learn(self, ids: np.ndarray, lens: np.ndarray) -> None:
+        self.ids = np.concatenate([self.ids, ids])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(lens)])
 
 
 @functools.lru_cache(maxsize=2)
