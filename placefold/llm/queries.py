@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import bands, bpe, lines, minhash, secret_scan, token_files, winnow
+from . import bands, bpe, lines, minhash, pii, secret_scan, token_files, winnow
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +86,18 @@ def op8_winnow_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(_documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"] != pii.CONTEXT)
+    of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    return found.select(
+        "doc_id",
+        *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in (*pii.KINDS, pii.CONTEXT)),
+        F.sha2(span_text(base), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_compression_bands": (op1_compression_bands, None),
     "op2_secret_scan": (op2_secret_scan, None),
@@ -94,4 +106,5 @@ QUERIES = {
     "op5_near_duplicates": (op5_near_duplicates, None),
     "op6_token_files": (op6_token_files, None),
     "op8_winnow_benchmark": (op8_winnow_benchmark, None),
+    "op9_personal_data": (op9_personal_data, None),
 }
