@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import bands, bpe, lines, minhash, pii, secret_scan, token_files, winnow
+from . import bands, bpe, cotrain, lines, minhash, pii, secret_scan, token_files, winnow
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = cotrain.quality_scores(_documents(spark, sf_dir), load(spark, sf_dir, "labels"))
+    return scored.drop(cotrain.ROW)
+
+
 def op8_winnow_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnow.find_contamination(_documents(spark, sf_dir), load(spark, sf_dir, "benchmark"))
     return found.select(
@@ -105,6 +110,7 @@ QUERIES = {
     "op4_byte_pairs": (op4_byte_pairs, None),
     "op5_near_duplicates": (op5_near_duplicates, None),
     "op6_token_files": (op6_token_files, None),
+    "op7_cotrained_quality": (op7_cotrained_quality, None),
     "op8_winnow_benchmark": (op8_winnow_benchmark, None),
     "op9_personal_data": (op9_personal_data, None),
 }
