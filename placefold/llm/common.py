@@ -57,11 +57,11 @@ def slices(texts: list[str], limit: int = BATCH_CHARS) -> Iterator[tuple[int, in
         yield start, len(texts)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], text: str = TEXT):
+def text_slices(batches: Iterator[pa.RecordBatch], text: str = TEXT, limit: int = BATCH_CHARS):
     """Each Arrow batch cut to bounded slices: (slice, its texts); null is empty."""
     for batch in batches:
         texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-        for a, b in slices(texts):
+        for a, b in slices(texts, limit):
             yield batch.slice(a, b - a), texts[a:b]
 
 

@@ -47,9 +47,13 @@ def _with_kept(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Covered positions merge by looking at neighbours: what stays between two
     starts is what lies behind the end of the first window.
     """
-    split = _hashed(docs, text_col).withColumn("_lines", F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n"))
+    lines = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")
+    split = _hashed(docs, text_col).withColumn("_lines", lines).withColumn("_null", F.col(text_col).isNull())
+    split = split.drop(text_col)  # the lines are the text; one copy of it is shuffled
     marks = later_windows(docs, id_col, text_col)
-    joined = split.join(marks, split[id_col].eqNullSafe(F.col("_i")) & (split[ROW] == F.col("_r")), "left")
+    joined = split.join(
+        marks.hint("shuffle_hash"), split[id_col].eqNullSafe(F.col("_i")) & (split[ROW] == F.col("_r")), "left"
+    )
     borders = F.arrays_zip(
         F.concat(F.array(F.lit(-WIDTH)), "starts").alias("a"), F.concat("starts", F.array(F.size("_lines"))).alias("b")
     )
@@ -86,10 +90,9 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     A document goes if it had a non-blank line and none is left.
     """
     done = _with_kept(docs, id_col, text_col)
-    cut = F.col("starts").isNotNull()
-    text = F.when(cut, F.array_join("_kept", "\n")).otherwise(F.col(text_col))
-    left = done.where(~cut | F.array_join("_kept", "\n").rlike(SEEN))
-    return left.withColumn(text_col, text).select(*docs.columns)
+    kept = F.array_join("_kept", "\n")
+    left = done.where(F.col("starts").isNull() | kept.rlike(SEEN))
+    return left.withColumn(text_col, F.when(~F.col("_null"), kept)).select(*docs.columns)
 
 
 SQL = r"""

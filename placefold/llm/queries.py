@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import bands, bpe, cotrain, lines, minhash, pii, secret_scan, token_files, winnow
+from . import bands, bpe, cotrain, fmindex, lines, minhash, pii, secret_scan, token_files, winnow
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +103,11 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_fm_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fmindex.dedup_substrings(_documents(spark, sf_dir))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_compression_bands": (op1_compression_bands, None),
     "op2_secret_scan": (op2_secret_scan, None),
@@ -113,4 +118,5 @@ QUERIES = {
     "op7_cotrained_quality": (op7_cotrained_quality, None),
     "op8_winnow_benchmark": (op8_winnow_benchmark, None),
     "op9_personal_data": (op9_personal_data, None),
+    "op10_fm_substrings": (op10_fm_substrings, None),
 }

@@ -284,4 +284,6 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     bad = bad.select(F.col(id_col).alias("_i"), F.col(ROW).alias("_r")).distinct()
     text = F.col(text_col).cast("string")
     hashed = docs.withColumn(ROW, F.xxhash64(text, F.length(text)))
-    return hashed.join(bad, hashed[id_col].eqNullSafe(F.col("_i")) & (hashed[ROW] == F.col("_r")), "left_anti").drop(ROW)
+    return hashed.join(
+        bad.hint("shuffle_hash"), hashed[id_col].eqNullSafe(F.col("_i")) & (hashed[ROW] == F.col("_r")), "left_anti"
+    ).drop(ROW)
