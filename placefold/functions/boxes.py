@@ -103,6 +103,7 @@ def in_box(lat: Column, lon: Column, box: Column) -> Column:
     )
 
 
-def cell_of(coordinate: Column, per_degree: int) -> Column:
-    """Index of the half-open grid cell that holds the coordinate."""
-    return F.floor(coordinate * F.lit(float(per_degree))).cast("int")
+def cell_of(coordinate: Column, per_degree: float) -> Column:
+    """Index of the half-open grid cell that holds the coordinate; null if it is none."""
+    usable = coordinate.between(-180.0, 180.0)
+    return F.when(usable, F.floor(coordinate * F.lit(float(per_degree))).cast("int"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def salt_count(df: DataFrame) -> int:
-    """How many ways to spread one key: a share of the shuffle width, 4 to 256."""
+    """How many ways to spread one key: a quarter of the shuffle width, 4 at least."""
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(4, min(256, width // 4))
+    return max(4, width // 4)
 
 
 def _salt(spread_by: Column, salts: int) -> Column:
@@ -17,27 +17,36 @@ def _salt(spread_by: Column, salts: int) -> Column:
     return F.coalesce(F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"), F.lit(0))
 
 
-def salted_join(
+def lookup_join(
     fact: DataFrame,
     other: DataFrame,
     keys: list[str],
-    spread_by: Column,
     how: str = "left",
-    salts: int | None = None,
+    spread_nulls: Column | None = None,
 ) -> DataFrame:
-    """Join a fact table with hot keys to a much smaller table.
+    """Join a fact table with hot keys to a table with few rows per key.
 
-    The fact rows of one key are spread over ``salts`` shuffle partitions by a
-    hash of ``spread_by`` and each row of the other side is repeated once per
-    salt, so no task gets more than 1/salts of a hot key. An adaptive skew
-    split would be dropped when the next step groups by the same key, and
-    starts only at large partitions; this one always works. While the other
-    side is small, Spark still broadcasts it by its measured size.
+    A plain join: Spark broadcasts ``other`` by its true size, and otherwise
+    the adaptive skew join splits the shuffle partitions that a hot key fills
+    (nothing is repeated but the few rows that such a split meets, and there is
+    no ceiling on the number of splits). Rows with a null key meet nothing; in
+    a left join they are spread by ``spread_nulls``, a unique id, so that they
+    do not all wait in one task.
     """
-    n = salts or salt_count(fact)
-    spread = fact.withColumn("_salt", _salt(spread_by, n))
-    repeated = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    if how != "left" or spread_nulls is None:
+        return fact.join(other, keys, how)
+    no_key = F.lit(False)
+    for key in keys:
+        no_key = no_key | F.col(key).isNull()
+    # An odd number where a key is null; the other side has 0, so such rows find no partner.
+    spread = fact.withColumn("_none", F.when(no_key, F.xxhash64(spread_nulls).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("bigint")))
+    filled = [F.coalesce(F.col(k), F.lit(0).cast(fact.schema[k].dataType)).alias(f"_k_{k}") for k in keys]
+    left = spread.select("*", *filled)
+    right = other.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.lit(0).cast("bigint").alias("_none"), *[c for c in other.columns if c not in keys]
+    )
+    joined = left.join(right, [*[f"_k_{k}" for k in keys], "_none"], "left")
+    return joined.drop("_none", *[f"_k_{k}" for k in keys])
 
 
 def top_per_key(

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.boxes import cell_of
-from ..functions.joins import salt_count, salted_join
-from .polygons import CELL_SALTS
+from ..functions.joins import lookup_join
 
 PER_DEGREE = 10
 
@@ -22,15 +21,15 @@ def cell_places(gazetteer: DataFrame) -> DataFrame:
     return gazetteer.groupBy("cell_x", "cell_y").agg(first).select("cell_x", "cell_y", "place.*")
 
 
-def locate_points(points: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """Points with the place of their cell, null where no place is known."""
+def locate_points(points: DataFrame, gazetteer: DataFrame, id_col: str = "point_id") -> DataFrame:
+    """Points with the place of their cell, null where no place is known.
+
+    Points without usable coordinates keep their row; ``id_col`` spreads them.
+    """
     located = points.withColumns(
         {
             "cell_x": cell_of(F.col("lon"), PER_DEGREE),
             "cell_y": cell_of(F.col("lat"), PER_DEGREE),
         }
     )
-    salts = min(CELL_SALTS, salt_count(points))
-    spread_by = F.struct("lon", "lat")
-    places = cell_places(gazetteer)
-    return salted_join(located, places, ["cell_x", "cell_y"], spread_by, "left", salts)
+    return lookup_join(located, cell_places(gazetteer), ["cell_x", "cell_y"], spread_nulls=F.col(id_col))

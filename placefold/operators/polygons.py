@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import EARTH_RADIUS_M, cell_of, make_box
-from ..functions.joins import salt_count, salted_join, top_per_key
+from ..functions.joins import lookup_join, top_per_key
 
 CELLS_PER_DEGREE = 1
 
-# Ways to spread the points of one cell; each repeats the cell's index rows.
-CELL_SALTS = 16
+# Boxes over more cells than this go by cells of COARSE_DEGREES instead.
+FINE_CELLS = 64
+COARSE_DEGREES = 30
 
 
 def part_measures(edges: DataFrame) -> DataFrame:
@@ -202,14 +203,13 @@ def cell_index(edges: DataFrame, per_degree: int = CELLS_PER_DEGREE) -> DataFram
 
 
 def _at_cells(
-    points: DataFrame, per_degree: int, index: DataFrame, keys: tuple[str, ...] = ()
+    points: DataFrame, per_degree: float, index: DataFrame, keys: tuple[str, ...] = ()
 ) -> DataFrame:
     """Points beside the index rows of their cell."""
     located = points.withColumns(
         {"cx": cell_of(F.col("lon"), per_degree), "cy": cell_of(F.col("lat"), per_degree)}
     )
-    n = min(CELL_SALTS, salt_count(points))
-    return salted_join(located, index, ["cx", "cy", *keys], F.struct("lon", "lat"), "inner", n)
+    return located.join(index, ["cx", "cy", *keys])
 
 
 def points_in_polygons(
@@ -221,8 +221,8 @@ def points_in_polygons(
     """Pairs of a point and a polygon part that holds it.
 
     An equi-join on the grid cell (and on ``keys``, such as the point's own
-    country) finds the candidates. The points of a crowded cell are spread over
-    a few tasks; beyond that the adaptive skew split can cut their side freely.
+    country) finds the candidates. The points of a crowded cell, also those with
+    the same coordinates, are spread by the adaptive skew split.
     """
     index = cell_index(edges, per_degree)
     return (
@@ -232,21 +232,59 @@ def points_in_polygons(
     )
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, per_degree: int = CELLS_PER_DEGREE) -> DataFrame:
-    """Pairs of a point and a box (south, west, north, east) that holds it."""
-    covered = boxes.select(
-        "*", F.explode(_span(F.col("west"), F.col("east"), per_degree)).alias("cx")
-    ).select("*", F.explode(_span(F.col("south"), F.col("north"), per_degree)).alias("cy"))
+def points_inside(
+    points: DataFrame,
+    edges: DataFrame,
+    key: str = "geom_id",
+    id_col: str = "point_id",
+    per_degree: int = CELLS_PER_DEGREE,
+) -> DataFrame:
+    """Every point with ``inside``: whether the geometry it names holds it.
+
+    True where that geometry is not known (or none is named), so that a filter
+    by it keeps such points; false without usable coordinates.
+    """
+    held = (
+        points_in_polygons(points.where(F.col(key).isNotNull()), edges, (key,), per_degree)
+        .select(id_col).distinct().withColumn("_held", F.lit(True))
+    )
+    shaped = edges.select(key).distinct().withColumn("_shaped", F.lit(True))
+    known = lookup_join(points, shaped, [key], spread_nulls=F.col(id_col))
     return (
-        _at_cells(points, per_degree, covered)
-        .where(F.col("lat").between(F.col("south"), F.col("north")))
-        .where(F.col("lon").between(F.col("west"), F.col("east")))
-        .drop("cx", "cy")
+        known.join(held, id_col, "left")
+        .withColumn("inside", F.col("_shaped").isNull() | F.col("_held").isNotNull())
+        .drop("_shaped", "_held")
     )
 
 
-def _span(low: Column, high: Column, per_degree: int) -> Column:
-    return F.sequence(cell_of(low, per_degree), cell_of(high, per_degree))
+def points_in_boxes(points: DataFrame, boxes: DataFrame, per_degree: int = CELLS_PER_DEGREE) -> DataFrame:
+    """Pairs of a point and a box (south, west, north, east) that holds it.
+
+    A box is listed under the cells it covers, a large one under coarse cells,
+    so even a box of the whole world is a few rows. Points are looked up at
+    both sizes.
+    """
+    across = cell_of(F.col("east"), per_degree) - cell_of(F.col("west"), per_degree) + 1
+    up = cell_of(F.col("north"), per_degree) - cell_of(F.col("south"), per_degree) + 1
+    fine = F.coalesce(across.cast("bigint") * up <= FINE_CELLS, F.lit(False))
+
+    def held(some: DataFrame, size: float) -> DataFrame:
+        covered = some.select("*", F.explode(_span(F.col("west"), F.col("east"), size)).alias("cx"))
+        covered = covered.select("*", F.explode(_span(F.col("south"), F.col("north"), size)).alias("cy"))
+        return (
+            _at_cells(points, size, covered)
+            .where(F.col("lat").between(F.col("south"), F.col("north")))
+            .where(F.col("lon").between(F.col("west"), F.col("east")))
+            .drop("cx", "cy")
+        )
+
+    return held(boxes.where(fine), per_degree).unionByName(held(boxes.where(~fine), 1 / COARSE_DEGREES))
+
+
+def _span(low: Column, high: Column, per_degree: float) -> Column:
+    inside = lambda c: F.greatest(F.least(c, F.lit(180.0)), F.lit(-180.0))
+    first, last = cell_of(inside(low), per_degree), cell_of(inside(high), per_degree)
+    return F.when(first <= last, F.sequence(first, last))
 
 
 def _touches(edge: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import salted_join
+from ..functions.joins import lookup_join
 
 
 def sync_state_fold(runs: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def undelivered(leads: DataFrame, state: DataFrame) -> DataFrame:
     cursor = state.select("job_id", "last_synced_id")
     behind = F.col("id") > F.coalesce("last_synced_id", F.lit(0))
     return (
-        salted_join(leads, cursor, ["job_id"], spread_by=F.col("id")).where(behind).drop("last_synced_id")
+        lookup_join(leads, cursor, ["job_id"], spread_nulls=F.col("id")).where(behind).drop("last_synced_id")
     )
 
 
@@ -68,7 +68,7 @@ def changed_since(leads: DataFrame, state: DataFrame) -> DataFrame:
     new = F.col("id") > F.coalesce("last_synced_id", F.lit(0))
     changed = F.col("last_synced_at").isNull() | (F.col("updated_at") > F.col("last_synced_at"))
     return (
-        salted_join(leads, cursor, ["job_id"], spread_by=F.col("id"))
+        lookup_join(leads, cursor, ["job_id"], spread_nulls=F.col("id"))
         .where(new | changed)
         .drop("last_synced_id", "last_synced_at")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import can_split, quadrants, radius_m
-from ..functions.joins import salted_join
+from ..functions.joins import lookup_join
 from ..functions.text import nonempty, null_if_empty
 from ..functions.times import plus_seconds
 from .jobs import RUNNABLE, TERMINAL_JOB, UNFINISHED
@@ -369,7 +369,7 @@ def cancel_transition(shards: DataFrame, canceled_jobs: DataFrame, as_of: Column
     marks = canceled_jobs.select("job_id").distinct().withColumn("_canceled", F.lit(True))
     hit = F.col("_canceled").isNotNull() & F.col("status").isin(*UNFINISHED)
     return (
-        salted_join(shards, marks, ["job_id"], spread_by=F.col("id"))
+        lookup_join(shards, marks, ["job_id"], spread_nulls=F.col("id"))
         .withColumns(
             {
                 "updated_at": F.when(hit, as_of).otherwise(F.col("updated_at")),
@@ -385,16 +385,10 @@ def deletable(jobs: DataFrame) -> DataFrame:
     return jobs.where(F.col("status").isin(*TERMINAL_JOB))
 
 
-def cascade_delete(
-    child: DataFrame, jobs: DataFrame, requested: DataFrame, spread_by: Column | None = None
-) -> DataFrame:
-    """Rows of a child table left after deleting the requested ended jobs.
-
-    ``spread_by`` (the child's id by default) spreads the rows of a large job.
-    """
+def cascade_delete(child: DataFrame, jobs: DataFrame, requested: DataFrame) -> DataFrame:
+    """Rows of a child table left after deleting the requested ended jobs."""
     gone = deletable(jobs).join(requested, "id", "left_semi").select(F.col("id").alias("job_id"))
-    key = spread_by or F.col("id")
-    return salted_join(child, gone, ["job_id"], spread_by=key, how="left_anti")
+    return lookup_join(child, gone, ["job_id"], how="left_anti")
 
 
 def purge_expired(rows: DataFrame, as_of: Column) -> DataFrame:
