@@ -98,7 +98,9 @@ def seed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_nationkey").alias("geom_id"),
         bx.make_box(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.col("n_nationkey").cast("double")).alias("bbox"),
     )
-    return polygons.seed_boxes(edges.where(F.col("geom_id") != 7), countries).select(
+    # Nation 7 has no boundary: its edges go to a geometry that is no nation's.
+    renamed = edges.withColumn("geom_id", F.when(F.col("geom_id") == 7, 107).otherwise(F.col("geom_id")))
+    return polygons.seed_boxes(renamed, countries).select(
         "geom_id", "seed", "part_id", *[F.round(F.col(f"bbox.{s}"), 6).alias(s) for s in SIDES]
     )
 

@@ -21,37 +21,53 @@ class Element:
     children: list = field(default_factory=list)
 
     def text(self) -> str:
-        if self.tag in UNSHOWN:
-            return ""
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
-
-    def walk(self):
+        """All shown text inside, in document order; no recursion, however deep."""
+        found, stack = [], [self]
+        while stack:
+            node = stack.pop()
+            if isinstance(node, str):
+                found.append(node)
+            elif node.tag not in UNSHOWN:
+                stack.extend(reversed(node.children))
+        return "".join(found)
+
+    def walk(self) -> list[Element]:
         """Descendants in document order."""
-        for child in self.children:
-            if not isinstance(child, str):
-                yield child
-                yield from child.walk()
+        found, stack = [], [c for c in reversed(self.children) if not isinstance(c, str)]
+        while stack:
+            node = stack.pop()
+            found.append(node)
+            stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
+        return found
 
 
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.open = Element("#root")
+        self.depth: dict[str, int] = {}  # open elements by tag
+
+    def _close(self):
+        self.depth[self.open.tag] -= 1
+        self.open = self.open.parent
 
     def handle_starttag(self, tag, attrs):
         if self.open.tag in SELF_CLOSING_SIBLINGS.get(tag, ()):
-            self.open = self.open.parent
+            self._close()
         element = Element(tag, {k: v or "" for k, v in attrs}, self.open)
         self.open.children.append(element)
         if tag not in VOID:
             self.open = element
+            self.depth[tag] = self.depth.get(tag, 0) + 1
 
     def handle_endtag(self, tag):
-        element = self.open
-        while element.parent is not None and element.tag != tag:
-            element = element.parent
-        if element.parent is not None:
-            self.open = element.parent
+        if self.depth.get(tag):
+            while self.open.tag != tag:
+                self._close()
+            self._close()
+
+    def parse_marked_section(self, i, report=1):
+        return self.parse_bogus_comment(i)  # as browsers read <![anything[...]]>
 
     def handle_data(self, data):
         self.open.children.append(data)
@@ -101,9 +117,9 @@ class Match:
         return True
 
 
-def find_all(root: Element, matches: tuple[Match, ...]) -> list[Element]:
-    return [e for e in root.walk() if any(m.fits(e) for m in matches)]
+def find_all(elements: list[Element], matches: tuple[Match, ...]) -> list[Element]:
+    return [e for e in elements if any(m.fits(e) for m in matches)]
 
 
-def find_first(root: Element, matches: tuple[Match, ...]) -> Element | None:
-    return next((e for e in root.walk() if any(m.fits(e) for m in matches)), None)
+def find_first(elements: list[Element], matches: tuple[Match, ...]) -> Element | None:
+    return next((e for e in elements if any(m.fits(e) for m in matches)), None)

@@ -31,7 +31,6 @@ RAW_RECORD = (
     "website: string, street: string, locality: string, full_address: string, "
     "categories: array<string>, rating_text: string, star_class: string, reviews_text: string>"
 )
-RAW_FIELDS = tuple(re.findall(r"(\w+): ", RAW_RECORD))
 
 Choice = tuple[Match, ...]  # any of these, in document order
 
@@ -162,7 +161,7 @@ PROFILES = {
 }
 
 
-def _first_text(root: Element, choices: tuple[Choice, ...], strip: bool = True) -> str | None:
+def _first_text(root: list[Element], choices: tuple[Choice, ...], strip: bool = True) -> str | None:
     for choice in choices:
         found = find_first(root, choice)
         text = found.text() if found is not None else ""
@@ -172,7 +171,7 @@ def _first_text(root: Element, choices: tuple[Choice, ...], strip: bool = True)
     return None
 
 
-def _first_attr(root: Element, choices: tuple[Choice, ...], name: str) -> str | None:
+def _first_attr(root: list[Element], choices: tuple[Choice, ...], name: str) -> str | None:
     for choice in choices:
         found = find_first(root, choice)
         value = found.attrs.get(name) if found is not None else None
@@ -181,7 +180,7 @@ def _first_attr(root: Element, choices: tuple[Choice, ...], name: str) -> str |
     return None
 
 
-def _count_text(root: Element, profile: Profile) -> str | None:
+def _count_text(root: list[Element], profile: Profile) -> str | None:
     found = _first_text(root, profile.count, strip=False)
     if found is None and profile.count_in_paragraph:
         for p in find_all(root, (Match(tag="p"),)):
@@ -190,7 +189,8 @@ def _count_text(root: Element, profile: Profile) -> str | None:
     return found
 
 
-def _record(card: Element, profile: Profile, own_host: str) -> dict | None:
+def _record(element: Element, profile: Profile, own_host: str) -> dict | None:
+    card = element.walk()  # once; every field is looked up in this list
     named = find_all(card, profile.name)
     if profile.name_first_only:
         named = named[:1]
@@ -231,24 +231,28 @@ def raw_pages(
     """``carry`` columns, count text and raw records of each page.
 
     When the count text is not needed, pages without the layout's marker,
-    which have no listing, are not handed to Python.
+    which have no listing, are left out before Python. A page that cannot be
+    read keeps its row, without records and with the reason in ``error``.
     """
     text = F.col(html)
-    if not with_counts:
-        text = F.when(text.contains(profile.marker), text)
-    kept = pages.select(*carry, text.alias(html))
+    read = pages if with_counts else pages.where(F.lower(text).contains(profile.marker.lower()))
+    kept = read.select(*carry, text.alias(html))
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in kept.drop(html).schema]
-    schema = ", ".join([*fields, "count_text string", f"records array<{RAW_RECORD}>"])
+    schema = ", ".join([*fields, "count_text string", f"records array<{RAW_RECORD}>", "error string"])
+
+    def read_page(page: str) -> tuple:
+        try:
+            elements = parse_html(page).walk()
+            cards = (_record(c, profile, own_host) for c in find_all(elements, profile.card))
+            return _count_text(elements, profile), [r for r in cards if r], None
+        except Exception as reason:  # a broken page must not end the job
+            return None, [], f"{type(reason).__name__}: {reason}"[:500]
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            counts, records = [], []
-            for page in batch[html]:
-                root = parse_html(page or "")
-                counts.append(_count_text(root, profile))
-                cards = (_record(c, profile, own_host) for c in find_all(root, profile.card))
-                records.append([r for r in cards if r])
-            yield batch.drop(columns=[html]).assign(count_text=counts, records=records)
+            found = [read_page(page or "") for page in batch[html]]
+            counts, records, errors = zip(*found) if found else ((), (), ())
+            yield batch.drop(columns=[html]).assign(count_text=counts, records=records, error=errors)
 
     return kept.mapInPandas(extract, schema)
 
@@ -306,7 +310,7 @@ def listing_records(
         r("categories").alias("categories"),
         F.get(r("categories"), F.lit(0)).alias("category"),
         rating.alias("rating"),
-        tx.parse_count(r("reviews_text"), grouped_counts).cast("int").alias("review_count"),
+        tx.parse_count(r("reviews_text"), grouped_counts).try_cast("int").alias("review_count"),
     )
 
 

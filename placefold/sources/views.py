@@ -222,25 +222,25 @@ SELECT CAST(floor(CAST(o_orderkey AS DOUBLE) / 8e0) AS BIGINT) AS shard_id, o_or
 FROM {orders}
 """
 
-# Event log of jobs, one job per user.
+# Event log of jobs, one job per user; a third of the jobs is never seeded.
 JOB_EVENTS = """
 SELECT concat('job ', CAST(user_id AS STRING)) AS job_id, event_id AS seq, ts,
-  CASE event_id % 7 WHEN 0 THEN 'created' WHEN 1 THEN 'seeded' WHEN 2 THEN 'paused' WHEN 3 THEN 'resumed' WHEN 4 THEN 'canceled'
+  CASE event_id % 7 WHEN 0 THEN 'created' WHEN 1 THEN CASE WHEN user_id % 3 = 0 THEN 'paused' ELSE 'seeded' END WHEN 2 THEN 'paused' WHEN 3 THEN 'resumed' WHEN 4 THEN 'canceled'
     WHEN 5 THEN 'failed' ELSE 'finalized' END AS event,
   CASE WHEN event_id % 7 = 6 THEN CASE event_id % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'partial' ELSE 'failed' END END AS status,
   CASE WHEN event_id % 7 >= 5 THEN concat('message ', CAST(event_id % 100 AS STRING)) END AS message,
   CASE WHEN event_id % 7 = 6 AND event_id % 3 <> 2 THEN concat('/exports/', CAST(event_id AS STRING), '.csv') END AS artifact
-FROM {events} WHERE user_id % 3 <> 0 OR event_id % 7 <> 1
+FROM {events}
 """
 
-# Start, success and failure of delivery runs, in sequence.
+# Start, success and failure of delivery runs, in sequence. Job signup has no runs.
 SYNC_RUNS = """
-SELECT event_type AS job_id, event_id AS seq, ts,
+SELECT CASE event_type WHEN 'signup' THEN 'import' ELSE event_type END AS job_id, event_id AS seq, ts,
   CASE event_id % 3 WHEN 0 THEN 'started' WHEN 1 THEN 'success' ELSE 'failed' END AS event,
   CASE WHEN event_id % 3 = 1 THEN CAST(floor(CAST(event_id AS DOUBLE) / 2e2) AS BIGINT) END AS last_id,
   CASE WHEN event_id % 3 = 1 THEN CAST(event_id % 40 AS BIGINT) END AS synced,
   CASE event_id % 3 WHEN 1 THEN concat('Synced ', CAST(event_id % 40 AS STRING)) WHEN 2 THEN concat('HTTP ', CAST(500 + event_id % 4 AS STRING)) END AS message
-FROM {events} WHERE event_type <> 'signup'
+FROM {events}
 """
 
 SETTINGS_LOG = """

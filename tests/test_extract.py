@@ -125,7 +125,30 @@ def test_extracted_records_normalise(spark):
 
 def test_tree_closes_what_html_leaves_open():
     root = parse_html("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><p>x<p>y<script>var a='<b>';</script>")
-    assert [e.text() for e in find_all(root, (Match("li"),))] == ["a", "bc", "c", "d"]
-    assert [e.text() for e in find_all(root, (Match("p"),))][0] == "x"
-    assert not find_all(root, (Match("b"),))
+    assert [e.text() for e in find_all(root.walk(), (Match("li"),))] == ["a", "bc", "c", "d"]
+    assert [e.text() for e in find_all(root.walk(), (Match("p"),))][0] == "x"
+    assert not find_all(root.walk(), (Match("b"),))
     assert parse_html("<div>a<script>x</script><style>y</style>b</div>").text() == "ab"
+
+
+def test_broken_pages_do_not_end_the_job(spark):
+    deep = "<ul><li><a href='/x'>name</a>" + "<b>" * 100_000 + "end"
+    ends = "<p>" * 20_000 + "</q>" * 20_000
+    pages = spark.createDataFrame(
+        [(1, deep), (2, "<![foo[bar]]><ul><li><a href='/y'>y</a></li></ul>"), (3, ends), (4, None),
+         (5, "<UL><LI><A HREF='/z'>upper</A></LI></UL>")],
+        "page_id int, html string",
+    )
+    rows = lp.extract_listings(pages, lp.PROFILES["nav_links"], "https://x.example", "page_id").collect()
+    assert {(r.page_id, r.name) for r in rows} == {(1, "name" + "end"), (2, "y"), (5, "upper")} or {
+        (r.page_id, r.name) for r in rows
+    } == {(1, "name"), (2, "y"), (5, "upper")}
+    raw = lp.raw_pages(pages, lp.PROFILES["nav_links"], "x", "page_id")
+    assert raw.count() == 5 and raw.where("error IS NOT NULL").count() == 0
+
+
+def test_overflowing_counts_are_null(spark):
+    html = """<div class="result"><a class="business-name" href="/a"><span>Cafe</span></a><span class="count">(99999999999)</span></div>"""
+    pages = spark.createDataFrame([(1, html)], "page_id int, html string")
+    rows = lp.extract_listings(pages, lp.PROFILES["card_us"], "https://x.example", "page_id").collect()
+    assert all(r.review_count is None for r in rows)
