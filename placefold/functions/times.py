@@ -22,6 +22,19 @@ def plus_seconds(c: Column, seconds: Column | int | float) -> Column:
 
 
 def round_places(c: Column, places: int = 2) -> Column:
-    """Scale, round half up, scale back: follows the binary value of a double."""
-    scale = float(10**places)
-    return F.round(c * F.lit(scale), 0) / F.lit(scale)
+    """Nearest decimal to the exact binary value of a double, exact ties away from zero.
+
+    A product alone may land on a tie that the value is not on (1.115 is a bit
+    less than it looks). The part that the product loses is got back by
+    splitting the value into two halves, and decides such ties.
+    """
+    scale = F.lit(float(10**places))
+    x = F.abs(c)
+    product = x * scale
+    big = x * F.lit(134217729.0)  # 2^27 + 1
+    high = big - (big - x)
+    lost = (high * scale - product) + (x - high) * scale
+    whole = F.floor(product)
+    part = product - whole
+    up = (part > F.lit(0.5)) | ((part == F.lit(0.5)) & (lost >= F.lit(0.0)))
+    return F.signum(c) * (whole + F.when(up, 1).otherwise(0)) / scale

@@ -9,18 +9,22 @@ from ..functions.joins import top_per_key
 from ..functions.text import nonempty, result_total
 from .merge import KEY, merge_listings
 
-MAX_PAGE_ROWS = 1000
-MAX_ERROR_ROWS = 250
 
+def page_size(limit: int, max_rows: int | None = None) -> int:
+    """At least one row. A service's own maximum is a parameter, and asking for more an error."""
+    if max_rows is not None and limit > max_rows:
+        raise ValueError(f"a page of {limit} rows was asked for, {max_rows} are allowed")
+    return max(limit, 1)
 
-def clamp(value: int, low: int, high: int) -> int:
-    return min(max(value, low), high)
 
+def page_of(
+    df: DataFrame, order: list[Column], limit: int = 100, offset: int = 0, max_rows: int | None = None
+) -> DataFrame:
+    """Rows offset..offset+limit in a given order (a top-k, never a full sort).
 
-def page_of(df: DataFrame, order: list[Column], limit: int = 100, offset: int = 0) -> DataFrame:
-    """Rows offset..offset+limit in a given order (a top-k, never a full sort)."""
-    rows = clamp(limit, 1, MAX_PAGE_ROWS)
-    return df.orderBy(*order).offset(max(offset, 0)).limit(rows)
+    The cost grows with the offset; go through a whole table by ``after_id``.
+    """
+    return df.orderBy(*order).offset(max(offset, 0)).limit(page_size(limit, max_rows))
 
 
 def listing_page(
@@ -71,13 +75,13 @@ def task_counts(shards: DataFrame) -> DataFrame:
     return shards.groupBy("job_id", "status").agg(F.count(F.lit(1)).alias("total"))
 
 
-def task_errors(shards: DataFrame, limit: int = 25) -> DataFrame:
+def task_errors(shards: DataFrame, limit: int = 25, max_rows: int | None = None) -> DataFrame:
     """The newest ``limit`` tasks with an error of every job."""
     return top_per_key(
         shards.where(nonempty(F.col("last_error"))),
         "job_id",
         [F.col("updated_at").desc(), F.col("id").desc()],
-        clamp(limit, 1, MAX_ERROR_ROWS),
+        page_size(limit, max_rows),
         rank="position",
         spread_by=F.col("id"),
     )

@@ -1,5 +1,7 @@
 """Text helpers on their awkward inputs."""
 
+from decimal import ROUND_HALF_UP, Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +120,9 @@ def test_json(spark):
 def test_rounding_follows_the_binary_value(spark):
     assert value(spark, round_places(F.lit(1.005))) == 1.0
     assert value(spark, round_places(F.lit(33.125))) == 33.13
+    for number in (1.115, 2.675, 1.255, 8.345, 0.615, -1.115, 10.075, 1e9 + 0.125, 0.0, 4.999999):
+        exact = Decimal(number).quantize(Decimal("0.01"), ROUND_HALF_UP)
+        assert value(spark, round_places(F.lit(number))) == float(exact), number
 
 
 def test_millis_do_not_depend_on_the_session_zone(spark):
