@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 from ..functions.boxes import SIDES
-from ..functions.joins import salted_join
+from ..functions.joins import lookup_join
 from ..functions.jsons import ADDRESS_DDL, BBOX_DDL, encode
 from ..functions.text import csv_field, first_filled, subcategories
-from ..workspace import fresh_dir
+from ..workspace import fresh_dir, remove_dir
 
 # Spark types of the listing columns.
 LISTING_FIELDS: dict[str, str] = {
@@ -167,7 +167,7 @@ def with_job(leads: DataFrame, jobs: DataFrame) -> DataFrame:
     facts = conform(jobs, {"id": "string", **fields}).select(
         F.col("id").alias("job_id"), *[F.col(f).alias(f"job_{f}") for f in fields]
     )
-    return salted_join(leads, facts, ["job_id"], spread_by=F.col("dedupe_key"), how="inner")
+    return lookup_join(leads, facts, ["job_id"], how="inner")
 
 
 def _text(name: str) -> Column:
@@ -175,10 +175,17 @@ def _text(name: str) -> Column:
 
 
 def delivery_records(
-    leads: DataFrame, jobs: DataFrame, source: str, available: Iterable[str] | None = None
+    leads: DataFrame,
+    jobs: DataFrame,
+    source: str,
+    available: Iterable[str] | None = None,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """The record of each listing, reduced to the fields the sink has."""
-    rows = with_job(conform(leads, LISTING_FIELDS), jobs)
+    """The record of each listing, reduced to the fields the sink has.
+
+    ``carry`` are columns of the listings to keep beside the record.
+    """
+    rows = with_job(conform(leads, LISTING_FIELDS, keep_extra=bool(carry)), jobs)
     others = subcategories(F.col("category"), F.col("categories"))
     values = {
         "query_name": F.col("job_keyword"),
@@ -221,7 +228,7 @@ def delivery_records(
     }
     have = set(RECORD_FIELDS if available is None else available)
     return rows.withColumn("_others", others).select(
-        *[value.alias(name) for name, value in values.items() if name in have]
+        *carry, *[value.alias(name) for name, value in values.items() if name in have]
     )
 
 
@@ -291,3 +298,4 @@ def write_exports(leads: DataFrame, jobs: DataFrame, source: str, path: str) ->
     camel.write.mode("overwrite").partitionBy("job_id").option("ignoreNullFields", False).json(
         f"{path}/json"
     )
+    remove_dir(spark, staged)

@@ -12,7 +12,7 @@ from ..sources.views import VIEWS, view, with_views
 from ..streaming import jobs as st
 from ..workspace import fresh_dir
 from .delivery import SOURCE
-from .golden import GOLDEN, NORMALIZED
+from .golden import GOLDEN, LISTINGS
 from .merges import MERGED
 from .tasks import QUERIES as TASK_QUERIES
 
@@ -36,12 +36,12 @@ def stream_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = _stream(spark, sf_dir, "parsed_records", "events").withColumn(
         "categories", F.split("categories_text", r"\|")
     )
-    leads = as_sightings(normalize_listings(parsed, "seq", "job_id", "observed_at"))
+    seen = as_sightings(normalize_listings(parsed, "seq", "job_id", "observed_at"))
     jobs = view(spark, sf_dir, "listing_jobs")
-    st.start_delivery(leads, jobs, SOURCE, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    st.start_delivery(seen, jobs, SOURCE, f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return st.delivered(spark, f"{root}/out").select(
         "query_name", "source", "job_id", "country_name", "job_status", "yp_id", "name", "phone",
-        "address", "city", "review_count", "review_rating", "lead_created_at",
+        "address", "city", "review_count", "review_rating", "lead_created_at", "lead_updated_at",
     )
 
 
@@ -61,10 +61,11 @@ QUERIES = {
         stream_delivery,
         with_views(
             "parsed_records listing_jobs",
-            NORMALIZED
-            + """SELECT j.keyword AS query_name, 'directory' AS source, n.job_id, coalesce(nullif(j.country_name, ''), j.country) AS country_name,
-              j.status AS job_status, coalesce(n.place_id, '') AS yp_id, n.name, coalesce(n.phone, '') AS phone, n.address, coalesce(n.city, '') AS city,
-              n.review_count, n.review_rating, n.observed_at AS lead_created_at FROM normalized n JOIN listing_jobs j ON j.id = n.job_id""",
+            LISTINGS
+            + """SELECT j.keyword AS query_name, 'directory' AS source, g.job_id, coalesce(nullif(j.country_name, ''), j.country) AS country_name,
+              j.status AS job_status, coalesce(g.place_id, '') AS yp_id, g.name, coalesce(g.phone, '') AS phone, coalesce(g.address, '') AS address,
+              coalesce(g.city, '') AS city, g.review_count, g.review_rating, g.created_at AS lead_created_at, g.updated_at AS lead_updated_at
+              FROM listings g JOIN listing_jobs j ON j.id = g.job_id""",
         ),
     ),
     "stream_lifecycle": (stream_lifecycle, TASK_QUERIES["lifecycle_fold"][1]),

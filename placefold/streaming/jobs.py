@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.delivery import delivery_records
-from ..operators.merge import combine_states, fold_sightings, golden_rows
+from ..operators.merge import KEY, combine_states, fold_sightings, golden_rows, merge_listings
 from ..operators.tasks import combine_marks, fold_marks, lifecycle_marks
 from ..workspace import is_file
 from . import states
@@ -59,33 +60,59 @@ def start_merge(
     return _start(sightings, each, checkpoint, trigger)
 
 
-def golden_table(spark: SparkSession, root: str) -> DataFrame:
-    """Golden listings as of the last finished micro-batch."""
-    return golden_rows(states.read_states(spark, root, combine_states))
+def golden_table(spark: SparkSession, root: str, sightings: DataFrame | None = None) -> DataFrame:
+    """Golden listings as of the last finished micro-batch.
+
+    With ``sightings`` (for their schema) there are no rows before the first one.
+    """
+    empty = None if sightings is None else fold_sightings(spark.createDataFrame([], sightings.schema))
+    return golden_rows(states.read_states(spark, root, combine_states, empty))
 
 
 def compact_merge(spark: SparkSession, root: str) -> int:
     return states.compact(spark, root, combine_states)
 
 
+_SENT = [f"_sent_{k}" for k in KEY]
+
+
 def start_delivery(
-    leads: DataFrame,
+    sightings: DataFrame,
     jobs: DataFrame,
     source: str,
     out: str,
     checkpoint: str,
     trigger: dict = DRAIN,
+    compact_every: int | None = None,
 ) -> StreamingQuery:
-    """Deliver each new listing row once; the checkpoint is the cursor."""
+    """Deliver each listing once, in the micro-batch that first sees its key.
+
+    The record has what the sightings of that batch say. Later sightings of a
+    delivered key send nothing. Which keys were sent is read from the output of
+    the batches before, so a replayed batch decides the same again.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        states.write_batch(delivery_records(batch, jobs, source), out, batch_id)
+        spark = batch.sparkSession
+        listings = merge_listings(batch)
+        paths, _ = states.state_paths(spark, out, before=batch_id)
+        if paths:
+            sent = spark.read.parquet(*paths).select(*[F.col(s).alias(k) for s, k in zip(_SENT, KEY)])
+            listings = listings.join(sent, list(KEY), "left_anti")
+        keyed = listings.select("*", *[F.col(k).alias(s) for s, k in zip(_SENT, KEY)])
+        states.write_batch(delivery_records(keyed, jobs, source, carry=tuple(_SENT)), out, batch_id)
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            states.compact(spark, out, _as_they_are)
+
+    return _start(sightings, each, checkpoint, trigger)
+
 
-    return _start(leads, each, checkpoint, trigger)
+def _as_they_are(records: DataFrame) -> DataFrame:
+    return records
 
 
 def delivered(spark: SparkSession, out: str) -> DataFrame:
-    return states.read_states(spark, out, lambda records: records)
+    return states.read_states(spark, out, _as_they_are).drop(*_SENT)
 
 
 def start_lifecycle(

@@ -20,23 +20,36 @@ def write_batch(states: DataFrame, root: str, batch_id: int) -> None:
     states.write.mode("overwrite").parquet(f"{root}/batches/{batch_id}")
 
 
-def _complete(spark: SparkSession, folder: str) -> list[int]:
-    """Numbered children of a folder whose write finished."""
-    done = [n for n in child_dirs(spark, folder) if path_exists(spark, f"{folder}/{n}/_SUCCESS")]
-    return sorted(int(n) for n in done)
-
-
-def state_paths(spark: SparkSession, root: str) -> tuple[list[str], int]:
-    """Folders that make up the current state, and the last batch they cover."""
-    bases = _complete(spark, f"{root}/base")
-    base = bases[-1] if bases else -1
-    later = [n for n in _complete(spark, f"{root}/batches") if n > base]
-    paths = [f"{root}/base/{base}"] if bases else []
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    return sorted(int(n) for n in child_dirs(spark, folder) if n.isdigit())
+
+
+def _finished(spark: SparkSession, folder: str) -> bool:
+    return path_exists(spark, f"{folder}/_SUCCESS")
+
+
+def state_paths(spark: SparkSession, root: str, before: int | None = None) -> tuple[list[str], int]:
+    """Folders that make up the current state, and the last batch they cover.
+
+    Only batches behind the newest finished base are looked at, so the cost
+    follows what was written since. ``before`` leaves out that batch and later ones.
+    """
+    known = lambda n: before is None or n < before
+    bases = (n for n in reversed(_numbers(spark, f"{root}/base")) if known(n))
+    base = next((n for n in bases if _finished(spark, f"{root}/base/{n}")), -1)
+    later = [n for n in _numbers(spark, f"{root}/batches") if n > base and known(n)]
+    later = [n for n in later if _finished(spark, f"{root}/batches/{n}")]
+    paths = [f"{root}/base/{base}"] if base >= 0 else []
     return paths + [f"{root}/batches/{n}" for n in later], max([base, *later])
 
 
-def read_states(spark: SparkSession, root: str, combine: Fold) -> DataFrame:
-    paths, _ = state_paths(spark, root)
+def read_states(
+    spark: SparkSession, root: str, combine: Fold, empty: DataFrame | None = None, before: int | None = None
+) -> DataFrame:
+    """The combined state; ``empty`` stands in where no batch is finished yet."""
+    paths, _ = state_paths(spark, root, before)
+    if not paths and empty is not None:
+        return combine(empty)
     return combine(spark.read.parquet(*paths))
 
 

@@ -25,7 +25,7 @@ def shared_root(spark: SparkSession) -> str:
     )
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] == "local":
         return _local_root()
     raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
 
@@ -40,6 +40,12 @@ def _located(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``fresh_dir`` named, once nothing reads it any more."""
+    fs, target = _located(spark, path)
+    fs.delete(target, True)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     fs, target = _located(spark, path)
     return fs.exists(target)

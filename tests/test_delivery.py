@@ -5,6 +5,8 @@ import datetime as dt
 import glob
 import json
 
+import pytest
+
 from placefold.functions.times import ntz
 from placefold.operators import delivery, paging, sync
 
@@ -137,10 +139,12 @@ def test_due_jobs_honour_the_interval(spark):
     assert sorted(r.id for r in changed) == [9, 10, 11, 12]
 
 
-def test_pages_clamp_their_limits(spark):
+def test_pages_have_no_hidden_maximum(spark):
     frame = spark.range(2000)
     assert [r.id for r in paging.page_of(frame, [frame.id], limit=-5, offset=-1).collect()] == [0]
-    assert paging.page_of(frame, [frame.id], limit=5000).count() == 1000
+    assert paging.page_of(frame, [frame.id], limit=5000).count() == 2000
+    with pytest.raises(ValueError):
+        paging.page_of(frame, [frame.id], limit=5000, max_rows=1000)
     assert [r.id for r in paging.after_id(frame, 1997, limit=10).collect()] == [1998, 1999]
     assert paging.after_id(frame, 1997).count() == 2
 
@@ -152,3 +156,26 @@ def test_page_prefix_stops_at_the_first_short_page(spark):
     for r in paging.full_page_prefix(pages).collect():
         got.setdefault(r.query_id, []).append(r.page)
     assert {k: sorted(v) for k, v in got.items()} == {1: list(range(1, 11)), 2: [1, 2], 3: [1]}
+
+
+def test_batch_delivery_moves_the_cursor_and_can_be_forced(spark):
+    from placefold.operators import sending
+    from placefold.workspace import fresh_dir
+
+    all_leads, all_jobs = leads(spark), jobs(spark)
+    root = fresh_dir(spark, "sending")
+    out, log, now = f"{root}/out", f"{root}/log", ntz("2024-02-01 00:00:00")
+    total = all_leads.join(all_jobs.select(all_jobs.id.alias("job_id")), "job_id").count()
+    count = lambda n: spark.read.parquet(f"{out}/{n}").count()
+    first = sending.deliver(all_leads, all_jobs, "directory", out, log, now)
+    assert count(first) == total > 0
+    state = sync.sync_state_fold(sending.delivery_log(spark, log))
+    assert state.agg({"synced_record_count": "sum"}).first()[0] == total
+    assert count(sending.deliver(all_leads, all_jobs, "directory", out, log, now)) == 0
+    top = all_leads.orderBy("id", ascending=False).limit(1)
+    newer = all_leads.unionByName(top.withColumn("id", top.id + 100))
+    third = sending.deliver(newer, all_jobs, "directory", out, log, now)
+    assert count(third) == 1
+    assert count(sending.deliver(all_leads, all_jobs, "directory", out, log, now, force=True)) == total
+    # Sending all again moved no cursor back.
+    assert count(sending.deliver(newer, all_jobs, "directory", out, log, now)) == 0

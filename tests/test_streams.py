@@ -67,25 +67,50 @@ def test_unfinished_batches_are_not_read(spark, sf_dir):
     assert rows(st.golden_table(spark, root)) == rows(merge_listings(seen.where("seq % 2 = 0")))
 
 
-def test_delivery_is_exactly_once_over_restarts(spark, sf_dir, event_files):
+def test_each_listing_is_delivered_once_over_restarts(spark, sf_dir, event_files):
     source, schema = event_files
     root = fresh_dir(spark, "delivery")
     jobs = view(spark, sf_dir, "listing_jobs")
 
     def run():
         stream = st.stream_parquet(spark, source, schema, max_files=2)
-        leads = as_sightings(spark.sql(VIEWS["observations"], events=stream))
-        st.start_delivery(leads, jobs, "directory", f"{root}/out", f"{root}/checkpoint").awaitTermination()
+        seen = as_sightings(spark.sql(VIEWS["observations"], events=stream))
+        st.start_delivery(seen, jobs, "directory", f"{root}/out", f"{root}/checkpoint").awaitTermination()
+
+    def keys():
+        paths, _ = states.state_paths(spark, f"{root}/out")
+        return rows(spark.read.parquet(*paths).select("_sent_job_id", "_sent_dedupe_key"))
 
     run()
     run()
-    delivered = st.delivered(spark, f"{root}/out")
-    total = view(spark, sf_dir, "events").count()
-    assert delivered.count() == total
-    more = view(spark, sf_dir, "events").where("event_id < 25").selectExpr("event_id + 1000000 AS event_id", "ts", "user_id", "event_type", "value", "props")
-    more.write.mode("append").parquet(source)
+    golden = merge_listings(as_sightings(view(spark, sf_dir, "observations"))).select("job_id", "dedupe_key")
+    wanted = rows(golden.withColumnsRenamed({"job_id": "_sent_job_id", "dedupe_key": "_sent_dedupe_key"}))
+    assert keys() == wanted and st.delivered(spark, f"{root}/out").count() == golden.count()
+    # Sightings of delivered listings send nothing, whatever the batch and after compaction.
+    again = view(spark, sf_dir, "events").where("event_id < 25").selectExpr("event_id + 1000000 AS event_id", "ts", "user_id", "event_type", "value", "props")
+    again.write.mode("append").parquet(source)
+    states.compact(spark, f"{root}/out", lambda records: records)
     run()
-    assert st.delivered(spark, f"{root}/out").count() == total + 25
+    known = set(keys())
+    assert len(keys()) == len(known) and set(wanted) <= known
+
+
+def test_a_replayed_batch_decides_the_same(spark, sf_dir):
+    seen = as_sightings(view(spark, sf_dir, "observations"))
+    root = fresh_dir(spark, "replay")
+    jobs = view(spark, sf_dir, "listing_jobs")
+    source = fresh_dir(spark, "events")
+    view(spark, sf_dir, "events").write.parquet(source)
+    stream = st.stream_parquet(spark, source, view(spark, sf_dir, "events").schema)
+    live = as_sightings(spark.sql(VIEWS["observations"], events=stream))
+    for checkpoint in ("a", "b"):  # the second run replays batch 0
+        st.start_delivery(live, jobs, "directory", f"{root}/out", f"{root}/{checkpoint}").awaitTermination()
+        assert st.delivered(spark, f"{root}/out").count() == merge_listings(seen).count()
+
+
+def test_a_state_without_batches_has_no_rows(spark, sf_dir):
+    seen = as_sightings(view(spark, sf_dir, "observations"))
+    assert st.golden_table(spark, fresh_dir(spark, "none"), seen).count() == 0
 
 
 def test_lifecycle_stream_equals_batch(spark, sf_dir):
