@@ -276,6 +276,12 @@ def json_rows(rows: DataFrame) -> DataFrame:
     return rows.select([F.col(name).alias(camel) for name, camel in EXPORT_FIELDS.items()])
 
 
+def json_lines(rows: DataFrame) -> DataFrame:
+    """One JSON text per export row in the JSON export's naming, nulls kept."""
+    named = F.struct(*[F.col(name).alias(camel) for name, camel in EXPORT_FIELDS.items()])
+    return rows.select(F.to_json(named, {"ignoreNullFields": "false"}).alias("line"))
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     """JSON lines in the JSON export's naming, nulls kept."""
     json_rows(rows).write.mode("overwrite").option("ignoreNullFields", False).json(path)

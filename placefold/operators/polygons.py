@@ -257,7 +257,9 @@ def points_inside(
     )
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, per_degree: int = CELLS_PER_DEGREE) -> DataFrame:
+def points_in_boxes(
+    points: DataFrame, boxes: DataFrame, per_degree: int = CELLS_PER_DEGREE, keys: tuple[str, ...] = ()
+) -> DataFrame:
     """Pairs of a point and a box (south, west, north, east) that holds it.
 
     A box is listed under the cells it covers, a large one under coarse cells,
@@ -272,7 +274,7 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, per_degree: int = CELLS
         covered = some.select("*", F.explode(_span(F.col("west"), F.col("east"), size)).alias("cx"))
         covered = covered.select("*", F.explode(_span(F.col("south"), F.col("north"), size)).alias("cy"))
         return (
-            _at_cells(points, size, covered)
+            _at_cells(points, size, covered, keys)
             .where(F.col("lat").between(F.col("south"), F.col("north")))
             .where(F.col("lon").between(F.col("west"), F.col("east")))
             .drop("cx", "cy")

@@ -27,6 +27,10 @@ def csv_export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.csv_lines(export_rows(spark, sf_dir))
 
 
+def json_export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.json_lines(export_rows(spark, sf_dir))
+
+
 def delivery_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = view(spark, sf_dir, "listing_jobs")
     return op.delivery_records(golden_listings(spark, sf_dir), jobs, SOURCE)
@@ -133,6 +137,14 @@ QUERIES = {
             LISTINGS + _EXPORT + "SELECT " + " || ',' || ".join(_csv(c) for c in op.EXPORT_FIELDS) + " AS line FROM e",
         ),
     ),
+    "json_export_lines": (
+        json_export_lines,
+        with_views(
+            "parsed_records listing_jobs",
+            LISTINGS + _EXPORT + "SELECT CAST(json_object("
+            + ", ".join(f"'{camel}', {name}" for name, camel in op.EXPORT_FIELDS.items()) + ") AS VARCHAR) AS line FROM e",
+        ),
+    ),
     "delivery_records": (
         delivery_records,
         with_views(

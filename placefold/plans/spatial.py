@@ -66,6 +66,20 @@ def quadtree_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def seeded_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = view(spark, sf_dir, "grid_roots").select("job_id", "seed", bx.make_box(*[F.col(c) for c in SIDES]).alias("bbox"))
+    return grid.seeded_cells(view(spark, sf_dir, "points"), roots).select(
+        "job_id", "seed", "depth", "ix", "iy", *[F.col(f"bbox.{s}").alias(s) for s in SIDES], "n", "exhaustive"
+    )
+
+
+def points_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each point lies in the zone it names; zones 25 and 26 are not known."""
+    points = view(spark, sf_dir, "points").withColumn("geom_id", (F.col("point_id") % 27).cast("bigint"))
+    edges = view(spark, sf_dir, "zone_edges").withColumn("geom_id", F.col("geom_id").cast("bigint"))
+    return polygons.points_inside(points, edges).select("point_id", "geom_id", "inside")
+
+
 def point_in_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = polygons.part_measures(view(spark, sf_dir, "zone_edges")).drop("area")
     pairs = polygons.points_in_boxes(view(spark, sf_dir, "points"), parts)
@@ -202,6 +216,40 @@ QUERIES = {
             FROM named m LEFT JOIN cell c USING (job_id, depth, ix, iy) ANTI JOIN split s USING (job_id, depth, ix, iy)""",
         ),
     ),
+    "seeded_grid": (
+        seeded_grid,
+        with_views(
+            "points grid_roots",
+            f""", leaf AS (SELECT r.*, CAST(least(floor((lon - west) / (east - west) * 256), 255) AS INT) AS ix,
+                CAST(least(floor((lat - south) / (north - south) * 256), 255) AS INT) AS iy, count(*) AS n
+              FROM points JOIN grid_roots r USING (job_id) WHERE lat BETWEEN south AND north AND lon BETWEEN west AND east GROUP BY ALL),
+            level AS (SELECT CAST(unnest(range(9)) AS INT) AS depth),
+            cell AS (SELECT job_id, seed, depth, ix >> (8 - depth) AS ix, iy >> (8 - depth) AS iy, CAST(sum(n) AS BIGINT) AS n FROM leaf, level GROUP BY ALL),
+            box AS (SELECT c.*, r.north - r.south AS height, r.east - r.west AS width,
+                r.south + iy * ((r.north - r.south) / pow(2, depth)) AS south, r.west + ix * ((r.east - r.west) / pow(2, depth)) AS west,
+                r.south + (iy + 1) * ((r.north - r.south) / pow(2, depth)) AS north, r.west + (ix + 1) * ((r.east - r.west) / pow(2, depth)) AS east
+              FROM cell c JOIN grid_roots r USING (job_id, seed)),
+            ang AS ({_angles('box')}),
+            split AS (SELECT job_id, seed, depth, ix, iy FROM ang WHERE depth < 14 AND width / pow(2, depth) > 0.05 AND height / pow(2, depth) > 0.05
+              AND ({_RADIUS} > 25000 OR n >= 30)),
+            named AS (SELECT job_id, seed, depth + 1 AS depth, ix * 2 + dx AS ix, iy * 2 + dy AS iy FROM split, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) q(dx, dy)
+              UNION ALL SELECT job_id, seed, 0, 0, 0 FROM grid_roots)
+            SELECT m.job_id, m.seed, m.depth, m.ix, m.iy, r.south + m.iy * ((r.north - r.south) / pow(2, m.depth)) AS south,
+              r.west + m.ix * ((r.east - r.west) / pow(2, m.depth)) AS west, r.south + (m.iy + 1) * ((r.north - r.south) / pow(2, m.depth)) AS north,
+              r.west + (m.ix + 1) * ((r.east - r.west) / pow(2, m.depth)) AS east, coalesce(c.n, 0) AS n, coalesce(c.n, 0) >= 30 AS exhaustive
+            FROM named m JOIN grid_roots r USING (job_id, seed) LEFT JOIN cell c USING (job_id, seed, depth, ix, iy)
+            ANTI JOIN split s USING (job_id, seed, depth, ix, iy)""",
+        ),
+    ),
+    "points_inside": (
+        points_inside,
+        with_views(
+            "points zone_edges",
+            f""", p AS (SELECT *, point_id % 27 AS geom_id FROM points),
+            h AS (SELECT point_id FROM p JOIN zone_edges USING (geom_id) GROUP BY point_id, part_id, lon, lat HAVING {_inside('lon', 'lat')})
+            SELECT point_id, geom_id, geom_id NOT IN (SELECT geom_id FROM zone_edges) OR point_id IN (SELECT point_id FROM h) AS inside FROM p""",
+        ),
+    ),
     "point_in_bbox": (
         point_in_bbox,
         with_views(

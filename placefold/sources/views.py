@@ -55,6 +55,13 @@ SELECT event_id AS point_id, event_type AS job_id,
 FROM {events}
 """
 
+# Seed boxes of each job's grid; job quiet has no points.
+GRID_ROOTS = """
+SELECT DISTINCT event_type AS job_id, 1 AS seed, 4e1 AS south, 0e0 AS west, 4.4e1 AS north, 8e0 AS east FROM {events}
+UNION ALL SELECT DISTINCT event_type, 2, 4.4e1, 0e0, 4.8e1, CASE event_type WHEN 'click' THEN 2e0 ELSE 4e0 END FROM {events}
+UNION ALL SELECT DISTINCT 'quiet', 1, 4e1, 0e0, 4.1e1, 1e0 FROM {events}
+"""
+
 LOCALITIES = """
 SELECT s_suppkey AS id, CASE s_suppkey % 5
     WHEN 0 THEN NULL
@@ -333,6 +340,7 @@ VIEWS = {
     "expiring": EXPIRING,
     "boxes": BOXES,
     "box_texts": BOX_TEXTS,
+    "grid_roots": GRID_ROOTS,
     "zone_edges": ZONE_EDGES,
     "parcel_edges": PARCEL_EDGES,
 }
