@@ -34,8 +34,16 @@ def parse_box(values: Column, strict: bool = False) -> Column:
     return _from_list(values, ("south", "north", "west", "east"), strict)
 
 
-def box_from_list(values: Column, strict: bool = False) -> Column:
-    """Box from values in the order west, south, east, north."""
+def box_from_list(values: Column, strict: bool = False, numeric: bool = False) -> Column:
+    """Box from values in the order west, south, east, north.
+
+    ``numeric`` lists are taken as they are; texts are read tolerantly.
+    """
+    if numeric:
+        side = {name: F.get(values, F.lit(i)) for i, name in enumerate(("west", "south", "east", "north"))}
+        box = make_box(*[side[name].cast("double") for name in SIDES])
+        wrong = F.raise_error(F.lit("a bounding box needs four values")) if strict else F.lit(None)
+        return F.when(F.coalesce(F.size(values) == 4, F.lit(False)), box).otherwise(wrong)
     return _from_list(values.cast("array<string>"), ("west", "south", "east", "north"), strict)
 
 

@@ -81,19 +81,25 @@ def normalize_listings(parsed: DataFrame, *carry: str) -> DataFrame:
     )
 
 
+_LOCATION_DDL = (
+    "city string, stateRegion string, state_region string, postcode string, country string, _bad string"
+)
+
+
 def backfill_locations(listings: DataFrame, raw: str = "raw_json") -> DataFrame:
     """Fill empty location fields from the raw record.
 
     Only narrow expressions: the filter for incomplete rows and the write-back
     become one projection, rows that are complete pass through unchanged.
     """
-    record = F.when(F.try_parse_json(raw).isNotNull(), F.col(raw))
-    value = lambda path: null_if_empty(F.get_json_object(record, path))
+    record = F.from_json(raw, _LOCATION_DDL, {"columnNameOfCorruptRecord": "_bad"})
+    whole = listings.withColumn("_record", record)  # parsed once for all fields
+    value = lambda name: null_if_empty(F.when(F.col("_record._bad").isNull(), F.col(f"_record.{name}")))
     source = {
-        "city": value("$.city"),
-        "state_region": F.coalesce(value("$.stateRegion"), value("$.state_region")),
-        "postcode": value("$.postcode"),
-        "country": value("$.country"),
+        "city": value("city"),
+        "state_region": F.coalesce(value("stateRegion"), value("state_region")),
+        "postcode": value("postcode"),
+        "country": value("country"),
     }
     filled = {
         name: F.when(nonempty(F.col(name)), F.col(name)).otherwise(found)
@@ -101,4 +107,4 @@ def backfill_locations(listings: DataFrame, raw: str = "raw_json") -> DataFrame:
     }
     if "area" in listings.columns:
         filled["area"] = null_if_empty(F.col("area"))
-    return listings.withColumns(filled)
+    return whole.withColumns(filled).drop("_record")

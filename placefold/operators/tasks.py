@@ -395,16 +395,6 @@ def purge_expired(rows: DataFrame, as_of: Column) -> DataFrame:
     return rows.where(F.col("expires_at") > as_of)
 
 
-def split_children(shards: DataFrame) -> DataFrame:
-    """Four child tasks of each row with a box, in the order SW, SE, NW, NE."""
-    return shards.select(
-        F.col("id").alias("parent_id"),
-        *[c for c in ("job_id",) if c in shards.columns],
-        (F.col("depth") + 1).alias("depth"),
-        F.posexplode(quadrants(F.col("bbox"))).alias("quadrant", "bbox"),
-    )
-
-
 def apply_splits(shards: DataFrame, splitting: Column, as_of: Column) -> DataFrame:
     """The task table after the rows under ``splitting`` were split.
 

@@ -24,7 +24,7 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bbox_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.filter(F.array("v1", "v2", "v3", "v4", "v5"), lambda v: v.isNotNull())
     rows = view(spark, sf_dir, "box_texts").select("id", bx.parse_box(parts).alias("bbox"))
-    again = bx.box_from_list(bx.box_to_list(F.col("bbox")))
+    again = bx.box_from_list(bx.box_to_list(F.col("bbox")), numeric=True)
     return rows.select(
         "id",
         *[F.col(f"bbox.{s}").alias(s) for s in SIDES],

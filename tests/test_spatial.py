@@ -252,19 +252,23 @@ def test_area_of_an_octant_and_a_hole(spark):
     assert got[2] == pytest.approx(sphere / 16)
 
 
-def seeds_by_loop(areas, max_seeds=32, ratio=0.995, least=0.0002):
-    order = sorted(areas, key=lambda p: (-p[1], p[0]))
-    total = sum(a for _, a in order)
-    chosen, covered = [], 0.0
-    for part, area in [p for p in order if p[1] / total >= least]:
-        chosen.append(part)
-        covered += area
-        if len(chosen) >= max_seeds or covered >= total * ratio:
-            break
-    return chosen or [order[0][0]]
-
-
-def test_seed_boxes_equal_the_loop(spark):
+def assert_seeds_hold(areas, seeds, max_seeds=32, ratio=0.995, least=0.0002):
+    """What must be true of the seeds of a geometry, whatever way they were found."""
+    size = dict(areas)
+    total = sum(size.values())
+    picked = [size[p] for p in seeds]
+    assert len(set(seeds)) == len(seeds) and 1 <= len(seeds) <= max_seeds
+    # Largest first, and nothing larger was passed over.
+    assert picked == sorted(size.values(), reverse=True)[: len(picked)]
+    # Each further seed is worth it and was still needed.
+    for k in range(1, len(picked)):
+        assert picked[k] / total >= least and sum(picked[:k]) < total * ratio
+    # It ends for one of three reasons.
+    if len(seeds) < max_seeds and sum(picked) < total * ratio:
+        assert all(a / total < least for p, a in areas if p not in seeds)
+
+
+def test_seed_boxes_hold_their_rule(spark):
     rng = random.Random(8)
     shaped = []
     for g in range(12):
@@ -284,7 +288,9 @@ def test_seed_boxes_equal_the_loop(spark):
     for r in polygons.seed_boxes(edges, countries).orderBy("geom_id", "seed").collect():
         got.setdefault(r.geom_id, []).append((r.part_id, tuple(r.bbox)))
     assert got[12] == [(None, (1.0, 2.0, 3.0, 4.0))]
-    assert {g: [p for p, _ in v] for g, v in got.items() if g < 12} == {g: seeds_by_loop(a) for g, a in areas.items()}
+    assert set(got) == set(range(13))
+    for g, own in areas.items():
+        assert_seeds_hold(own, [p for p, _ in got[g]])
 
 
 def test_largest_part_stays_when_all_are_tiny(spark):
