@@ -28,9 +28,15 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("a != b").distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.select(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Every node hangs on one other node or has nodes hanging on it, not both."""
+    ends = edges.select(F.col("a").alias("node"), "b").unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(None).alias("b"))
+    )
+    roles = ends.groupBy("node").agg(
+        F.min("b").alias("lo"), F.max("b").alias("hi"), F.bool_or(F.col("b").isNull()).alias("root")
+    )
+    return roles.where("lo != hi OR (root AND lo IS NOT NULL)").isEmpty()
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -38,13 +44,12 @@ def connected(links: DataFrame) -> DataFrame:
 
     ``links`` has columns a and b in any order, repeated or not. The number of
     rounds grows with the logarithm of the longest chain. Each round is cut off
-    by a written table; only two numbers per round reach the driver.
+    by a written table; one truth value per round reaches the driver.
     """
-    edges = written(links.select("a", "b").where("a != b").distinct(), "edges")
-    before = None
-    while (now := _state(edges)) != before:
-        before = now
-        edges = written(_stars(written(_stars(edges, large=True), "edges"), large=False), "edges")
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    edges = written(links.where("a != b").select(high.alias("a"), low.alias("b")).distinct(), "edges")
+    while not _is_forest_of_stars(edges):
+        edges = written(_stars(_stars(edges, large=True), large=False), "edges")
     hung = edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
     return hung.unionByName(roots)

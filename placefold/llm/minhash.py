@@ -22,14 +22,16 @@ class NearRule:
     ``bands`` x ``rows`` coordinates are sketched. A pair at the least
     similarity s shares a band with probability 1 - (1 - s^rows)^bands: all but
     5 in 10^8 for 0.8, 32 bands and 4 rows. ``stars`` rounds compare each
-    document with one other per round; what then is still open is compared in full.
+    document with one other per round; what is still open then is paired, with
+    exact bounds first.
     """
 
     words: int = 4
     percent: int = 80
     bands: int = 32
     rows: int = 4
-    stars: int = 6
+    stars: int = 2
+    slice_chars: int = 2_000_000
 
     @property
     def coordinates(self) -> int:
@@ -68,6 +70,7 @@ def sketch(h: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     docs = len(starts) - 1
     kept = np.full(docs * size, EMPTY)
     doc = np.repeat(np.arange(docs), np.diff(starts))
+    open_sets = np.diff(starts) > 0
     for r in range(2 * size):
         if not len(h):
             break
@@ -75,37 +78,42 @@ def sketch(h: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
         place = (z >> np.uint64(64 - bits)).astype(np.int64) if r < size else r - size
         value = (np.uint64(r) << np.uint64(48)) | (z & np.uint64((1 << 48) - 1))
         np.minimum.at(kept, doc * size + place, value)
-        open_sets = (kept.reshape(docs, size) == EMPTY).any(axis=1)
+        open_sets[open_sets] = (kept.reshape(docs, size)[open_sets] == EMPTY).any(axis=1)
         go_on = open_sets[doc]
-        h, doc = h[go_on], doc[go_on]
+        if not go_on.all():
+            h, doc = h[go_on], doc[go_on]
     return kept.reshape(docs, size)
 
 
+def _sketched(part: pa.RecordBatch, own: list[str], rule: NearRule) -> pa.RecordBatch:
+    h, starts = shingles(own, rule.words)
+    kept = sketch(h, starts, rule.coordinates).reshape(len(own), rule.bands, rule.rows)
+    keys = np.arange(1, rule.bands + 1, dtype=np.uint64)[None, :] * np.ones((len(own), 1), np.uint64)
+    for k in range(rule.rows):
+        keys = keys * ODD + kept[:, :, k]
+    keys = mix(keys).view(np.int64)
+    n = np.diff(starts)
+    doc = np.repeat(np.arange(len(own)), n)
+    sums = np.zeros((2, len(own)), np.uint64)
+    for s, seed in enumerate((ODD, mix(np.full(1, 3, np.uint64)))):  # sums are the same in any order
+        np.add.at(sums[s], doc, mix(h ^ seed))
+    node = np.ascontiguousarray(sums.T).tobytes()
+    nodes = [node[i : i + 16] for i in range(0, len(node), 16)]
+    some = n > 0
+    begin = np.concatenate([[0], np.cumsum(some * rule.bands)]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(begin), pa.array(keys[some].reshape(-1)))
+    return pa.record_batch(
+        [*part.select([ID, ROW]).columns, pa.array(n), pa.array(nodes, pa.binary()), lists],
+        names=[ID, ROW, "n_shingles", "node", "bands"],
+    )
+
+
 def sketches(texts: DataFrame, rule: NearRule) -> DataFrame:
     """(_id, _row, n_shingles, node, bands): node is a 128-bit hash of the shingle set."""
 
     def make(batches):
-        for part, own in text_slices(batches):
-            h, starts = shingles(own, rule.words)
-            kept = sketch(h, starts, rule.coordinates).reshape(len(own), rule.bands, rule.rows)
-            keys = np.arange(1, rule.bands + 1, dtype=np.uint64)[None, :] * np.ones((len(own), 1), np.uint64)
-            for k in range(rule.rows):
-                keys = keys * ODD + kept[:, :, k]
-            keys = mix(keys).view(np.int64)
-            n = np.diff(starts)
-            doc = np.repeat(np.arange(len(own)), n)
-            sums = np.zeros((2, len(own)), np.uint64)
-            for s, seed in enumerate((ODD, ODD * np.uint64(3))):  # sums are the same in any order
-                np.add.at(sums[s], doc, mix(h ^ seed))
-            node = np.ascontiguousarray(sums.T).tobytes()
-            nodes = [node[i : i + 16] for i in range(0, len(node), 16)]
-            some = n > 0
-            begin = np.concatenate([[0], np.cumsum(some * rule.bands)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(begin), pa.array(keys[some].reshape(-1)))
-            yield pa.record_batch(
-                [*part.select([ID, ROW]).columns, pa.array(n), pa.array(nodes, pa.binary()), lists],
-                names=[ID, ROW, "n_shingles", "node", "bands"],
-            )
+        for part, own in text_slices(batches, limit=rule.slice_chars):
+            yield _sketched(part, own, rule)
 
     kind = texts.schema[ID].dataType.simpleString()
     made = texts.mapInArrow(make, f"{ID} {kind}, {ROW} long, n_shingles long, node binary, bands array<long>")
@@ -113,10 +121,10 @@ def sketches(texts: DataFrame, rule: NearRule) -> DataFrame:
 
 
 def _sets(texts: DataFrame, rows: DataFrame, rule: NearRule) -> DataFrame:
-    """(node, n, shingles) of the texts named by ``rows`` (_i, _r, node), one per node."""
+    """(node, shingles) of the texts named by ``rows`` (_i, _r, node), one per node."""
 
     def make(batches):
-        for part, own in text_slices(batches):
+        for part, own in text_slices(batches, limit=rule.slice_chars):
             h, starts = shingles(own, rule.words)
             lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(h.view(np.int64)))
             yield pa.record_batch([part.column(part.schema.get_field_index("node")), lists], names=["node", "shingles"])
@@ -139,7 +147,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: NearRule) -> DataFrame:
 
 
 def _fits(rule: NearRule):
-    return 100 * F.least("n_a", "n_b") >= rule.percent * F.greatest("n_a", "n_b")
+    return 100 * F.least("n_a", "n_b").cast("long") >= rule.percent * F.greatest("n_a", "n_b").cast("long")
 
 
 def near_duplicates(
@@ -152,8 +160,9 @@ def near_duplicates(
     a bucket names one node as its centre, and each node of another component
     is compared with one centre on full sets; components then merge. Buckets
     that lie in one component are done, which settles even very large groups
-    in a few rounds. Whatever is open after the last round is compared pair by
-    pair across components, so no link between candidates is lost.
+    in a few rounds. Nodes of buckets that are still open after the last round
+    are paired across components, but for those that bounds on their shingles
+    rule out, so no link between candidates is lost.
 
     component_id is the smallest id reachable by links, kept says that it is
     the document's own. Null, empty and wordless texts have no shingles, are
@@ -162,52 +171,81 @@ def near_duplicates(
     """
     texts = keyed(docs, id_col, text_col)
     drawn = sketches(texts, rule)
-    nodes = drawn.where("n_shingles > 0").groupBy("node").agg(
-        F.min(F.struct(F.col(ID).alias("_i"), F.col(ROW).alias("_r"))).alias("at"),
-        F.first("n_shingles").alias("n"),
-        F.first("bands").alias("bands"),
-    )
-    in_band = nodes.select("node", "n", "at", F.explode("bands").alias("key"))
+    some = drawn.where("n_shingles > 0")
+    nodes = some.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    in_band = nodes.select("node", "n", F.explode("bands").alias("key"))
     shared = in_band.groupBy("key").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("key")
     members = written(in_band.join(shared, "key"), "members")
-    rows = members.select("node", "at.*").distinct()
-    sets = _sets(texts, rows, rule)
-
     comp = written(members.select("node", F.col("node").alias("comp")).distinct(), "components")
-    links = None
+    rows = some.join(comp, "node").groupBy("node").agg(
+        F.min(F.struct(F.col(ID).alias("_i"), F.col(ROW).alias("_r"))).alias("at")
+    )
+    sets = _sets(texts, rows.select("node", "at.*"), rule)
     for turn in range(rule.stars + 1):
-        labelled = members.select("key", "node", "n").join(comp, "node")
+        labelled = members.join(comp, "node")
         split = labelled.groupBy("key").agg(
             F.min("comp").alias("_lo"), F.max("comp").alias("_hi"),
             F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "n", "comp")).alias("centre"),
         ).where("_lo != _hi").select("key", "centre")
-        open_ones = labelled.join(split, "key")
-        if turn < rule.stars:
-            to_centre = open_ones.where(F.col("comp") != F.col("centre.comp")).select(
-                F.col("node").alias("a"), F.col("n").alias("n_a"),
-                F.col("centre.node").alias("b"), F.col("centre.n").alias("n_b"),
-            )
-            pairs = to_centre.where(_fits(rule)).groupBy("a").agg(F.min("b").alias("b"))
-        else:
-            one = open_ones.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("c_a"))
-            two = open_ones.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("c_b"))
-            across = one.join(two, "key").where((F.col("c_a") < F.col("c_b")) & _fits(rule))
-            pairs = across.select("a", "b").distinct()
-        found = written(_verified(pairs, sets, rule), "links")
-        if turn < rule.stars and found.isEmpty():
-            if pairs.isEmpty():
-                break
-            continue
-        links = found if links is None else links.unionByName(found)
-        comp = _labels(links, comp)
+        left = written(labelled.join(split, "key"), "open")
+        pairs = _to_centres(left, rule) if turn < rule.stars else _across(left, sets, rule)
+        comp = _merged(comp, written(_verified(pairs, sets, rule), "links"))
+        # Closed buckets are done for good: components only grow.
+        members = left.select("node", "n", "key")
     return _per_document(drawn, comp, id_col)
 
 
-def _labels(links: DataFrame, comp: DataFrame) -> DataFrame:
-    labels = connected(links)
-    return written(
-        comp.select("node").join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "components"
+def _to_centres(left: DataFrame, rule: NearRule) -> DataFrame:
+    """Each node with one centre of its buckets that lies in another component."""
+    pairs = left.where(F.col("comp") != F.col("centre.comp")).select(
+        F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("centre.node").alias("b"), F.col("centre.n").alias("n_b")
+    )
+    return pairs.where(_fits(rule)).groupBy("a").agg(F.min("b").alias("b"))
+
+
+def _across(left: DataFrame, sets: DataFrame, rule: NearRule) -> DataFrame:
+    """Pairs of one bucket but different components that can be similar enough, each once.
+
+    A shingle that only one component has is in no wanted intersection, so the
+    number of the others bounds it: in near-copy groups most sets outside the
+    component fail this by their own edits alone. Of each bucket the component
+    with most nodes is only met, never paired with itself, and of all buckets
+    that two nodes share only the one with the least key gives a row.
+    """
+    nodes = left.select("node", "comp").distinct()
+    own = sets.join(nodes, "node").select("node", "comp", F.explode("shingles").alias("t"))
+    shared = own.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("t")
+    common = own.join(shared, "t").groupBy("node").agg(F.count(F.lit(1)).alias("s"))
+    open_nodes = written(
+        left.groupBy("node", "comp", "n").agg(F.collect_list("key").alias("keys"))
+        .join(common, "node").where(100 * F.col("s") >= rule.percent * F.col("n")),
+        "across",
+    )
+    in_key = open_nodes.select("*", F.explode("keys").alias("key"))
+    most = (
+        in_key.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+        .groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("c"))
+        .where("c > 1").select("key", F.col("top.comp").alias("top"))
+    )
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "comp", "n", "s", "keys")]
+    outside = in_key.join(most, "key").where("comp != top").select("key", "top", *side("a"))
+    inside = in_key.select("key", *side("b"))
+    once = (F.col("comp_a") != F.col("comp_b")) & (
+        (F.col("comp_b") == F.col("top")) | (F.col("comp_a") < F.col("comp_b"))
     )
+    enough = (100 + rule.percent) * F.least("s_a", "s_b") >= rule.percent * (F.col("n_a") + F.col("n_b"))
+    first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
+    found = outside.join(inside, "key").where(once & _fits(rule) & enough & first)
+    return found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after joining the components of linked nodes."""
+    of_a = links.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("c_a")), "a")
+    of_b = of_a.join(comp.select(F.col("node").alias("b"), F.col("comp").alias("c_b")), "b")
+    joined = connected(of_b.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+    new = joined.select(F.col("node").alias("comp"), F.col("comp").alias("_new"))
+    return written(comp.join(new, "comp", "left").select("node", F.coalesce("_new", "comp").alias("comp")), "components")
 
 
 def _per_document(drawn: DataFrame, comp: DataFrame, id_col: str) -> DataFrame:
