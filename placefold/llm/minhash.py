@@ -157,8 +157,9 @@ def near_duplicates(
 
     Documents with equal shingle sets are one node. Nodes that share a band are
     candidates; a bucket's nodes are not paired with each other. In each round
-    a bucket names one node as its centre, and each node of another component
-    is compared with one centre on full sets; components then merge. Buckets
+    a bucket names one node as its centre (at first the one whose buckets hold
+    most nodes, then any), and each node of another component is compared with
+    one centre on full sets; components then merge. Buckets
     that lie in one component are done, which settles even very large groups
     in a few rounds. Nodes of buckets that are still open after the last round
     are paired across components, but for those that bounds on their shingles
@@ -174,18 +175,21 @@ def near_duplicates(
     some = drawn.where("n_shingles > 0")
     nodes = some.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     in_band = nodes.select("node", "n", F.explode("bands").alias("key"))
-    shared = in_band.groupBy("key").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("key")
+    shared = in_band.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     members = written(in_band.join(shared, "key"), "members")
-    comp = written(members.select("node", F.col("node").alias("comp")).distinct(), "components")
+    met = members.groupBy("node").agg(F.sum("m").alias("met"))
+    comp = written(met.select("node", F.col("node").alias("comp"), "met"), "components")
     rows = some.join(comp, "node").groupBy("node").agg(
         F.min(F.struct(F.col(ID).alias("_i"), F.col(ROW).alias("_r"))).alias("at")
     )
     sets = _sets(texts, rows.select("node", "at.*"), rule)
     for turn in range(rule.stars + 1):
         labelled = members.join(comp, "node")
+        # The nodes that meet most others lie amid them: they link the most at once.
+        order = F.xxhash64("node", F.lit(turn)) if turn else F.col("met")
         split = labelled.groupBy("key").agg(
             F.min("comp").alias("_lo"), F.max("comp").alias("_hi"),
-            F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "n", "comp")).alias("centre"),
+            F.max(F.struct(order.alias("o"), "node", "n", "comp")).alias("centre"),
         ).where("_lo != _hi").select("key", "centre")
         left = written(labelled.join(split, "key"), "open")
         pairs = _to_centres(left, rule) if turn < rule.stars else _across(left, sets, rule)
@@ -198,9 +202,10 @@ def near_duplicates(
 def _to_centres(left: DataFrame, rule: NearRule) -> DataFrame:
     """Each node with one centre of its buckets that lies in another component."""
     pairs = left.where(F.col("comp") != F.col("centre.comp")).select(
-        F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("centre.node").alias("b"), F.col("centre.n").alias("n_b")
-    )
-    return pairs.where(_fits(rule)).groupBy("a").agg(F.min("b").alias("b"))
+        F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("centre.node").alias("b"),
+        F.col("centre.n").alias("n_b"), F.col("centre.o").alias("o"),
+    )
+    return pairs.where(_fits(rule)).groupBy("a").agg(F.max(F.struct("o", "b")).alias("best")).select("a", "best.b")
 
 
 def _across(left: DataFrame, sets: DataFrame, rule: NearRule) -> DataFrame:
@@ -245,7 +250,8 @@ def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     of_b = of_a.join(comp.select(F.col("node").alias("b"), F.col("comp").alias("c_b")), "b")
     joined = connected(of_b.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
     new = joined.select(F.col("node").alias("comp"), F.col("comp").alias("_new"))
-    return written(comp.join(new, "comp", "left").select("node", F.coalesce("_new", "comp").alias("comp")), "components")
+    named = F.coalesce("_new", "comp").alias("comp")
+    return written(comp.join(new, "comp", "left").select("node", named, "met"), "components")
 
 
 def _per_document(drawn: DataFrame, comp: DataFrame, id_col: str) -> DataFrame:
