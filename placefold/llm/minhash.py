@@ -23,7 +23,7 @@ class NearRule:
     similarity s shares a band with probability 1 - (1 - s^rows)^bands: all but
     5 in 10^8 for 0.8, 32 bands and 4 rows. ``stars`` rounds compare each
     document with one other per round; what is still open then is paired, with
-    exact bounds first.
+    exact bounds first. A shingle of at most ``rare`` open nodes is rare.
     """
 
     words: int = 4
@@ -31,6 +31,7 @@ class NearRule:
     bands: int = 32
     rows: int = 4
     stars: int = 2
+    rare: int = 16
     slice_chars: int = 2_000_000
 
     @property
@@ -209,39 +210,80 @@ def _to_centres(left: DataFrame, rule: NearRule) -> DataFrame:
 
 
 def _across(left: DataFrame, sets: DataFrame, rule: NearRule) -> DataFrame:
-    """Pairs of one bucket but different components that can be similar enough, each once.
-
-    A shingle that only one component has is in no wanted intersection, so the
-    number of the others bounds it: in near-copy groups most sets outside the
-    component fail this by their own edits alone. Of each bucket the component
-    with most nodes is only met, never paired with itself, and of all buckets
-    that two nodes share only the one with the least key gives a row.
+    """Pairs of different components that can be similar enough, each once.
+
+    A shingle that only one component has is in no wanted intersection. The
+    others are rare or common by the number of open nodes that have them. The
+    rare ones that two nodes share are counted by a join on the shingle, which
+    yields at most ``rule.rare`` rows per shingle and node. Two nodes that share
+    none can only be similar by their common shingles; of these pairs, those of
+    one bucket are made where both nodes have enough. Each bound is exact, so no
+    pair of a bucket is lost: in near-copy groups most sets outside the
+    component fail by their own edits.
     """
-    nodes = left.select("node", "comp").distinct()
-    own = sets.join(nodes, "node").select("node", "comp", F.explode("shingles").alias("t"))
-    shared = own.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("t")
-    common = own.join(shared, "t").groupBy("node").agg(F.count(F.lit(1)).alias("s"))
-    open_nodes = written(
-        left.groupBy("node", "comp", "n").agg(F.collect_list("key").alias("keys"))
-        .join(common, "node").where(100 * F.col("s") >= rule.percent * F.col("n")),
+    nodes = left.select("node", "comp", "n").distinct()
+    own = sets.join(nodes, "node").select("node", "comp", "n", F.explode("shingles").alias("t"))
+    shared = (
+        own.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("f"))
+        .where("lo != hi").select("t", (F.col("f") > rule.rare).alias("common"))
+    )
+    met = written(own.join(shared, "t"), "met")
+    counts = written(
+        met.groupBy("node", "comp", "n").agg(F.count(F.lit(1)).alias("s"), F.count_if("common").alias("k"))
+        .where(100 * F.col("s") >= rule.percent * F.col("n")),
         "across",
     )
-    in_key = open_nodes.select("*", F.explode("keys").alias("key"))
+    return _by_rare(met.where("NOT common").select("node", "t"), counts, rule).unionByName(
+        _by_common(left, counts.where(100 * F.col("k") >= rule.percent * F.col("n")), rule)
+    ).distinct()
+
+
+def _sides(of: DataFrame, *columns: str) -> list[DataFrame]:
+    """``of`` twice, with columns named for either side of a pair."""
+    return [of.select(*[c for c in of.columns if c not in columns], *[F.col(c).alias(f"{c}_{x}") for c in columns]) for x in "ab"]
+
+
+def _can_share(most, rule: NearRule):
+    """Whether ``most`` shared shingles suffice for sets of n_a and n_b."""
+    return (100 + rule.percent) * most >= rule.percent * (F.col("n_a") + F.col("n_b"))
+
+
+def _by_rare(rare: DataFrame, counts: DataFrame, rule: NearRule) -> DataFrame:
+    """Pairs that share rare shingles: these and the fewer common ones bound what they share."""
+    first, second = _sides(rare.join(counts, "node"), "node", "comp", "n", "s", "k")
+    met = first.join(second, "t").where(
+        (F.col("comp_a") < F.col("comp_b")) & _fits(rule) & _can_share(F.least("s_a", "s_b"), rule)
+    )
+    pairs = met.groupBy("node_a", "node_b").agg(
+        F.count(F.lit(1)).alias("r"), *[F.first(c).alias(c) for c in ("n_a", "n_b", "k_a", "k_b")]
+    )
+    return pairs.where(_can_share(F.col("r") + F.least("k_a", "k_b"), rule)).select(
+        F.col("node_a").alias("a"), F.col("node_b").alias("b")
+    )
+
+
+def _by_common(left: DataFrame, counts: DataFrame, rule: NearRule) -> DataFrame:
+    """Pairs of a bucket that have enough common shingles.
+
+    Of each bucket the component with most nodes is only met, never paired with
+    itself, and of all buckets that two nodes share only the one with the least
+    key gives a row.
+    """
+    open_nodes = left.groupBy("node").agg(F.collect_list("key").alias("keys")).join(counts, "node")
+    in_key = written(open_nodes.select("*", F.explode("keys").alias("key")), "common")
     most = (
         in_key.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
         .groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("c"))
         .where("c > 1").select("key", F.col("top.comp").alias("top"))
     )
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "comp", "n", "s", "keys")]
-    outside = in_key.join(most, "key").where("comp != top").select("key", "top", *side("a"))
-    inside = in_key.select("key", *side("b"))
+    first, second = _sides(in_key, "node", "comp", "n", "s", "k", "keys")
+    outside = first.join(most, "key").where("comp_a != top")
     once = (F.col("comp_a") != F.col("comp_b")) & (
         (F.col("comp_b") == F.col("top")) | (F.col("comp_a") < F.col("comp_b"))
     )
-    enough = (100 + rule.percent) * F.least("s_a", "s_b") >= rule.percent * (F.col("n_a") + F.col("n_b"))
-    first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
-    found = outside.join(inside, "key").where(once & _fits(rule) & enough & first)
-    return found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    least = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
+    found = outside.join(second, "key").where(once & _fits(rule) & _can_share(F.least("k_a", "k_b"), rule) & least)
+    return found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
