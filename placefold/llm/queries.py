@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import bands, bpe, cotrain, fmindex, lines, minhash, pii, secret_scan, token_files, winnow
+from . import bands, bpe, cotrain, fmindex, lines, minhash, periods, pii, secret_scan, token_files, winnow
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +108,37 @@ def op10_fm_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def repeat_tails(docs: DataFrame) -> DataFrame:
+    """Every tenth text by its id's crc32 repeats some of its words from one of them on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size("_words")
+    marked = docs.select("*", F.when(h % 10 == 0, words).alias("_words"))
+    first, period = F.pmod(g, n), 1 + F.floor((n - F.pmod(g, n)) / (3 + g % 8))
+    told = F.transform(
+        F.col("_words"),
+        lambda w, i: F.when(i < first, w).otherwise(
+            F.get("_words", (first + F.pmod(i - first, period)).cast("int"))
+        ),
+    )
+    return marked.withColumn("text", F.when(n > 0, F.array_join(told, " ")).otherwise(F.col("text"))).drop("_words")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(repeat_tails(_documents(spark, sf_dir)))
+    each = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    top = F.col("_top")
+    return found.withColumn("_top", periods.greatest()).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        top["start"].alias("start"), top["length"].alias("length"), top["period"].alias("period"),
+        F.floor(1000 * top["length"] / top["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(each, ""), 256).alias("runs_sha256"),
+        F.sha2("kept", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_compression_bands": (op1_compression_bands, None),
     "op2_secret_scan": (op2_secret_scan, None),
@@ -119,4 +150,5 @@ QUERIES = {
     "op8_winnow_benchmark": (op8_winnow_benchmark, None),
     "op9_personal_data": (op9_personal_data, None),
     "op10_fm_substrings": (op10_fm_substrings, None),
+    "op12_periodic_runs": (op12_periodic_runs, None),
 }
