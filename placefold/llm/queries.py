@@ -6,7 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import bands, bpe, cotrain, fmindex, lines, minhash, periods, pii, secret_scan, token_files, winnow
+from . import (
+    bands,
+    bpe,
+    cotrain,
+    fmindex,
+    lines,
+    minhash,
+    ngram_join,
+    periods,
+    pii,
+    secret_scan,
+    token_files,
+    turn_trie,
+    winnow,
+)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +122,36 @@ def op10_fm_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def rebuilt(sequences: DataFrame) -> DataFrame:
+    """Every conversation with its first h turns taken from that of id c - c % 5; h is crc32(c) % 9."""
+    family = F.col("conv") - F.col("conv") % 5
+    own = F.struct("conv", "path", "sizes")
+    kin = sequences.groupBy(family.alias("first")).agg(F.collect_list(own).alias("kin"))
+    lead = F.get(F.filter("kin", lambda k: k["conv"] == F.col("first")), F.lit(0))
+    each = kin.select(F.explode("kin").alias("own"), lead.alias("lead")).select(
+        "own.*", F.coalesce("lead.path", F.lit(b"")).alias("lead_path"),
+        F.coalesce("lead.sizes", F.array().cast("array<long>")).alias("lead_sizes"),
+        (F.crc32(F.col("own.conv").cast("string").cast("binary")) % 9).cast("int").alias("h"),
+    )
+    h, width = F.col("h"), turn_trie.WIDTH
+    return each.select(
+        "conv",
+        F.concat(
+            F.substring("lead_path", F.lit(1), h * width),
+            F.substring("path", h * width + 1, F.greatest(F.octet_length("path") - h * width, F.lit(0))),
+        ).alias("path"),
+        F.concat(
+            F.slice("lead_sizes", F.lit(1), h),
+            F.slice("sizes", h + 1, F.greatest(F.size("sizes") - h, F.lit(0))),
+        ).alias("sizes"),
+    )
+
+
+def op11_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = load(spark, sf_dir, "conversations")
+    return turn_trie.trie_nodes(rebuilt(turn_trie.turn_sequences(turns)))
+
+
 def repeat_tails(docs: DataFrame) -> DataFrame:
     """Every tenth text by its id's crc32 repeats some of its words from one of them on."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -139,6 +183,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_documents(spark, sf_dir)).drop(ngram_join.ROW)
+
+
 QUERIES = {
     "op1_compression_bands": (op1_compression_bands, None),
     "op2_secret_scan": (op2_secret_scan, None),
@@ -150,5 +198,7 @@ QUERIES = {
     "op8_winnow_benchmark": (op8_winnow_benchmark, None),
     "op9_personal_data": (op9_personal_data, None),
     "op10_fm_substrings": (op10_fm_substrings, None),
+    "op11_turn_trie": (op11_turn_trie, None),
     "op12_periodic_runs": (op12_periodic_runs, None),
+    "op13_ngram_join": (op13_ngram_join, None),
 }
