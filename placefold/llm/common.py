@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..workspace import fresh_dir
 
 ID, ROW, TEXT = "_id", "_row", "_text"
+PACKED = "_packed"
 BATCH_CHARS = 4_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -30,6 +31,36 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+def quoted(name: str) -> Column:
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", without: tuple[str, ...] = ()) -> DataFrame:
+    """Every input row as one struct beside its id, row hash and text.
+
+    No column of the input can clash with those of an operator, whatever its
+    name. ``without`` are columns that the caller puts back himself.
+    """
+    own = [quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in without]
+    text = F.col(text_col).cast("string")
+    return docs.select(
+        F.struct(F.lit(True).alias("row"), *own).alias(PACKED),
+        F.col(id_col).alias(ID), F.xxhash64(text, F.length(text)).alias(ROW), text.alias(TEXT),
+    )
+
+
+def unpacked(docs: DataFrame, name: str) -> Column:
+    return F.col(PACKED)[f"c{docs.columns.index(name)}"].alias(name)
+
+
+def only_rows(docs: DataFrame, named: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose (_id, _row) are in ``named`` (``left_semi``) or are not (``left_anti``)."""
+    rows = packed(docs, id_col, text_col).drop(TEXT)
+    keys = named.select(F.col(ID).alias("_i"), F.col(ROW).alias("_r")).distinct()
+    kept = rows.join(keys.hint("shuffle_hash"), F.col(ID).eqNullSafe(F.col("_i")) & (F.col(ROW) == F.col("_r")), how)
+    return kept.select(*(unpacked(docs, c) for c in docs.columns))
+
+
 def same_row(left: DataFrame, right: DataFrame) -> Column:
     return left[ID].eqNullSafe(right[ID]) & (left[ROW] == right[ROW])
 

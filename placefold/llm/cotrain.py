@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, ROW, TEXT, text_slices, written
+from .common import ID, ROW, TEXT, only_rows, text_slices, written
 
 CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -334,9 +334,4 @@ def quality_scores(
 def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """``docs`` without the rows that the classifier rejects, all columns as they were."""
     bad = quality_scores(docs, labels, id_col, text_col, **kw).where(~F.col("kept"))
-    bad = bad.select(F.col(id_col).alias("_i"), F.col(ROW).alias("_r")).distinct()
-    text = F.col(text_col).cast("string")
-    hashed = docs.withColumn(ROW, F.xxhash64(text, F.length(text)))
-    return hashed.join(
-        bad.hint("shuffle_hash"), hashed[id_col].eqNullSafe(F.col("_i")) & (hashed[ROW] == F.col("_r")), "left_anti"
-    ).drop(ROW)
+    return only_rows(docs, bad.select(F.col(id_col).alias(ID), ROW), "left_anti", id_col, text_col)

@@ -5,17 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, ROW, TEXT, keyed
+from .common import ID, PACKED, ROW, TEXT, keyed, packed, unpacked
 
 WIDTH = 3
 SEEN = r"[^\x20\x09-\x0D]"
 
 
-def _hashed(docs: DataFrame, text_col: str) -> DataFrame:
-    text = F.col(text_col).cast("string")
-    return docs.withColumn(ROW, F.xxhash64(text, F.length(text)))
-
-
 def later_windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_i, _r, starts): sorted first lines of the windows that occurred before.
 
@@ -42,18 +37,17 @@ def later_windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _with_kept(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with _lines and _kept, the lines outside all later windows.
+    """Packed rows of ``docs`` with _lines and _kept, the lines outside all later windows.
 
     Covered positions merge by looking at neighbours: what stays between two
     starts is what lies behind the end of the first window.
     """
-    lines = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")
-    split = _hashed(docs, text_col).withColumn("_lines", lines).withColumn("_null", F.col(text_col).isNull())
-    split = split.drop(text_col)  # the lines are the text; one copy of it is shuffled
+    rows = packed(docs, id_col, text_col, without=(text_col,))
+    lines = F.split(F.coalesce(TEXT, F.lit("")), "\n")
+    # The lines are the text; one copy of it is shuffled.
+    split = rows.select(PACKED, ID, ROW, F.col(TEXT).isNull().alias("_null"), lines.alias("_lines"))
     marks = later_windows(docs, id_col, text_col)
-    joined = split.join(
-        marks.hint("shuffle_hash"), split[id_col].eqNullSafe(F.col("_i")) & (split[ROW] == F.col("_r")), "left"
-    )
+    joined = split.join(marks.hint("shuffle_hash"), F.col(ID).eqNullSafe(F.col("_i")) & (F.col(ROW) == F.col("_r")), "left")
     borders = F.arrays_zip(
         F.concat(F.array(F.lit(-WIDTH)), "starts").alias("a"), F.concat("starts", F.array(F.size("_lines"))).alias("b")
     )
@@ -77,7 +71,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     in id and text are one document and get the same result.
     """
     return _with_kept(docs.select(id_col, text_col), id_col, text_col).select(
-        id_col,
+        F.col(ID).alias(id_col),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size("_kept")).cast("long").alias("n_removed"),
         F.array_join("_kept", "\n").alias("kept"),
@@ -92,7 +86,8 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     done = _with_kept(docs, id_col, text_col)
     kept = F.array_join("_kept", "\n")
     left = done.where(F.col("starts").isNull() | kept.rlike(SEEN))
-    return left.withColumn(text_col, F.when(~F.col("_null"), kept)).select(*docs.columns)
+    text = F.when(~F.col("_null"), kept).alias(text_col)
+    return left.select(*(text if c == text_col else unpacked(docs, c) for c in docs.columns))
 
 
 SQL = r"""

@@ -9,7 +9,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, ROW, TEXT, ODD, gram_hashes, gram_starts, keyed, mix, text_slices, word_hashes, written
+from .common import (
+    ID,
+    ODD,
+    ROW,
+    TEXT,
+    gram_hashes,
+    gram_starts,
+    keyed,
+    mix,
+    only_rows,
+    text_slices,
+    word_hashes,
+    written,
+)
 from .components import connected
 
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -317,12 +330,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     id are one document, of which any row stays.
     """
     kept = near_duplicates(docs, id_col, text_col, **kw).where("kept")
-    some = kept.where("n_shingles > 0").groupBy(id_col).agg(F.min(ROW).alias("_r"))
+    some = kept.where("n_shingles > 0").groupBy(F.col(id_col).alias(ID)).agg(F.min(ROW).alias(ROW))
     # Empty texts are no copies of each other; all of them stay.
-    none = kept.where("n_shingles = 0").select(id_col, F.col(ROW).alias("_r")).distinct()
-    named = some.unionByName(none).select(F.col(id_col).alias("_i"), "_r")
-    text = F.col(text_col).cast("string")
-    hashed = docs.withColumn(ROW, F.xxhash64(text, F.length(text)))
-    return hashed.join(
-        named.hint("shuffle_hash"), hashed[id_col].eqNullSafe(F.col("_i")) & (hashed[ROW] == F.col("_r")), "left_semi"
-    ).drop(ROW)
+    none = kept.where("n_shingles = 0").select(F.col(id_col).alias(ID), ROW)
+    return only_rows(docs, some.unionByName(none), "left_semi", id_col, text_col)

@@ -106,7 +106,9 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     in_doc = Window.partitionBy(ID, ROW).orderBy("start")
     fixed = F.col("kind") != _TOKEN
     before = F.max(F.when(fixed, F.col("end"))).over(in_doc.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.min(F.when(fixed, F.col("start"))).over(in_doc.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    # Read backwards, so that the frame only ever grows.
+    back = Window.partitionBy(ID, ROW).orderBy(F.desc("start"))
+    after = F.min(F.when(fixed, F.col("start"))).over(back.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     seed = F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("end"), F.lit(False))
     return written(valid.withColumn("seed", seed), "spans")
 

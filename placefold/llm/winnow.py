@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    ID, ROW, TEXT, gram_hashes, gram_starts, keyed, mix, ranges, text_slices, word_hashes, written,
+    ID, ROW, TEXT, gram_hashes, gram_starts, keyed, mix, only_rows, ranges, text_slices, word_hashes, written,
 )
 
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -281,9 +281,4 @@ def contaminated() -> Column:
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """``docs`` without the contaminated rows, all columns as they were."""
     bad = find_contamination(docs, items, id_col, text_col, **kw).where(contaminated())
-    bad = bad.select(F.col(id_col).alias("_i"), F.col(ROW).alias("_r")).distinct()
-    text = F.col(text_col).cast("string")
-    hashed = docs.withColumn(ROW, F.xxhash64(text, F.length(text)))
-    return hashed.join(
-        bad.hint("shuffle_hash"), hashed[id_col].eqNullSafe(F.col("_i")) & (hashed[ROW] == F.col("_r")), "left_anti"
-    ).drop(ROW)
+    return only_rows(docs, bad.select(F.col(id_col).alias(ID), ROW), "left_anti", id_col, text_col)

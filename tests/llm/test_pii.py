@@ -84,3 +84,18 @@ def test_empty_and_odd_tables(frame, odd):
 def test_no_python_in_the_plan(frame):
     plan = pii.find_personal_data(frame([(1, "x@y.zz")]))._jdf.queryExecution().executedPlan().toString()
     assert not any(k in plan for k in ("Python", "Arrow", "Pandas"))
+
+
+def test_many_tokens_in_one_document(frame):
+    """The time for a document grows with its tokens, not with their square."""
+    import time
+
+    def seconds(rows):
+        begin = time.perf_counter()
+        pii.find_personal_data(frame(rows)).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - begin
+
+    many = [(i, f"number n{i}") for i in range(60_000)]
+    seconds(many[:100])
+    spread = seconds(many)
+    assert seconds([(1, " ".join(f"n{i} and number" for i in range(60_000)))]) < 2 * spread + 2
