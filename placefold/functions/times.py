@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,3 +40,13 @@ def round_places(c: Column, places: int = 2) -> Column:
     part = product - whole
     up = (part > F.lit(0.5)) | ((part == F.lit(0.5)) & (lost >= F.lit(0.0)))
     return F.signum(c) * (whole + F.when(up, 1).otherwise(0)) / scale
+
+
+def as_instant(c: Column) -> Column:
+    """A zone-free time read as UTC: event times of streams have to be instants."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", ntz("1970-01-01"), c))
+
+
+def as_zone_free(c: Column) -> Column:
+    """The inverse of ``as_instant``, whatever the session's time zone."""
+    return plus_seconds(ntz("1970-01-01"), F.unix_micros(c).cast("decimal(18,0)") * F.lit(Decimal("0.000001")))

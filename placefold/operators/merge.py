@@ -94,11 +94,12 @@ def fold_sightings(
     policies: Mapping[str, str] = LISTING_POLICIES,
     columns: Iterable[str] | None = None,
     key: Iterable[str] = KEY,
+    more: Iterable[Column] = (),
 ) -> DataFrame:
     """One mergeable state per key. ``order`` must be unique within a key.
 
     ``columns`` restricts the work to what the caller needs; the others are
-    neither read nor shuffled.
+    neither read nor shuffled. ``more`` are aggregates of the caller's own.
     """
     key = list(key)
     chosen = _policies(columns or sightings.columns, policies, key)
@@ -120,7 +121,7 @@ def fold_sightings(
         when = F.when(nonempty(F.col(c)), at)
         aggs += [F.min_by(c, when).alias(c), F.min(when).alias(f"{c}_at")]
     aggs += [F.max(c).alias(c) for c in _of(chosen, MAXIMUM)]
-    return _grouped(sightings, key).agg(*aggs).drop("_hash")
+    return _grouped(sightings, key).agg(*aggs, *more).drop("_hash")
 
 
 def combine_states(

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.delivery import delivery_records
-from ..operators.merge import KEY, combine_states, fold_sightings, golden_rows, merge_listings
+from ..operators.merge import KEY, combine_states, fold_sightings, golden_rows
 from ..operators.tasks import combine_marks, fold_marks, lifecycle_marks
 from ..workspace import is_file
 from . import states
+from .keyed import rocksdb_state, sliding_recency, stale_claims
 
 DRAIN = {"availableNow": True}
 
@@ -30,9 +31,10 @@ def stream_parquet(
     return reader.parquet(path)
 
 
-def _start(stream: DataFrame, each, checkpoint: str, trigger: dict) -> StreamingQuery:
+def _start(stream: DataFrame, each, checkpoint: str, trigger: dict, mode: str = "append") -> StreamingQuery:
     return (
         stream.writeStream.foreachBatch(each)
+        .outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
         .start()
@@ -84,27 +86,36 @@ def start_delivery(
     checkpoint: str,
     trigger: dict = DRAIN,
     compact_every: int | None = None,
+    changes: bool = False,
 ) -> StreamingQuery:
     """Deliver each listing once, in the micro-batch that first sees its key.
 
-    The record has what the sightings of that batch say. Later sightings of a
-    delivered key send nothing. Which keys were sent is read from the output of
-    the batches before, so a replayed batch decides the same again.
+    The listings' merge states and the batch that first saw each are keyed
+    state in RocksDB: a batch reads the states of its own keys and nothing of
+    what was delivered before. The record has what the sightings of that batch
+    say. Later sightings of a delivered key send nothing, or, with ``changes``,
+    the listing as it is now. A replayed batch has the time and the state it
+    had at first, and decides the same again.
     """
+    spark = sightings.sparkSession
+    now = F.current_timestamp()  # of the micro-batch
+    kept = fold_sightings(sightings.withColumn("_at", now), more=[F.min("_at").alias("_first_batch")])
+    due = kept.withColumn("_new", F.col("_first_batch") == now)
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        listings = merge_listings(batch)
-        paths, _ = states.state_paths(spark, out, before=batch_id)
-        if paths:
-            sent = spark.read.parquet(*paths).select(*[F.col(s).alias(k) for s, k in zip(_SENT, KEY)])
-            listings = listings.join(sent, list(KEY), "left_anti")
+    def records(batch: DataFrame) -> DataFrame:
+        listings = golden_rows((batch if changes else batch.where("_new")).drop("_first_batch", "_new"))
         keyed = listings.select("*", *[F.col(k).alias(s) for s, k in zip(_SENT, KEY)])
-        states.write_batch(delivery_records(keyed, jobs, source, carry=tuple(_SENT)), out, batch_id)
+        return delivery_records(keyed, jobs, source, carry=tuple(_SENT))
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        states.write_batch(records(batch), out, batch_id)
         if compact_every and (batch_id + 1) % compact_every == 0:
-            states.compact(spark, out, _as_they_are)
+            states.compact(batch.sparkSession, out, _as_they_are)
+            states.retain(batch.sparkSession, out)
 
-    return _start(sightings, each, checkpoint, trigger)
+    states.prepare(records(spark.createDataFrame([], due.schema)), out)
+    with rocksdb_state(spark):
+        return _start(due, each, checkpoint, trigger, mode="update")
 
 
 def _as_they_are(records: DataFrame) -> DataFrame:
@@ -116,16 +127,58 @@ def delivered(spark: SparkSession, out: str) -> DataFrame:
 
 
 def start_lifecycle(
-    log: DataFrame, root: str, checkpoint: str, trigger: dict = DRAIN
+    log: DataFrame, root: str, checkpoint: str, trigger: dict = DRAIN, compact_every: int | None = None
 ) -> StreamingQuery:
-    """Digest a stream of task events under ``root``."""
+    """Digest a stream of task events under ``root``.
+
+    With ``compact_every`` each so many batches are folded into one base, and
+    what it covers is deleted.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         states.write_batch(lifecycle_marks(batch), root, batch_id)
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            states.compact(batch.sparkSession, root, combine_marks)
+            states.retain(batch.sparkSession, root)
 
+    states.prepare(lifecycle_marks(log.sparkSession.createDataFrame([], log.schema)), root)
     return _start(log, each, checkpoint, trigger)
 
 
 def task_states(spark: SparkSession, root: str) -> DataFrame:
     """Current state of each task as of the last finished micro-batch."""
     return fold_marks(states.read_states(spark, root, combine_marks))
+
+
+def _start_table(rows: DataFrame, out: str, checkpoint: str, trigger: dict, compact_every: int | None) -> StreamingQuery:
+    """Write what a keyed stream gives; each row comes once."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        states.write_batch(batch, out, batch_id)
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            states.compact(batch.sparkSession, out, _as_they_are)
+            states.retain(batch.sparkSession, out)
+
+    states.prepare(rows.sparkSession.createDataFrame([], rows.schema), out)
+    with rocksdb_state(rows.sparkSession):
+        return _start(rows, each, checkpoint, trigger)
+
+
+def start_reclaim(
+    log: DataFrame, out: str, checkpoint: str, timeout: str, delay: str, trigger: dict = DRAIN, compact_every: int | None = None
+) -> StreamingQuery:
+    """Write the claims that nothing ended within ``timeout`` when their time comes."""
+    return _start_table(stale_claims(log, timeout, delay), out, checkpoint, trigger, compact_every)
+
+
+def start_recency(
+    sightings: DataFrame, out: str, checkpoint: str, delay: str, step: str = "1 hour", trigger: dict = DRAIN,
+    compact_every: int | None = None,
+) -> StreamingQuery:
+    """Write the listings of the last hour and day per job at every ``step`` of the stream's time."""
+    return _start_table(sliding_recency(sightings, delay, step), out, checkpoint, trigger, compact_every)
+
+
+def table_so_far(spark: SparkSession, out: str) -> DataFrame:
+    """Rows of a keyed stream up to the last finished micro-batch."""
+    return states.read_states(spark, out, _as_they_are)

@@ -11,11 +11,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..workspace import child_dirs, path_exists
+from ..workspace import child_dirs, path_exists, remove_dir
 
 Fold = Callable[[DataFrame], DataFrame]
 
 
+def prepare(empty: DataFrame, root: str) -> None:
+    """Say what the states look like, so that they can be read before the first batch."""
+    if not path_exists(empty.sparkSession, f"{root}/schema/_SUCCESS"):
+        empty.limit(0).write.mode("overwrite").parquet(f"{root}/schema")
+
+
 def write_batch(states: DataFrame, root: str, batch_id: int) -> None:
     states.write.mode("overwrite").parquet(f"{root}/batches/{batch_id}")
 
@@ -46,11 +52,14 @@ def state_paths(spark: SparkSession, root: str, before: int | None = None) -> tu
 def read_states(
     spark: SparkSession, root: str, combine: Fold, empty: DataFrame | None = None, before: int | None = None
 ) -> DataFrame:
-    """The combined state; ``empty`` stands in where no batch is finished yet."""
+    """The combined state; no rows where no batch is finished yet.
+
+    What the rows look like then says ``empty``, or the folder that ``prepare`` wrote.
+    """
     paths, _ = state_paths(spark, root, before)
     if not paths and empty is not None:
         return combine(empty)
-    return combine(spark.read.parquet(*paths))
+    return combine(spark.read.parquet(*(paths or [f"{root}/schema"])))
 
 
 def compact(spark: SparkSession, root: str, combine: Fold) -> int:
@@ -59,3 +68,18 @@ def compact(spark: SparkSession, root: str, combine: Fold) -> int:
     if len(paths) > 1:
         combine(spark.read.parquet(*paths)).write.mode("overwrite").parquet(f"{root}/base/{upto}")
     return upto
+
+
+def retain(spark: SparkSession, root: str, bases: int = 2) -> None:
+    """Delete batches that a base covers, and all but the newest ``bases`` bases.
+
+    Readers that have listed an older base meanwhile keep theirs while it is
+    one of the newest; nothing is deleted before a finished base covers it.
+    """
+    done = [n for n in _numbers(spark, f"{root}/base") if _finished(spark, f"{root}/base/{n}")]
+    kept = done[-bases:]
+    for n in done[:-bases]:
+        remove_dir(spark, f"{root}/base/{n}")
+    for n in _numbers(spark, f"{root}/batches"):
+        if kept and n <= kept[0]:
+            remove_dir(spark, f"{root}/batches/{n}")
