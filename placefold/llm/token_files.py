@@ -10,21 +10,24 @@ before gives a part's base.
 from __future__ import annotations
 
 import functools
+import string
 import uuid
-from itertools import islice
+from itertools import chain, islice
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..workspace import fresh_dir
-from .common import ID, ROW, TEXT, Numbered, keyed, ranges, text_slices
+from .common import ID, ROW, TEXT, Numbered, keyed, ranges
 
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 1_000_000
+SLICE_BYTES = 4_000_000
 MANIFEST = "part int, name string, n_docs long, n_tokens long, width int"
 
 
@@ -33,7 +36,11 @@ class ChunkCoder:
 
     A chunk is what lies between ASCII white space. That gives the ids of the
     whole text where the tokenizer itself drops white space and lets no token
-    span it; ``check`` makes sure of that for the file in use.
+    span it; a probe makes sure of that for the file in use. Where the
+    tokenizer lower-cases, ASCII chunks that name no added token are
+    lower-cased first, so that they are seen once in either case. Others are
+    not touched: an added token is cut out before its letters are lowered, and
+    a capital before a combining mark may compose otherwise than the small one.
     """
 
     def __init__(self, path: str) -> None:
@@ -42,15 +49,18 @@ class ChunkCoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        added = self.library.get_added_tokens_decoder()
+        self.added = [t.content for t in added.values()]
         probe = "Ab c\n\tdé 'll  x1\r\v\f|| <|endoftext|> Σς e"
         whole = self._library_ids([probe])[0]
-        self.by_chunk = whole == [i for ids in self._library_ids(probe.split()) for i in ids]
-        lower = probe.encode().lower().decode()
-        self.folds = self.by_chunk and self._library_ids([lower])[0] == whole
+        self.by_chunk = whole == [i for ids in self._library_ids(probe.split()) for i in ids] and not any(
+            any(c.isspace() for c in t) for t in self.added
+        )
+        letters = [a + b for a in string.ascii_uppercase for b in ("", *string.ascii_letters)]
+        lower = [t.lower() for t in letters]
+        self.folds = self.by_chunk and self._library_ids(letters) == self._library_ids(lower)
         plain = [
-            (t.content, i)
-            for i, t in self.library.get_added_tokens_decoder().items()
-            if not (t.lstrip or t.rstrip or t.single_word or t.normalized)
+            (t.content, i) for i, t in added.items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized)
         ]
         self.between = min(plain, key=lambda t: t[1], default=None)
         self._forget()
@@ -58,62 +68,102 @@ class ChunkCoder:
     def _library_ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _each(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all chunks one after the other, and how many each has.
+    def _each(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of each chunk.
 
         Many chunks go to the library as one text, with an added token between
         them, which it cuts out before anything else.
         """
-        if self.between is None or any(self.between[0] in c for c in chunks):
-            each = self._library_ids(chunks)
-            return np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each], np.int64)
+        if self.between is None:
+            return self._library_ids(chunks)
         token, mark = self.between
-        groups = [chunks[i : i + 1000] for i in range(0, len(chunks), 1000)]
-        flat = np.concatenate([[*ids, mark] for ids in self._library_ids([token.join(g) for g in groups])])
-        ends = np.flatnonzero(flat == mark) - np.arange(len(chunks))
-        return flat[flat != mark].astype(np.uint32), np.diff(ends, prepend=0)
+        each: list[list[int]] = []
+        for i in range(0, len(chunks), 1000):
+            group = chunks[i : i + 1000]
+            joined = token.join(group)
+            if joined.count(token) != len(group) - 1:
+                each += self._library_ids(group)
+                continue
+            ids = self._library_ids([joined])[0]
+            ends = [k for k, x in enumerate(ids) if x == mark]
+            each += [ids[a + 1 : b] for a, b in zip([-1, *ends], [*ends, len(ids)])]
+        return each
 
     def _forget(self) -> None:
         self.known = Numbered()
         self.ids = np.empty(0, np.uint32)
         self.begin = np.zeros(1, np.int64)
-
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        self.used = np.empty(0, np.int64)
+
+    def _keep_often_used(self) -> None:
+        """Half as many chunks: those that most slices had."""
+        often = np.sort(np.argsort(-self.used, kind="stable")[: KEPT_CHUNKS // 2])
+        names = np.array(list(self.known), object)[often].tolist()
+        ids = self.ids[ranges(self.begin[often], self.begin[often + 1])]
+        lens, used = np.diff(self.begin)[often], self.used[often]
+        self._forget()
+        self.known.update(zip(names, range(len(names))))
+        self._learn(ids, lens)
+        self.used = used
+
+    def _folded(self, chunks: pa.Array) -> pa.Array:
+        if not self.folds:
+            return chunks
+        named = [pc.match_substring(chunks, t, ignore_case=True) for t in self.added]
+        plain = functools.reduce(pc.and_not, named, pc.string_is_ascii(chunks))
+        return pc.if_else(plain, pc.ascii_lower(chunks), chunks)
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each with its end id, and their lengths."""
+        texts = texts.fill_null("")
         if not self.by_chunk:
-            each = [[*ids, end_id] for ids in self._library_ids(texts)]
+            each = [[*ids, end_id] for ids in self._library_ids(texts.to_pylist())]
             lens = np.array([len(e) for e in each], np.int64)
             return np.array([i for e in each for i in e], np.uint32), lens
         if len(self.known) > KEPT_CHUNKS:
-            self._forget()
-        if not self.known:
-            self._learn(np.array([end_id], np.uint32), np.array([1]))
-            self.known[b""]  # number 0, with the end id
-        chunks: list[bytes] = []
-        count = []
-        for text in texts:
-            data = text.encode("utf-8", "replace")
-            own = (data.lower() if self.folds else data).split()
-            count.append(len(own) + 1)
-            chunks += own
-            chunks.append(b"")  # stands for the end of the document
+            self._keep_often_used()
+        split = pc.ascii_split_whitespace(texts)
+        chunks = split.flatten().dictionary_encode()
+        names = self._folded(chunks.dictionary).to_pylist()
         had = len(self.known)
-        at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        number = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
         if len(self.known) > had:  # new chunks were numbered in the order they came
             new = list(islice(reversed(self.known), len(self.known) - had))[::-1]
             try:
-                self._learn(*self._each([c.decode("utf-8") for c in new]))
+                each = self._each(new)
+                self._learn(np.fromiter(chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64))
             except BaseException:
                 self._forget()  # numbers without ids must not outlive a failed task
                 raise
-        lens = self.begin[at + 1] - self.begin[at]
-        doc = np.repeat(np.arange(len(texts)), count)
-        flat = self.ids[ranges(self.begin[at], self.begin[at + 1])]
-        return flat, np.bincount(doc, weights=lens, minlength=len(texts)).astype(np.int64)
+        self.used[number] += 1
+        at = number[chunks.indices.to_numpy()]
+        ends = split.offsets.to_numpy()[1:].astype(np.int64) - split.offsets[0].as_py()
+        begin, lens = self.begin[at], self.begin[at + 1] - self.begin[at]
+        upto = np.concatenate([[0], np.cumsum(lens)])[ends]  # ids of all documents so far
+        flat = np.empty(int(lens.sum()) + len(ends), np.uint32)
+        closed = upto + np.arange(len(ends))
+        mine = np.ones(len(flat), bool)
+        mine[closed] = False
+        flat[closed] = end_id
+        flat[mine] = self.ids[ranges(begin, begin + lens)]
+        return flat, np.diff(closed, prepend=-1)
 
     def _learn(self, ids: np.ndarray, lens: np.ndarray) -> None:
         self.ids = np.concatenate([self.ids, ids])
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(lens)])
+        self.used = np.concatenate([self.used, np.zeros(len(lens), np.int64)])
+
+
+def byte_slices(batches, text: str = TEXT, limit: int = SLICE_BYTES):
+    """Each Arrow batch cut to slices of at most ``limit`` bytes of text, or one longer text."""
+    for batch in batches:
+        size = pc.binary_length(batch.column(batch.schema.get_field_index(text))).fill_null(0).to_numpy()
+        upto = np.concatenate([[0], np.cumsum(size.astype(np.int64))])
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(upto, upto[a] + limit, side="right")) - 1)
+            yield batch.slice(a, b - a)
+            a = b
 
 
 @functools.lru_cache(maxsize=2)
@@ -159,11 +209,11 @@ def write_token_files(
         name = f"part-{part:05d}-{uuid.uuid4().hex}"
         lens, ids = [], []
         sink = None
-        for batch, texts in text_slices(batches):
+        for batch in byte_slices(batches):
             if sink is None:
                 store_fs.create_dir(f"{root}/tokens", recursive=True)
                 sink = store_fs.open_output_stream(f"{root}/tokens/{name}.bin")
-            flat, n = coder.encode(texts, end_id)
+            flat, n = coder.encode(batch.column(batch.schema.get_field_index(TEXT)), end_id)
             if flat.size and int(flat.max()) >= 1 << (8 * width):
                 raise ValueError(f"an id does not fit into {width} bytes")
             sink.write(flat.astype(code).tobytes())

@@ -6,7 +6,9 @@ import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import zstandard
 from tokenizers import Tokenizer
@@ -218,3 +220,39 @@ def test_token_files_of_an_empty_table(spark, frame):
     folder = token_files.token_folder(spark)
     assert token_files.write_token_files(frame([]), WORD, folder, end_id=2).count() == 0
     assert token_files.read_token_files(spark, folder).count() == 0
+
+
+def test_chunks_against_library_on_capitals_and_marks():
+    """Added tokens in any case, capitals before combining marks, odd white space."""
+    rng = random.Random(11)
+    letters = [
+        *"abHTJWKhtjwk 019'|<>.,\t\n\r\x0b\x0c\x1c\x85\xa0", "̱", "̈", "̌", "̊", "́", "é", "É", "Σ", "ς",
+        "İ", "ﬁ", "ſ", "K", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|StartOfText|>", "'LL", "🙂",
+    ]
+    coder, library = token_files.ChunkCoder(WORD), Tokenizer.from_file(WORD)
+    assert coder.folds
+    for _ in range(20):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(500)] + [None, ""]
+        flat, lens = coder.encode(pa.array(texts), 2)
+        got = [x.tolist() for x in np.split(flat, np.cumsum(lens)[:-1])]
+        want = [[*e.ids, 2] for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert got == want
+
+
+def test_chunks_that_are_forgotten(monkeypatch):
+    """A coder that keeps few chunks gives the same ids, and keeps those that recur."""
+    monkeypatch.setattr(token_files, "KEPT_CHUNKS", 50)
+    rng = random.Random(12)
+    coder, library = token_files.ChunkCoder(WORD), Tokenizer.from_file(WORD)
+    for n in range(12):
+        texts = [" ".join(["the", "And", *(f"w{rng.randrange(10**6)}" for _ in range(20))]) for _ in range(5)]
+        flat, lens = coder.encode(pa.array(texts), 2)
+        got = [x.tolist() for x in np.split(flat, np.cumsum(lens)[:-1])]
+        assert got == [[*e.ids, 2] for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert {"the", "and"} <= set(coder.known) and len(coder.known) <= 160
+
+
+def test_slices_of_bytes():
+    batch = pa.record_batch([pa.array(["a" * 3, None, "é" * 2, "x" * 9, "", "b"])], names=["_text"])
+    cut = [s.column(0).to_pylist() for s in token_files.byte_slices([batch], limit=7)]
+    assert cut == [["aaa", None, "éé"], ["x" * 9], ["", "b"]]
