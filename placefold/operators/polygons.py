@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from ..functions.boxes import EARTH_RADIUS_M, cell_of, make_box
 from ..functions.joins import lookup_join, top_per_key
+from .cover import LEVELS, cell_number, cell_size, cells_at, polygon_cover
 
 CELLS_PER_DEGREE = 1
 
 # Boxes over more cells than this go by cells of COARSE_DEGREES instead.
 FINE_CELLS = 64
 COARSE_DEGREES = 30
+_BOX_LEVELS = (2, *LEVELS)
 
 
 def part_measures(edges: DataFrame) -> DataFrame:
@@ -129,106 +131,39 @@ def _edge_score(edge: Column, lon: Column, lat: Column) -> Column:
     return F.when(beside, one(0)).when(on_edge, one(_ON_EDGE)).when(crosses, one(1)).otherwise(one(0))
 
 
-def holds_point(edges: Column, loose: Column, lon: Column, lat: Column) -> Column:
-    """Even-odd test inside a cell; a point on an edge is inside.
+def holds_point(edges: Column, loose: Column, odd: Column, lon: Column, lat: Column) -> Column:
+    """Even-odd test inside a border cell of a cover; a point on an edge is inside.
 
-    ``loose`` has the latitudes where chains of edges east of the cell end.
+    ``loose`` has the latitudes in the cell's row where chains of edges east of
+    the cell end, ``odd`` the parity of their ends above the row.
     """
     score = F.aggregate(
         edges, F.lit(0).cast("bigint"), lambda total, e: total + _edge_score(e, lon, lat)
     )
     above = F.size(F.filter(loose, lambda end: end > lat))
-    return (score >= _ON_EDGE) | ((score + above) % 2 == 1)
+    return (score >= _ON_EDGE) | ((score + above + odd) % 2 == 1)
 
 
-def _loose_ends(east: Column) -> Column:
-    """Latitudes of the vertices that have only one of their edges in ``east``.
+def _held(lon: Column, lat: Column) -> Column:
+    return F.col("inside") | holds_point(F.col("edges"), F.col("loose"), F.col("odd"), lon, lat)
 
-    An edge wholly east of a cell crosses the eastward ray of a point in the
-    cell when exactly one of its ends is above the point. Summed over a chain
-    of edges the inner vertices count twice and cancel, so its ends say it all.
-    """
-    starts = F.transform(east, lambda e: e.getField("vertex"))
-    ends = F.transform(east, lambda e: e.getField("vertex") + 1)
-    first, last = F.array_except(starts, ends), F.array_except(ends, starts)
-    return F.concat(
-        F.transform(
-            F.filter(east, lambda e: F.array_contains(first, e.getField("vertex"))),
-            lambda e: e.getField("lat1"),
-        ),
-        F.transform(
-            F.filter(east, lambda e: F.array_contains(last, e.getField("vertex") + 1)),
-            lambda e: e.getField("lat2"),
-        ),
-    )
-
-
-def cell_index(edges: DataFrame, per_degree: int = CELLS_PER_DEGREE) -> DataFrame:
-    """Parts by grid cell, with what a test inside that cell needs.
-
-    That is the edges that reach into the cell, and of all edges further east
-    in its latitude band only the loose ends of their chains. So a cell deep
-    inside a detailed country carries a few numbers, and each edge is kept
-    about once. Edges are gathered per part and band, never as a whole polygon.
-    """
-    edge = F.struct(
-        "lon1", "lat1", "lon2", "lat2",
-        (F.col("ring_id").cast("bigint") * F.lit(1 << 40) + F.col("seq")).alias("vertex"),
-    )
-    column = lambda c: cell_of(c, per_degree)
-    west_of = lambda e: column(F.least(e.getField("lon1"), e.getField("lon2")))
-    east_of = lambda e: column(F.greatest(e.getField("lon1"), e.getField("lon2")))
-    bands = (
-        edges.withColumn(
-            "cy", F.explode(_span(F.least("lat1", "lat2"), F.greatest("lat1", "lat2"), per_degree))
-        )
-        .groupBy("geom_id", "part_id", "cy")
-        .agg(
-            F.collect_list(edge).alias("band"),
-            F.min(F.least("lon1", "lon2")).alias("west"),
-            F.max(F.greatest("lon1", "lon2")).alias("east"),
-        )
-    )
-    cells = bands.withColumn("cx", F.explode(_span(F.col("west"), F.col("east"), per_degree)))
-    return cells.select(
-        "geom_id",
-        "part_id",
-        "cx",
-        "cy",
-        F.filter(
-            "band", lambda e: (west_of(e) <= F.col("cx")) & (east_of(e) >= F.col("cx"))
-        ).alias("edges"),
-        _loose_ends(F.filter("band", lambda e: west_of(e) > F.col("cx"))).alias("loose"),
-    )
 
-
-def _at_cells(
-    points: DataFrame, per_degree: float, index: DataFrame, keys: tuple[str, ...] = ()
-) -> DataFrame:
-    """Points beside the index rows of their cell."""
-    located = points.withColumns(
-        {"cx": cell_of(F.col("lon"), per_degree), "cy": cell_of(F.col("lat"), per_degree)}
-    )
-    return located.join(index, ["cx", "cy", *keys])
-
-
-def points_in_polygons(
-    points: DataFrame,
-    edges: DataFrame,
-    keys: tuple[str, ...] = (),
-    per_degree: int = CELLS_PER_DEGREE,
-) -> DataFrame:
+def points_in_polygons(points: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of a point and a polygon part that holds it.
 
-    An equi-join on the grid cell (and on ``keys``, such as the point's own
-    country) finds the candidates. The points of a crowded cell, also those with
-    the same coordinates, are spread by the adaptive skew split.
+    A point is looked up in the parts' covers at every cell size; cells wholly
+    inside answer by themselves. An equi-join on the cell (and on ``keys``, such
+    as the point's own country) finds the candidates. The points of a crowded
+    cell, also those with the same coordinates, are spread by the adaptive skew
+    split.
     """
-    index = cell_index(edges, per_degree)
+    located = points.select("*", F.explode(cells_at(F.col("lon"), F.col("lat"))).alias("_cell")).select(
+        *points.columns, "_cell.*"
+    )
     return (
-        _at_cells(points, per_degree, index, keys)
-        .where(holds_point(F.col("edges"), F.col("loose"), F.col("lon"), F.col("lat")))
-        .drop("cx", "cy", "edges", "loose")
+        located.join(polygon_cover(edges), ["level", "cx", "cy", *keys])
+        .where(_held(F.col("lon"), F.col("lat")))
+        .drop("level", "cx", "cy", "inside", "edges", "loose", "odd")
     )
 
 
@@ -237,7 +172,6 @@ def points_inside(
     edges: DataFrame,
     key: str = "geom_id",
     id_col: str = "point_id",
-    per_degree: int = CELLS_PER_DEGREE,
 ) -> DataFrame:
     """Every point with ``inside``: whether the geometry it names holds it.
 
@@ -245,7 +179,7 @@ def points_inside(
     by it keeps such points; false without usable coordinates.
     """
     held = (
-        points_in_polygons(points.where(F.col(key).isNotNull()), edges, (key,), per_degree)
+        points_in_polygons(points.where(F.col(key).isNotNull()), edges, (key,))
         .select(id_col).distinct().withColumn("_held", F.lit(True))
     )
     shaped = edges.select(key).distinct().withColumn("_shaped", F.lit(True))
@@ -257,6 +191,16 @@ def points_inside(
     )
 
 
+def _at_cells(
+    points: DataFrame, per_degree: float, index: DataFrame, keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """Points beside the index rows of their cell."""
+    located = points.withColumns(
+        {"cx": cell_of(F.col("lon"), per_degree), "cy": cell_of(F.col("lat"), per_degree)}
+    )
+    return located.join(index, ["cx", "cy", *keys])
+
+
 def points_in_boxes(
     points: DataFrame, boxes: DataFrame, per_degree: int = CELLS_PER_DEGREE, keys: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -309,38 +253,76 @@ def _touches(edge: Column) -> Column:
     return overlap & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
 
 
-def boxes_meet_polygons(
-    boxes: DataFrame, edges: DataFrame, per_degree: int = CELLS_PER_DEGREE
-) -> DataFrame:
+def _ancestors(levels: tuple[int, ...], own: Column, cx: Column, cy: Column, itself: bool) -> Column:
+    """A cell's numbers at all coarser ``levels``, and at its own if wanted."""
+    each = F.array(
+        *(
+            F.struct(
+                F.lit(n).alias("key_level"), F.call_function("shiftright", cx, own - n).alias("kx"),
+                F.call_function("shiftright", cy, own - n).alias("ky"),
+            )
+            for n in levels
+        )
+    )
+    return F.filter(each, lambda c: (c["key_level"] <= own) if itself else (c["key_level"] < own))
+
+
+def boxes_meet_polygons(boxes: DataFrame, edges: DataFrame) -> DataFrame:
     """Whether each box (box_id, geom_id, sides) meets its own geometry.
 
     True when an edge touches the box or the box's south-west corner lies in a
-    part; true as well for boxes whose geometry is not known. Boxes meet the
-    parts of their geometry in one join on shared grid cells: each cell answers
-    for the edges in it and the corner's cell also for the corner. Only the
-    boxes that meet something go on from there.
+    part; true as well for boxes whose geometry is not known. A box goes by few
+    cells of its own size, the world by eight. They meet the cells of its
+    geometry's cover that are as large or larger in one join and the smaller
+    ones in another. A cell wholly inside that overlaps the box says yes, a
+    border cell answers for its edges and, if the corner lies in it, for that.
     """
-    here = (F.col("cx") == cell_of(F.col("west"), per_degree)) & (
-        F.col("cy") == cell_of(F.col("south"), per_degree)
-    )
-    hit = F.exists("edges", _touches) | (
-        here & holds_point(F.col("edges"), F.col("loose"), F.col("west"), F.col("south"))
-    )
-    box_cells = boxes.select(
-        "box_id", "geom_id", "south", "west", "north", "east",
-        F.explode(_span(F.col("west"), F.col("east"), per_degree)).alias("cx"),
-    ).select("*", F.explode(_span(F.col("south"), F.col("north"), per_degree)).alias("cy"))
-    met = (
-        box_cells.join(cell_index(edges, per_degree), ["geom_id", "cx", "cy"])
-        .where(hit)
-        .select("box_id")
-        .distinct()
-        .withColumn("met", F.lit(True))
+    inside = lambda c: F.greatest(F.least(F.col(c), F.lit(180.0)), F.lit(-180.0))
+    extent = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
+    level = F.lit(_BOX_LEVELS[0])
+    for finer in _BOX_LEVELS[1:]:
+        level = F.when(extent <= 4 * 360.0 / (1 << finer), F.lit(finer)).otherwise(level)
+    size = cell_size(F.col("own"))
+    span = lambda a, b: F.when(
+        cell_number(inside(a), size) <= cell_number(inside(b), size),
+        F.sequence(cell_number(inside(a), size), cell_number(inside(b), size)),
     )
+    box_cells = boxes.select("box_id", "geom_id", "south", "west", "north", "east", level.alias("own"))
+    box_cells = box_cells.withColumn("bx", F.explode(span("west", "east"))).withColumn("by", F.explode(span("south", "north")))
+    cover = polygon_cover(edges).drop("part_id")
+
+    side = cell_size(F.col("level"))
+    cell_west, cell_south = F.col("cx") * side - 180.0, F.col("cy") * side - 180.0
+    overlap = (
+        (cell_west <= F.col("east")) & (cell_west + side >= F.col("west"))
+        & (cell_south <= F.col("north")) & (cell_south + side >= F.col("south"))
+    )
+    here = (F.col("cx") == cell_number(F.col("west"), side)) & (F.col("cy") == cell_number(F.col("south"), side))
+    corner = here & holds_point(F.col("edges"), F.col("loose"), F.col("odd"), F.col("west"), F.col("south"))
+    hit = (F.col("inside") & overlap) | (~F.col("inside") & (F.exists("edges", _touches) | corner))
+
+    def met(box_side: DataFrame, cover_side: DataFrame) -> DataFrame:
+        keys = ["geom_id", "key_level", "kx", "ky"]
+        other = cover_side.select(*[F.col(k).alias(f"_{k}") for k in keys], "level", "cx", "cy", "inside", "edges", "loose", "odd")
+        same = F.lit(True)
+        for k in keys:
+            same = same & (F.col(k) == F.col(f"_{k}"))
+        return box_side.join(other, same & hit, "left_semi").select("box_id")
+
+    up = lambda df, levels, own, cx, cy, itself: df.select(
+        "*", F.explode(_ancestors(levels, F.col(own), F.col(cx), F.col(cy), itself)).alias("_k")
+    ).select(*df.columns, "_k.*")
+    at_box = box_cells.select("*", F.col("own").alias("key_level"), F.col("bx").alias("kx"), F.col("by").alias("ky"))
+    at_cover = cover.select("*", F.col("level").alias("key_level"), F.col("cx").alias("kx"), F.col("cy").alias("ky"))
+    found = (
+        met(up(box_cells, LEVELS, "own", "bx", "by", True), at_cover)
+        .unionByName(met(at_box, up(cover, _BOX_LEVELS, "level", "cx", "cy", False)))
+        .distinct().withColumn("met", F.lit(True))
+    )
     shaped = edges.select("geom_id").distinct().withColumn("has_shape", F.lit(True))
     return (
         boxes.select("box_id", "geom_id")
-        .join(met, "box_id", "left")
+        .join(found, "box_id", "left")
         .join(shaped, "geom_id", "left")
         .select(
             "box_id",

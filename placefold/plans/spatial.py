@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import boxes as bx
 from ..functions.times import ntz
 from ..operators import gazetteer as gz
-from ..operators import grid, polygons
+from ..operators import cover, grid, polygons
 from ..operators.tasks import apply_splits
 from ..sources.views import view, with_views
 from .jobs import SHARDS_AS_OF
@@ -73,6 +73,17 @@ def seeded_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def polygon_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of the zones' covers, and the zones again mirrored to lie in many larger cells."""
+    zones = view(spark, sf_dir, "zone_edges")
+    grown = [(F.col(c) * 9 - (30.0 if "lon" in c else 390.0)).alias(c) for c in ("lon1", "lat1", "lon2", "lat2")]
+    large = zones.select((F.col("geom_id") + 100).alias("geom_id"), "part_id", "ring_id", "seq", *grown)
+    cells = cover.polygon_cover(zones.unionByName(large))
+    return cells.select(
+        "geom_id", "part_id", "level", "cx", "cy", "inside", F.size("edges").cast("long").alias("n_edges")
+    )
+
+
 def points_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each point lies in the zone it names; zones 25 and 26 are not known."""
     points = view(spark, sf_dir, "points").withColumn("geom_id", (F.col("point_id") % 27).cast("bigint"))
@@ -241,6 +252,40 @@ QUERIES = {
             ANTI JOIN split s USING (job_id, seed, depth, ix, iy)""",
         ),
     ),
+    "polygon_cover": (
+        polygon_cover,
+        with_views(
+            "zone_edges",
+            """, z AS (SELECT geom_id, part_id, lon1, lat1, lon2, lat2 FROM zone_edges UNION ALL
+              SELECT geom_id + 100, part_id, lon1 * 9 - 30, lat1 * 9 - 390, lon2 * 9 - 30, lat2 * 9 - 390 FROM zone_edges),
+            part AS (SELECT geom_id, part_id, greatest(16, sqrt(count(*))) AS side,
+              greatest(max(greatest(lon1, lon2)) - min(least(lon1, lon2)), max(greatest(lat1, lat2)) - min(least(lat1, lat2))) AS extent FROM z GROUP BY ALL),
+            lev AS (SELECT geom_id, part_id, CAST(CASE WHEN extent <= side * 360 / 16384 THEN 14 WHEN extent <= side * 360 / 2048 THEN 11
+              WHEN extent <= side * 360 / 256 THEN 8 ELSE 5 END AS INT) AS level FROM part),
+            e AS (SELECT z.*, level, 360 / pow(2, level) AS size FROM z JOIN lev USING (geom_id, part_id)),
+            r AS (SELECT *, unnest(range(CAST(floor((least(lat1, lat2) + 180) / size) AS INT), CAST(floor((greatest(lat1, lat2) + 180) / size) AS INT) + 1)) AS cy FROM e),
+            y AS (SELECT *, greatest(least(lat1, lat2), cy * size - 180) AS lo, least(greatest(lat1, lat2), cy * size - 180 + size) AS hi FROM r),
+            x AS (SELECT *, CASE WHEN lat1 = lat2 THEN lon1 ELSE lon1 + (lo - lat1) * (lon2 - lon1) / (lat2 - lat1) END AS xa,
+              CASE WHEN lat1 = lat2 THEN lon2 ELSE lon1 + (hi - lat1) * (lon2 - lon1) / (lat2 - lat1) END AS xb FROM y),
+            reach AS (SELECT geom_id, part_id, level, size, cy, unnest(range(
+                CAST(floor((greatest(least(xa, xb) - 1e-9::DOUBLE, least(lon1, lon2)) + 180) / size) AS INT),
+                CAST(floor((least(greatest(xa, xb) + 1e-9::DOUBLE, greatest(lon1, lon2)) + 180) / size) AS INT) + 1)) AS cx FROM x),
+            border AS (SELECT geom_id, part_id, level, size, cx, cy, count(*) AS n FROM reach GROUP BY ALL),
+            rowspan AS (SELECT geom_id, part_id, level, size, cy, min(cx) AS a, max(cx) AS b FROM border GROUP BY ALL),
+            leaf AS (SELECT geom_id, part_id, level, size, cy, unnest(range(a, b + 1)) AS cx FROM rowspan),
+            plain AS (SELECT *, (cx + 0.5::DOUBLE) * size - 180 AS lon, (cy + 0.5::DOUBLE) * size - 180 AS lat FROM leaf ANTI JOIN border USING (geom_id, part_id, cx, cy)),
+            inner1 AS (SELECT p.geom_id, p.part_id, p.level, p.cx, p.cy FROM plain p JOIN z ON z.geom_id = p.geom_id AND z.part_id = p.part_id
+              AND (lat1 > lat) <> (lat2 > lat) AND lon < (lon2 - lon1) * (lat - lat1) / (lat2 - lat1) + lon1
+              GROUP BY ALL HAVING count(*) % 2 = 1),
+            sq1 AS (SELECT geom_id, part_id, CAST(level - 3 AS INT) AS level, cx >> 3 AS cx, cy >> 3 AS cy FROM inner1 WHERE level > 5 GROUP BY ALL HAVING count(*) = 64),
+            sq2 AS (SELECT geom_id, part_id, CAST(level - 3 AS INT) AS level, cx >> 3 AS cx, cy >> 3 AS cy FROM sq1 WHERE level > 5 GROUP BY ALL HAVING count(*) = 64),
+            found AS (SELECT geom_id, part_id, level, cx, cy, false AS inside, n FROM border
+              UNION ALL SELECT geom_id, part_id, level, cx, cy, true, 0 FROM inner1 i ANTI JOIN sq1 s ON s.geom_id = i.geom_id AND s.part_id = i.part_id AND s.level = i.level - 3 AND s.cx = i.cx >> 3 AND s.cy = i.cy >> 3
+              UNION ALL SELECT geom_id, part_id, level, cx, cy, true, 0 FROM sq1 i ANTI JOIN sq2 s ON s.geom_id = i.geom_id AND s.part_id = i.part_id AND s.level = i.level - 3 AND s.cx = i.cx >> 3 AND s.cy = i.cy >> 3
+              UNION ALL SELECT geom_id, part_id, level, cx, cy, true, 0 FROM sq2)
+            SELECT geom_id, part_id, level, CAST(cx AS INT) AS cx, CAST(cy AS INT) AS cy, inside, n AS n_edges FROM found""",
+        ),
+    ),
     "points_inside": (
         points_inside,
         with_views(

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placefold.functions import boxes as bx
-from placefold.operators import gazetteer, grid, polygons
+from placefold.operators import cover, gazetteer, grid, polygons
 from placefold.sources import boundaries
 
 R = 6371008.8
@@ -159,37 +159,119 @@ def coast(n=1500, seed=3):
     return [[close(ring(4, 44, 4.5)), close(ring(4.3, 44.2, 1.4))], [close(ring(8.2, 48.3, 0.4))]]
 
 
-@pytest.mark.parametrize("per_degree", [1, 3])
-def test_points_in_a_detailed_country(spark, per_degree):
+def test_points_in_a_detailed_country(spark):
     rng = random.Random(1)
     parts = coast()
     points = [(i, rng.uniform(-1, 9), rng.uniform(39, 49)) for i in range(1200)]
     frame = spark.createDataFrame(points, "point_id bigint, lon double, lat double")
     edges = frame_of(spark, [(1, parts)])
     want = {(p, i) for p, lon, lat in points for i, rings in enumerate(parts) if inside(rings, lon, lat)}
-    got = polygons.points_in_polygons(frame, edges, per_degree=per_degree).collect()
+    got = polygons.points_in_polygons(frame, edges).collect()
     assert {(r.point_id, r.part_id) for r in got} == want and len(want) > 200
     assert len(got) == len(want)
-    # The index keeps an edge only in the cells it reaches, however many lie west of it.
-    reach = lambda a, b: f"(floor(greatest({a}, {b}) * {per_degree}) - floor(least({a}, {b}) * {per_degree}) + 1)"
-    cells = edges.selectExpr(f"sum({reach('lon1', 'lon2')} * {reach('lat1', 'lat2')}) AS n").first().n
-    sizes = polygons.cell_index(edges, per_degree).select(
+    sizes = cover.polygon_cover(edges).select(
         F.sum(F.size("edges")).alias("edges"), F.max(F.size("loose")).alias("loose")).first()
-    assert sizes.edges == cells
-    assert sizes.loose < 500
+    assert sizes.edges < 6 * edges.count() and sizes.loose < 100
 
 
-@pytest.mark.parametrize("per_degree", [1, 4])
-def test_points_in_polygons_equal_ray_casting(spark, per_degree):
+@pytest.mark.parametrize("scale", [1.0, 0.01, 18.0])
+def test_points_in_polygons_equal_ray_casting(spark, scale):
+    """The same shapes at three sizes, for which covers use different cells."""
     rng = random.Random(9)
-    shaped = shapes()
-    points = [(i, rng.uniform(-1, 9), rng.uniform(39, 49)) for i in range(1500)]
+    move = lambda x, y: [(x - 4) * scale, (y - 44) * scale]
+    shaped = [(g, [[[move(*v) for v in ring] for ring in rings] for rings in parts]) for g, parts in shapes()]
+    points = [(i, *move(rng.uniform(-1, 9), rng.uniform(39, 49))) for i in range(1500)]
+    points += [(1500 + i, *v) for i, v in enumerate(v for _, parts in shaped for rings in parts for v in rings[0])]
     frame = spark.createDataFrame(points, "point_id bigint, lon double, lat double")
-    got = polygons.points_in_polygons(frame, frame_of(spark, shaped), per_degree=per_degree)
+    got = polygons.points_in_polygons(frame, frame_of(spark, shaped))
     want = {(p, g) for p, lon, lat in points for g, parts in shaped if any(inside(r, lon, lat) for r in parts)}
     assert {(r.point_id, r.geom_id) for r in got.collect()} == want and len(want) > 100
 
 
+@pytest.mark.parametrize("scale", [1.0, 12.0])
+def test_covers_tile_their_parts(spark, scale):
+    """Cells do not overlap; inner cells and clipped border cells add up to the part's area."""
+    rng = random.Random(3)
+    shaped = [(g, [[[[(x - 4) * scale, (y - 44) * scale] for x, y in ring] for ring in rings] for rings in parts]) for g, parts in shapes(seed=6, n=4)]
+    round_one = [[20 + 3.3 * scale * math.cos(math.pi * i / 2500), 20 + 3.3 * scale * math.sin(math.pi * i / 2500)] for i in range(5000)]
+    shaped.append((9, [[[*round_one, round_one[0]]]]))
+    rows = cover.polygon_cover(frame_of(spark, shaped)).collect()
+    for g, parts in shaped:
+        own = [r for r in rows if r.geom_id == g]
+        assert len({r.level for r in own if not r.inside}) == 1
+        leaf = max(r.level for r in own)
+        seen = set()
+        area = 0.0
+        for r in own:
+            n = 1 << (leaf - r.level)
+            cells = {(r.cx * n + i, r.cy * n + j) for i in range(n) for j in range(n)}
+            assert not cells & seen
+            seen |= cells
+            size = 360 / (1 << r.level)
+            if r.inside:
+                area += size * size
+            else:
+                west, south = r.cx * size - 180, r.cy * size - 180
+                area += abs(sum(clipped_area(ring, west, south, west + size, south + size) * (1 if k == 0 else -1) for k, ring in enumerate(parts[0])))
+        assert area == pytest.approx(sum(ring_area(ring) * (1 if k == 0 else -1) for k, ring in enumerate(parts[0])), rel=1e-9)
+    assert any(r.inside and r.level < max(x.level for x in rows if x.geom_id == r.geom_id) for r in rows)
+
+
+def ring_area(ring):
+    return abs(sum(x1 * y2 - x2 * y1 for (x1, y1), (x2, y2) in zip(ring, ring[1:])) / 2)
+
+
+def clipped_area(ring, west, south, east, north):
+    """Area of the part of a ring that lies in a box, side by side."""
+    points = ring[:-1]
+    for axis, bound, keep in ((0, west, 1), (0, east, -1), (1, south, 1), (1, north, -1)):
+        out = []
+        for a, b in zip(points, [*points[1:], *points[:1]]):
+            da, db = keep * (a[axis] - bound), keep * (b[axis] - bound)
+            if da >= 0:
+                out.append(a)
+            if (da > 0 > db) or (da < 0 < db):
+                t = da / (da - db)
+                out.append([a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])])
+        points = out
+    return ring_area([*points, *points[:1]]) if len(points) > 2 else 0.0
+
+
+def test_very_many_edges_in_one_row(spark):
+    """A comb of half a million edges in one row of cells takes time in proportion."""
+    import time
+
+    def comb(n):
+        x = lambda i: 10.0 * i / n
+        up = spark.range(n).select(
+            F.lit(1).cast("bigint").alias("geom_id"), F.lit(0).alias("part_id"), F.lit(0).alias("ring_id"), F.col("id").cast("int").alias("seq"),
+            (10.0 * F.col("id") / n).alias("lon1"), F.when(F.col("id") % 2 == 0, 0.01).otherwise(0.15).alias("lat1"),
+            (10.0 * (F.col("id") + 1) / n).alias("lon2"), F.when(F.col("id") % 2 == 1, 0.01).otherwise(0.15).alias("lat2"),
+        )
+        back = [(1, 0, 0, n, 10.0, 0.01, 10.0, 0.005), (1, 0, 0, n + 1, 10.0, 0.005, 0.0, 0.005), (1, 0, 0, n + 2, 0.0, 0.005, 0.0, 0.01)]
+        return up.unionByName(spark.createDataFrame(back, up.schema)), x
+
+    rng = random.Random(2)
+    points = [(i, rng.uniform(-0.5, 10.5), rng.uniform(0, 0.16)) for i in range(200)]
+    frame = spark.createDataFrame(points, "point_id bigint, lon double, lat double")
+    seconds = []
+    for n in (2_000, 100_000, 500_000):
+        edges, x = comb(n)
+        begin = time.perf_counter()
+        got = {r.point_id for r in polygons.points_in_polygons(frame, edges).collect()}
+        seconds.append(time.perf_counter() - begin)
+        want = set()
+        for i, lon, lat in points:
+            if 0 <= lon <= 10:
+                k = min(int(lon * n / 10), n - 1)
+                t = lon * n / 10 - k
+                top = 0.01 + 0.14 * (t if k % 2 == 0 else 1 - t)
+                if 0.005 <= lat <= top:
+                    want.add(i)
+        assert got == want
+    assert seconds[2] < 8 * seconds[1] + 5
+
+
 def test_points_on_edges_and_in_holes(spark):
     edges = frame_of(spark, [(1, [HOLED])])
     at = {1: (0.0, 2.0), 2: (2.0, 2.0), 3: (1.0, 2.0), 4: (4.0, 4.0), 5: (0.5, 0.5), 6: (-0.1, 2.0)}
