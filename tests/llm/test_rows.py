@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -115,42 +117,71 @@ def test_secrets_against_plain_patterns(spark, sf_dir, frame):
         assert base == plain_secrets(hard[r.doc_id])
 
 
-def brute_cost(cost, value):
-    """Least sum over all ways to cut the value, each part priced by the model alone."""
-    best = {}
-
-    def solve(i):
-        if i == len(value):
-            return 0.0
-        if i not in best:
-            best[i] = min(priced(i, j) + solve(j) for j in range(i + 1, len(value) + 1))
-        return best[i]
-
-    import math
-
-    size = 10 * bool(re.search(r"[0-9]", value)) + 26 * bool(re.search(r"[a-z]", value)) + 26 * bool(re.search(r"[A-Z]", value))
-    char = math.log2(size)
+def brute_cost(cost, value, char=None):
+    """Least sum over all ways to cut the value, each part priced alone: every kind, every length."""
+    char = cost.char_cost(value) if char is None else char
+    keys = value.lower().translate(secret_scan.SHIFTED)
 
     def priced(i, j):
-        part = value[i:j]
-        options = [1 + char * len(part)]
-        if part.lower() in cost.rank:
-            options.append(1 + math.log2(cost.rank[part.lower()]) + (part != part.lower()))
-        if len(set(part)) == 1 and len(part) >= 3 and value[i - 1 : i] != part[0] and value[j : j + 1] != part[0]:
-            options.append(1 + char + math.log2(len(part)))
-        return min(options)
-
-    return solve(0)
-
-
-@pytest.mark.parametrize("value", ["passwordxx", "Dragonmonkey", "kvbwkvbwb", "aaaaaazzzz", "lovelovelove", "bdfhxpassword"])
-def test_guess_cost_is_the_cheapest_cut(value):
-    cost = secret_scan.GuessCost(secret_scan.GuessRule())
-    assert cost(value) == pytest.approx(brute_cost(cost, value))
+        part, n = value[i:j], j - i
+        options = [char * n, cost.word_cost(part)]
+        if re.fullmatch(secret_scan._DATE, part):
+            options.append(secret_scan.DATE_BITS)
+        if n >= 3 and len(set(part)) == 1:
+            options.append(char + math.log2(n))
+        k = keys[i:j]
+        if n >= 3 and all(b in cost.touch.get(a, ()) for a, b in zip(k, k[1:])):
+            steps = [ord(b) - ord(a) for a, b in zip(k, k[1:])]
+            options.append(cost.walk_cost(n, sum(a != b for a, b in zip(steps, steps[1:]))))
+        for r in range(2, n // 2 + 1):
+            if n % r == 0 and n // r <= 32 and part == part[: n // r] * r:
+                options.append(brute_cost(cost, part[: n // r]) + math.log2(r))
+        return 1 + min(options)
+
+    best = [0.0] * (len(value) + 1)
+    for i in range(len(value) - 1, -1, -1):
+        best[i] = min(priced(i, j) + best[j] for j in range(i + 1, len(value) + 1))
+    return best[0]
+
+
+def test_guess_cost_is_the_cheapest_cut():
+    rng = random.Random(7)
+    cost = secret_scan.GuessCost(("love", "pass", "aaa", "word", "ab", *secret_scan.COMMON_WORDS))
+    pieces = ["love", "P4ss", "ab", "a", "aa", "1", "11", "19990101", "2014-05-06", "qwe", "zxcvb", "asdf", "x", "K", "_", "abc", "é", "1999"]
+    values = ["passwordxx", "Dragonmonkey", "kvbwkvbwb", "aaaaaazzzz", "lovelovelove", "11119990101", "abcabcabcabc", "qwqwqwqw"]
+    for _ in range(400):
+        value = "".join(rng.choice(pieces) * rng.choice([1, 1, 1, 2, 3]) for _ in range(rng.randint(1, 5)))
+        values.append(value[: rng.randint(1, 24)])
+    for value in values:
+        want = brute_cost(cost, value)
+        assert cost(value) == pytest.approx(want), value
+        assert cost(value, 30.0) == pytest.approx(min(want, 30.0)), value
+    assert cost("11119990101") < 25 and cost("abcabcabcabc") < 30
+
+
+@pytest.mark.parametrize("value", ["a" * 300, "ab" * 150, "qw" * 140 + "love", "xyz" * 90 + "1999", "7" * 100 + "password" + "q" * 120])
+def test_guess_cost_of_long_values(value):
+    """Where only ends near either end are tried, nothing cheaper is missed."""
+    cost = secret_scan.GuessCost()
+    few = cost(value)
+    reach, secret_scan.REACH = secret_scan.REACH, 10_000
+    try:
+        assert few == pytest.approx(secret_scan.GuessCost()(value))
+    finally:
+        secret_scan.REACH = reach
+
+
+def test_guess_cost_of_very_long_values():
+    cost, rng = secret_scan.GuessCost(), random.Random(1)
+    begin = time.perf_counter()
+    assert cost("".join(rng.choice("abcdefXYZ0189") for _ in range(300_000)), 40.0) == 40.0
+    assert cost("c" * 5_000, 40.0) < 40.0
+    assert cost("ab" * 2_000, 40.0) < 40.0
+    assert time.perf_counter() - begin < 30
 
 
 def test_guess_cost_orders_values(frame):
-    cost = secret_scan.GuessCost(secret_scan.GuessRule())
+    cost = secret_scan.GuessCost()
     assert cost("") == 0
     for weak in ("password1", "qwertyuiop", "Dragon2014-05-06", "aaaaaaaaaaaa", "P@ssw0rd", "lovemonkey"):
         assert cost(weak) < 40 < cost("xK9#vTq2$Lm7"), weak
@@ -159,6 +190,24 @@ def test_guess_cost_orders_values(frame):
     assert [text[s.start : s.end] for s in row.spans] == ["xK9#vTq2$Lm7!", "Zr8Kq0PwTe5Vb1"]
 
 
+def test_words_are_learned_from_all_texts(frame):
+    rows = [(i, "The configuration of this organization, Configuration! " + "responsibility " * (i % 3)) for i in range(30)]
+    rows += [(100, "rare word"), (101, None), (102, ""), (103, "ab abcdefghijklmnopqrstu")]
+    words = secret_scan.learn_words(frame(rows))
+    assert words[0] == "configuration" and set(words) == {"configuration", "the", "this", "organization", "responsibility"}
+    assert secret_scan.learn_words(frame(rows), most=1) == ("configuration",)
+    assert secret_scan.learn_words(frame([])) == ()
+
+
+def test_ordinary_words_are_no_secrets(frame):
+    common = "configuration organization responsibility international necessary everything dependent"
+    rows = [(i, common) for i in range(20)]
+    said = "the password is configuration-dependent, the secret is responsibility and the token is international"
+    rows += [(50, said), (51, "the password is Xq7vRk2mWz9p")]
+    got = {r.doc_id: [s.kind for s in r.spans] for r in secret_scan.scan_secrets(frame(rows)).collect()}
+    assert got[50] == [] and got[51] == ["guess"]
+
+
 def test_byte_pairs_against_library(spark, sf_dir):
     library = Tokenizer.from_file(BYTE)
     texts = texts_of(spark, sf_dir)
