@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.boxes import cell_of
+from ..functions.boxes import cell_of, haversine_m
 from ..functions.joins import lookup_join
 
 PER_DEGREE = 10
@@ -33,3 +33,114 @@ def locate_points(points: DataFrame, gazetteer: DataFrame, id_col: str = "point_
         }
     )
     return lookup_join(located, cell_places(gazetteer), ["cell_x", "cell_y"], spread_nulls=F.col(id_col))
+
+
+# Nearest places. Cells of space: cubes around the unit sphere, each level four times wider.
+_LEAST_SIDE = 0.002  # about a tenth of a degree
+_LEVELS = 6  # the widest cubes hold the whole sphere
+_AXES = ("x", "y", "z")
+
+
+def _vector(lon: Column, lat: Column) -> list[Column]:
+    at, up = F.radians(lon), F.radians(lat)
+    return [(F.cos(up) * F.cos(at)).alias("x"), (F.cos(up) * F.sin(at)).alias("y"), F.sin(up).alias("z")]
+
+
+def _cube(c: Column) -> Column:
+    return F.floor((c + 1.0) / F.lit(_LEAST_SIDE)).cast("bigint")
+
+
+def _cubes(df: DataFrame) -> list[Column]:
+    return [_cube(F.col(a)).alias(f"i{a}") for a in _AXES]
+
+
+def _packed(x: Column, y: Column, z: Column) -> Column:
+    """One number per cube; the numbers of an axis stay below 2^12 with a margin for neighbours."""
+    return F.shiftleft(x + 4, 32).bitwiseOR(F.shiftleft(y + 4, 16)).bitwiseOR(z + 4)
+
+
+def _around(level: int) -> Column:
+    """The cube of a row and its neighbours, 27 in all."""
+    steps = F.array(*[F.lit(i).cast("bigint") for i in (-1, 0, 1)])
+    at = {a: F.shiftright(F.col(f"i{a}"), 2 * level) for a in _AXES}
+    return F.flatten(
+        F.transform(steps, lambda dx: F.flatten(F.transform(steps, lambda dy: F.transform(
+            steps, lambda dz: F.struct((at["x"] + dx).alias("cx"), (at["y"] + dy).alias("cy"), (at["z"] + dz).alias("cz"))
+        ))))
+    )
+
+
+def _gap(level: int, far: bool) -> Column:
+    """Least or largest distance between points of a row's smallest cube and of its candidate cube."""
+    total = F.lit(0.0)
+    wide = float(4**level)
+    for a in _AXES:
+        low, own = F.col(f"c{a}").cast("double") * wide, F.col(f"i{a}").cast("double")
+        if far:
+            apart = F.greatest(low + wide - own, own + 1.0 - low)
+        else:
+            apart = F.greatest(low - own - 1.0, own - low - wide, F.lit(0.0))
+        total = total + apart * apart
+    return F.sqrt(total) * F.lit(_LEAST_SIDE)
+
+
+def _candidates(cells: DataFrame, places: DataFrame) -> DataFrame:
+    """Places that can be nearest to some point of each smallest cube (ix, iy, iz of ``cells``).
+
+    Rings of cubes grow until one holds a place; four times wider, the same
+    ring holds every place that can be nearest. From there on cubes are halved
+    twice at a time, and those go that are further off than another one's far
+    side. Nothing but cubes is compared, so the work does not grow with the
+    points, and each cube keeps few candidates.
+    """
+    own = ["ix", "iy", "iz"]
+    held = places.select(*_cubes(places)).distinct()
+    at = lambda level: held.select(*[F.shiftright(f"i{a}", 2 * level).alias(f"c{a}") for a in _AXES]).distinct()
+    first = None
+    for level in range(_LEVELS):
+        found = (
+            cells.select(*own, F.explode(_around(level)).alias("c")).select(*own, "c.*")
+            .join(at(level), ["cx", "cy", "cz"], "left_semi").select(*own).distinct().withColumn("level", F.lit(level))
+        )
+        first = found if first is None else first.unionByName(found)
+    # The level to begin at: one wider than the first ring with a place.
+    begin = first.groupBy(*own).agg(F.least(F.min("level") + 1, F.lit(_LEVELS - 1)).alias("level"))
+    nearest = Window.partitionBy(*own)
+    kept = None
+    for level in range(_LEVELS - 1, -1, -1):
+        mine = begin.where(F.col("level") == level).select(*own, F.explode(_around(level)).alias("c")).select(*own, "c.*")
+        new = mine.join(at(level), ["cx", "cy", "cz"], "left_semi")
+        if kept is not None:
+            inside = at(level).select(*[F.shiftright(f"c{a}", 2).alias(f"p{a}") for a in _AXES], "cx", "cy", "cz")
+            old = kept.select(*own, *[F.col(f"c{a}").alias(f"p{a}") for a in _AXES]).join(inside, ["px", "py", "pz"])
+            new = old.select(*own, "cx", "cy", "cz").unionByName(new)
+        kept = (
+            new.withColumn("least", _gap(level, far=False)).withColumn("most", F.min(_gap(level, far=True)).over(nearest))
+            .where(F.col("least") <= F.col("most") + 1e-9).drop("least", "most")
+        )
+    named = places.select("place_id", "place_lon", "place_lat", *[_cube(F.col(a)).alias(f"c{a}") for a in _AXES])
+    return kept.join(named, ["cx", "cy", "cz"]).drop("cx", "cy", "cz")
+
+
+def nearest_places(points: DataFrame, gazetteer: DataFrame, id_col: str = "point_id") -> DataFrame:
+    """The nearest place of each point whose own cell has none: id, place_id, distance_mm.
+
+    A place lies in the middle of its cell. Distances go along great circles, in
+    whole millimetres; of equally near places the lowest place_id counts. Space
+    is cut by cubes, so poles and the date line are like any other place. Points
+    without usable coordinates and all points of an empty gazetteer get no row.
+    """
+    places = cell_places(gazetteer).select(
+        "place_id", ((F.col("cell_x") + 0.5) / PER_DEGREE).alias("place_lon"), ((F.col("cell_y") + 0.5) / PER_DEGREE).alias("place_lat")
+    )
+    placed = places.select("*", *_vector(F.col("place_lon"), F.col("place_lat")))
+    located = points.where(F.col("lon").between(-180.0, 180.0) & F.col("lat").between(-90.0, 90.0)).withColumns(
+        {"cell_x": cell_of(F.col("lon"), PER_DEGREE), "cell_y": cell_of(F.col("lat"), PER_DEGREE)}
+    )
+    alone = located.join(gazetteer.select("cell_x", "cell_y").distinct(), ["cell_x", "cell_y"], "left_anti")
+    in_space = alone.select(id_col, "lon", "lat", *_vector(F.col("lon"), F.col("lat")))
+    cubed = in_space.select(id_col, "lon", "lat", *_cubes(in_space))
+    found = cubed.join(_candidates(cubed.select("ix", "iy", "iz").distinct(), placed), ["ix", "iy", "iz"])
+    metres = haversine_m(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon"))
+    best = F.min(F.struct(F.floor(metres * 1000 + 0.5).cast("bigint").alias("distance_mm"), "place_id")).alias("best")
+    return found.groupBy(id_col).agg(best).select(id_col, "best.place_id", "best.distance_mm")

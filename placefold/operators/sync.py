@@ -102,3 +102,33 @@ def sync_overview(
 def sync_due(overview: DataFrame, as_of: Column) -> DataFrame:
     """Jobs whose delivery is due: running, idle sink, rows waiting, time passed."""
     return overview.where(F.col("next_due_at") <= as_of)
+
+
+def row_digest(rows: DataFrame, key: tuple[str, ...]) -> Column:
+    """128 bits over all columns but the key; null and '' differ."""
+    each = [F.coalesce(F.to_json(F.struct(F.col(c).alias("v"))), F.lit("")) for c in rows.columns if c not in key]
+    return F.md5(F.concat_ws("\x1f", *each))
+
+
+def change_set(before: DataFrame, after: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """What turns ``before`` into ``after``: rows with ``change`` insert, update or delete.
+
+    Both sides go through the full join as key and digest only; the rows of
+    inserts and updates are fetched by key afterwards. A delete has the key and
+    nulls. A key must be unique and not null on either side; equal rows give
+    nothing, so sending a change set again after it was applied sends nothing.
+    """
+    keys = list(key)
+    old = before.select(*keys, row_digest(before, key).alias("_old"))
+    new = after.select(*keys, row_digest(after, key).alias("_new"))
+    change = (
+        F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "delete").when(F.col("_old") != F.col("_new"), "update")
+    )
+    marks = old.join(new, keys, "full").select(*keys, change.alias("change")).where(F.col("change").isNotNull())
+    return marks.join(after, keys, "left").select("change", *after.columns)
+
+
+def apply_changes(before: DataFrame, changes: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """``before`` after the changes: touched keys go, inserted and updated rows come."""
+    kept = before.join(changes.select(*key), list(key), "left_anti")
+    return kept.unionByName(changes.where(F.col("change") != "delete").select(*before.columns))

@@ -12,6 +12,7 @@ from ..functions.joins import lookup_join
 from ..functions.text import nonempty, null_if_empty
 from ..functions.times import plus_seconds
 from .jobs import RUNNABLE, TERMINAL_JOB, UNFINISHED
+from .task_tree import child_id, parent_id
 
 # What counts as being blocked or slowed down by the remote side.
 BLOCKED_STATUS = (429, 403, 503, 504, 530)
@@ -395,16 +396,32 @@ def purge_expired(rows: DataFrame, as_of: Column) -> DataFrame:
     return rows.where(F.col("expires_at") > as_of)
 
 
+def owned_splits(shards: DataFrame, writes: DataFrame) -> DataFrame:
+    """``shards`` with ``splitting``: a split was written under the task's current claim.
+
+    ``writes`` has id and token; a write under another token than the task's
+    ``run_token`` comes from a worker that lost the task and changes nothing.
+    """
+    asked = writes.select("id", F.col("token").alias("_token")).distinct()
+    mine = asked.join(shards.select("id", "run_token", "status"), "id").where(
+        (F.col("status") == "running") & (F.col("run_token") == F.col("_token"))
+    )
+    marks = mine.select("id").distinct().withColumn("_split", F.lit(True))
+    return shards.join(marks, "id", "left").withColumn("splitting", F.col("_split").isNotNull()).drop("_split")
+
+
 def apply_splits(shards: DataFrame, splitting: Column, as_of: Column) -> DataFrame:
     """The task table after the rows under ``splitting`` were split.
 
     One pass: each split row becomes itself with status 'split' and its four
-    pending children (without an id yet, but with ``parent_id``).
+    pending children. A child's id holds its place in the tree (see
+    ``task_tree``), so children can be ranked, claimed and split again.
     """
     now = as_of
+    kind = shards.schema["id"].dataType
     own = F.struct(
         F.col("id").alias("id"),
-        F.lit(None).cast(shards.schema["id"].dataType).alias("parent_id"),
+        parent_id(F.col("id")).cast(kind).alias("parent_id"),
         F.col("bbox").alias("bbox"),
         F.col("depth").alias("depth"),
         F.when(splitting, F.lit("split")).otherwise(F.col("status")).alias("status"),
@@ -412,8 +429,8 @@ def apply_splits(shards: DataFrame, splitting: Column, as_of: Column) -> DataFra
     )
     children = F.transform(
         quadrants(F.col("bbox")),
-        lambda box: F.struct(
-            F.lit(None).cast(shards.schema["id"].dataType).alias("id"),
+        lambda box, i: F.struct(
+            child_id(F.col("id"), i).cast(kind).alias("id"),
             F.col("id").alias("parent_id"),
             box.alias("bbox"),
             (F.col("depth") + 1).alias("depth"),

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.times import ntz
 from ..operators import delivery as op
 from ..operators import sync
+from ..operators.merge import as_sightings, merge_listings
 from ..sources.views import view, with_views
-from .golden import LISTINGS
+from .golden import GOLDEN, LISTINGS
 from .merges import golden_listings
 
 SOURCE = "directory"
@@ -58,6 +59,21 @@ def changed_since_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+CHANGED = ("job_id", "dedupe_key", "id", "name", "phone", "website", "city", "review_count", "updated_at")
+
+
+def _before_and_after(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Listings as of an earlier sighting, and of all sightings after one job was deleted."""
+    seen = as_sightings(view(spark, sf_dir, "observations"))
+    before = merge_listings(seen.where("seq % 10 < 7"), columns=CHANGED).select(*CHANGED)
+    after = merge_listings(seen.where("seq % 10 >= 2 OR seq % 3 = 0"), columns=CHANGED).select(*CHANGED)
+    return before, after.where("job_id != 'purchase'")
+
+
+def delivery_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.change_set(*_before_and_after(spark, sf_dir), ("job_id", "dedupe_key"))
+
+
 def _overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.sync_overview(
         view(spark, sf_dir, "listing_jobs"),
@@ -184,6 +200,23 @@ QUERIES = {
             WHERE g.id > coalesce(s.last_synced_id, 0) OR s.last_synced_at IS NULL OR g.updated_at > s.last_synced_at""",
         ),
     ),
+    "delivery_changes": (
+        delivery_changes,
+        with_views(
+            "observations",
+            "".join(
+                GOLDEN.replace("golden AS", f"{name} AS").replace("FROM observations", f"FROM observations WHERE ({rule})")
+                for name, rule in (("old", "seq % 10 < 7"), ("all_new", "(seq % 10 >= 2 OR seq % 3 = 0)"))
+            )
+            + """, new AS (SELECT * FROM all_new WHERE job_id <> 'purchase')
+            SELECT CASE WHEN o.job_id IS NULL THEN 'insert' WHEN n.job_id IS NULL THEN 'delete' ELSE 'update' END AS change,
+              coalesce(o.job_id, n.job_id) AS job_id, coalesce(o.dedupe_key, n.dedupe_key) AS dedupe_key,
+              n.id, n.name, n.phone, n.website, n.city, n.review_count, n.updated_at
+            FROM old o FULL JOIN new n ON o.job_id = n.job_id AND o.dedupe_key = n.dedupe_key
+            WHERE o.job_id IS NULL OR n.job_id IS NULL OR (o.id, o.name, o.phone, o.website, o.city, o.review_count, o.updated_at)
+              IS DISTINCT FROM (n.id, n.name, n.phone, n.website, n.city, n.review_count, n.updated_at)""",
+        ),
+    ),
     "unsynced_count": (
         unsynced_count,
         with_views("parsed_records listing_jobs sync_runs", LISTINGS + _OVERVIEW + "SELECT * FROM o"),

@@ -9,7 +9,8 @@ from ..functions import boxes as bx
 from ..functions.times import ntz
 from ..operators import gazetteer as gz
 from ..operators import cover, grid, polygons
-from ..operators.tasks import apply_splits
+from ..operators import task_tree as tt
+from ..operators.tasks import apply_splits, next_per_job
 from ..sources.views import view, with_views
 from .jobs import SHARDS_AS_OF
 
@@ -51,6 +52,41 @@ def bbox_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def split_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of three tasks in four split where they may, then two of their quadrants, then the second quadrant of what waits."""
+    now = ntz(SHARDS_AS_OF)
+    tasks = _boxes(spark, sf_dir).select(
+        F.col("box_id").alias("id"), F.col("geom_id").cast("string").alias("job_id"), "bbox", F.lit(0).alias("depth"),
+        F.lit("pending").alias("status"), now.alias("updated_at"),
+    )
+    for quadrants in ((0, 1, 2, 3), (0, 3), (1,)):
+        quadrant = F.when(F.col("depth") == 0, 0).otherwise((F.col("id") % 4).cast("int"))
+        waits = (F.col("status") == "pending") & bx.can_split(F.col("bbox")) & quadrant.isin(*quadrants) & (tt.root_of(F.col("id")) % 4 != 0)
+        tasks = apply_splits(tasks, waits, now).select(*tasks.columns)
+    return tasks
+
+
+def task_tree_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results, attempts and failures of every task's subtree."""
+    done = {
+        "results": (F.col("id") * 7 % 41).cast("bigint"),
+        "attempts": (F.col("id") % 3).cast("bigint"),
+        "failures": (F.col("id") % 11 == 0).cast("bigint"),
+    }
+    return tt.subtree_totals(split_tasks(spark, sf_dir), done)
+
+
+def next_split_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The task that each job takes next where its tasks are children of splits."""
+    shards = split_tasks(spark, sf_dir).withColumn("next_run_at", F.col("updated_at"))
+    jobs = view(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").cast("string").alias("id"), F.lit("running").alias("status"),
+        ntz("1998-01-01 00:00:00").alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("last_claimed_at"),
+        F.col("n_regionkey").cast("bigint").alias("completed_shards"),
+    )
+    return next_per_job(shards, jobs, ntz(SHARDS_AS_OF)).select("job_id", "shard_id", "shard_status", "depth")
+
+
 def bbox_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _boxes(spark, sf_dir).select(
         "box_id",
@@ -136,6 +172,15 @@ def gazetteer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def nearest_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of which two thirds are moved off the gazetteer, as far as the other side of the date line."""
+    far = F.col("point_id") % 3
+    lon = F.when(far == 1, F.col("lon") - 170.0).when(far == 2, F.col("lon") * 20.0 + 15.0).otherwise(F.col("lon"))
+    lat = F.when(far == 1, F.col("lat") - 60.0).when(far == 2, (F.col("lat") - 44.0) * 20.0).otherwise(F.col("lat"))
+    points = view(spark, sf_dir, "points").select("point_id", lon.alias("lon"), lat.alias("lat"))
+    return gz.nearest_places(points, view(spark, sf_dir, "gazetteer"))
+
+
 _RADIUS = """CAST(ceil(2 * 6371008.8::DOUBLE * greatest(
   atan2(sqrt(a1), sqrt(1 - a1)), atan2(sqrt(a2), sqrt(1 - a2)))) AS BIGINT)"""
 
@@ -167,6 +212,21 @@ _CORNERS = ", ".join(
     _SIDE.format(lon=lon, lat=lat) for lon in ("west", "east") for lat in ("south", "north")
 )
 
+def _recursive(views: str, sql: str) -> str:
+    return with_views(views, sql).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_TREE = """, tree AS (
+  SELECT box_id AS id, CAST(NULL AS BIGINT) AS parent_id, box_id AS root_id, 0 AS splits, CAST(1 AS BIGINT) AS k, geom_id, south, west, north, east FROM boxes
+  UNION ALL
+  SELECT ((t.root_id + 1) << 30) | (t.k * 4 + q), t.id, t.root_id, t.splits + 1, t.k * 4 + q, geom_id,
+    CASE WHEN q < 2 THEN south ELSE (south + north) / 2 END, CASE WHEN q % 2 = 0 THEN west ELSE (west + east) / 2 END,
+    CASE WHEN q < 2 THEN (south + north) / 2 ELSE north END, CASE WHEN q % 2 = 0 THEN (west + east) / 2 ELSE east END
+  FROM tree t, (VALUES (0), (1), (2), (3)) v(q)
+  WHERE t.root_id % 4 <> 0 AND east - west > 0.05::DOUBLE AND north - south > 0.05::DOUBLE
+    AND (t.splits = 0 OR (t.splits = 1 AND t.k % 4 IN (0, 1, 3)) OR (t.splits = 2 AND t.k % 4 = 1 AND (t.k >> 2) % 4 IN (0, 3))))
+"""
+
 QUERIES = {
     "bbox_parse": (
         bbox_parse,
@@ -191,14 +251,37 @@ QUERIES = {
             u AS (SELECT box_id AS id, NULL::BIGINT AS parent_id, geom_id, 3 AS depth,
                 CASE WHEN splits THEN 'split' WHEN geom_id % 2 = 0 THEN 'running' ELSE 'done' END AS status,
                 CASE WHEN splits THEN TIMESTAMP '{SHARDS_AS_OF}' ELSE TIMESTAMP '1998-01-01' END AS updated_at, south, west, north, east FROM b
-              UNION ALL SELECT NULL, box_id, geom_id, 4, 'pending', TIMESTAMP '{SHARDS_AS_OF}', south, west, lat, lon FROM b WHERE splits
-              UNION ALL SELECT NULL, box_id, geom_id, 4, 'pending', TIMESTAMP '{SHARDS_AS_OF}', south, lon, lat, east FROM b WHERE splits
-              UNION ALL SELECT NULL, box_id, geom_id, 4, 'pending', TIMESTAMP '{SHARDS_AS_OF}', lat, west, north, lon FROM b WHERE splits
-              UNION ALL SELECT NULL, box_id, geom_id, 4, 'pending', TIMESTAMP '{SHARDS_AS_OF}', lat, lon, north, east FROM b WHERE splits)
+              UNION ALL SELECT ((box_id + 1) << 30) | 4, box_id, geom_id, 4, 'pending', TIMESTAMP '{SHARDS_AS_OF}', south, west, lat, lon FROM b WHERE splits
+              UNION ALL SELECT ((box_id + 1) << 30) | 5, box_id, geom_id, 4, 'pending', TIMESTAMP '{SHARDS_AS_OF}', south, lon, lat, east FROM b WHERE splits
+              UNION ALL SELECT ((box_id + 1) << 30) | 6, box_id, geom_id, 4, 'pending', TIMESTAMP '{SHARDS_AS_OF}', lat, west, north, lon FROM b WHERE splits
+              UNION ALL SELECT ((box_id + 1) << 30) | 7, box_id, geom_id, 4, 'pending', TIMESTAMP '{SHARDS_AS_OF}', lat, lon, north, east FROM b WHERE splits)
             SELECT id, parent_id, CAST(geom_id AS VARCHAR) AS job_id, depth, status, updated_at, round(south, 6) AS south, round(west, 6) AS west,
               round(north, 6) AS north, round(east, 6) AS east, round((south + north) / 2, 5) AS center_lat, round((west + east) / 2, 5) AS center_lon FROM u""",
         ),
     ),
+    "task_tree_rollup": (
+        task_tree_rollup,
+        _recursive(
+            "boxes",
+            _TREE
+            + """, own AS (SELECT id, id * 7 % 41 AS results, id % 3 AS attempts, CAST(id % 11 = 0 AS BIGINT) AS failures, parent_id, root_id, splits FROM tree),
+            up AS (SELECT id AS node, parent_id AS above, results, attempts, failures FROM own
+              UNION ALL SELECT o.id, o.parent_id, up.results, up.attempts, up.failures FROM up JOIN own o ON o.id = up.above)
+            SELECT o.id, o.root_id, o.parent_id, o.splits, s.tasks, s.results, s.attempts, s.failures FROM own o JOIN (
+              SELECT node, count(*) AS tasks, CAST(sum(results) AS BIGINT) AS results, CAST(sum(attempts) AS BIGINT) AS attempts,
+                CAST(sum(failures) AS BIGINT) AS failures FROM up GROUP BY node) s ON s.node = o.id""",
+        ),
+    ),
+    "next_split_task": (
+        next_split_task,
+        _recursive(
+            "boxes",
+            _TREE
+            + """, leaf AS (SELECT * FROM tree t WHERE NOT EXISTS (SELECT 1 FROM tree c WHERE c.parent_id = t.id))
+            SELECT CAST(geom_id AS VARCHAR) AS job_id, id AS shard_id, 'pending' AS shard_status, splits AS depth FROM leaf WHERE geom_id < 25
+            QUALIFY row_number() OVER (PARTITION BY geom_id ORDER BY splits DESC, id) = 1""",
+        ),
+    ),
     "bbox_radius": (
         bbox_radius,
         with_views(
@@ -345,6 +428,20 @@ QUERIES = {
               round(coalesce(north, 1), 6) AS north, round(coalesce(east, n_nationkey), 6) AS east FROM nation LEFT JOIN k ON k.geom_id = n_nationkey""",
         ),
     ),
+    "nearest_place": (
+        nearest_place,
+        with_views(
+            "points gazetteer",
+            """, g AS (SELECT cell_x, cell_y, min(place_id) AS place_id, (cell_x + 0.5::DOUBLE) / 10 AS plon, (cell_y + 0.5::DOUBLE) / 10 AS plat FROM gazetteer GROUP BY ALL),
+            p AS (SELECT point_id, CASE point_id % 3 WHEN 1 THEN lon - 170 WHEN 2 THEN lon * 20 + 15 ELSE lon END AS lon,
+              CASE point_id % 3 WHEN 1 THEN lat - 60 WHEN 2 THEN (lat - 44) * 20 ELSE lat END AS lat FROM points),
+            q AS (SELECT point_id, lon, lat, CAST(floor(lon * 10) AS INT) AS cell_x, CAST(floor(lat * 10) AS INT) AS cell_y FROM p WHERE lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90),
+            alone AS (SELECT * FROM q ANTI JOIN gazetteer USING (cell_x, cell_y)),
+            d AS (SELECT point_id, place_id, pow(sin(radians(plat - lat) / 2), 2) + pow(sin(radians(plon - lon) / 2), 2) * cos(radians(lat)) * cos(radians(plat)) AS a FROM alone, g),
+            m AS (SELECT point_id, place_id, CAST(floor(2 * 6371008.8::DOUBLE * atan2(sqrt(a), sqrt(1 - a)) * 1000 + 0.5::DOUBLE) AS BIGINT) AS distance_mm FROM d)
+            SELECT point_id, arg_min(place_id, (distance_mm, place_id)) AS place_id, min(distance_mm) AS distance_mm FROM m GROUP BY point_id""",
+        ),
+    ),
     "gazetteer_join": (
         gazetteer_join,
         with_views(

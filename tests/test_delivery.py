@@ -179,3 +179,21 @@ def test_batch_delivery_moves_the_cursor_and_can_be_forced(spark):
     assert count(sending.deliver(all_leads, all_jobs, "directory", out, log, now, force=True)) == total
     # Sending all again moved no cursor back.
     assert count(sending.deliver(newer, all_jobs, "directory", out, log, now)) == 0
+
+
+def test_change_sets_turn_the_old_state_into_the_new(spark):
+    schema = "job_id string, dedupe_key string, name string, n int, at timestamp_ntz"
+    day = dt.datetime(2024, 1, 1)
+    old = [("a", "1", "x", 1, day), ("a", "2", None, 2, day), ("a", "3", "", 3, None), ("b", "1", "gone", 4, day), ("a", "5", "same", None, day)]
+    new = [("a", "1", "x", 2, day), ("a", "2", "", 2, day), ("a", "3", "", 3, day), ("a", "4", "new", 1, None), ("a", "5", "same", None, day)]
+    before, after = spark.createDataFrame(old, schema), spark.createDataFrame(new, schema)
+    key = ("job_id", "dedupe_key")
+    changes = sync.change_set(before, after, key)
+    assert sorted((r.change, r.job_id, r.dedupe_key) for r in changes.collect()) == [
+        ("delete", "b", "1"), ("insert", "a", "4"), ("update", "a", "1"), ("update", "a", "2"), ("update", "a", "3"),
+    ]
+    done = sync.apply_changes(before, changes, key)
+    assert sorted(map(str, done.collect())) == sorted(map(str, after.collect()))
+    assert sync.change_set(done, after, key).count() == 0
+    assert sync.change_set(before.limit(0), after, key).select("change").distinct().collect()[0][0] == "insert"
+    assert sync.change_set(before, after.limit(0), key).where("name IS NULL AND change = 'delete'").count() == 5

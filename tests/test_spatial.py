@@ -406,3 +406,53 @@ def test_gazetteer_takes_the_lowest_place_of_a_cell(spark):
     points = spark.createDataFrame([(1, 2.05, 40.15), (2, -0.01, 40.1)], "point_id int, lon double, lat double")
     got = {r.point_id: (r.cell_x, r.city) for r in gazetteer.locate_points(points, places).collect()}
     assert got == {1: (20, "early"), 2: (-1, None)}
+
+
+# --- nearest places -------------------------------------------------------
+
+
+def great_circle(lat1, lon1, lat2, lon2):
+    a, b = math.radians(lat1), math.radians(lat2)
+    h = math.sin((b - a) / 2) ** 2 + math.sin(math.radians(lon2 - lon1) / 2) ** 2 * math.cos(a) * math.cos(b)
+    return 2 * R * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+
+@pytest.mark.parametrize("n_places", [1, 7, 400])
+def test_nearest_places_over_the_whole_earth(spark, n_places):
+    rng = random.Random(n_places)
+    places = [(i, rng.randrange(-1800, 1800), rng.randrange(-900, 900)) for i in range(n_places)]
+    places += [(1000, 1799, 0), (1001, -1800, 1), (1002, 5, 899)] if n_places > 1 else []
+    places.append((places[0][0] + 5000, *places[0][1:]))  # a second place of one cell
+    points = [(i, rng.uniform(-180, 180), math.degrees(math.asin(rng.uniform(-1, 1)))) for i in range(300)]
+    points += [(300, 0.0, 90.0), (301, 77.0, -90.0), (302, 180.0, 0.0), (303, -180.0, 0.0), (304, 179.99, 0.3), (305, -179.99, -0.3)]
+    points += [(306, None, 1.0), (307, 1.0, None), (308, float("nan"), 1.0), (309, 500.0, 1.0)]
+    points.append((310, places[0][1] / 10 + 0.05, places[0][2] / 10 + 0.05))  # its own cell has a place
+    frame = spark.createDataFrame(points, "point_id int, lon double, lat double")
+    table = spark.createDataFrame(places, "place_id bigint, cell_x int, cell_y int")
+    cells = {}
+    for p, x, y in places:
+        cells[x, y] = min(p, cells.get((x, y), p))
+    want = {}
+    for i, lon, lat in points[:306]:
+        if (math.floor(lon * 10), math.floor(lat * 10)) not in cells:
+            best = min((math.floor(great_circle(lat, lon, (y + 0.5) / 10, (x + 0.5) / 10) * 1000 + 0.5), p) for (x, y), p in cells.items())
+            want[i] = best
+    got = {r.point_id: (r.distance_mm, r.place_id) for r in gazetteer.nearest_places(frame, table).collect()}
+    assert set(got) == set(want)
+    # Two libraries may round the last digit apart.
+    assert all(abs(got[i][0] - want[i][0]) <= 1 for i in want)
+    assert sum(got[i][1] != want[i][1] for i in want) == 0
+
+
+def test_nearest_place_of_equals_is_the_lowest(spark):
+    places = spark.createDataFrame([(9, 0, 0), (4, 2, 0), (6, 1, 1)], "place_id bigint, cell_x int, cell_y int")
+    points = spark.createDataFrame([(1, 0.15, 0.05)], "point_id int, lon double, lat double")
+    assert [tuple(r)[:2] for r in gazetteer.nearest_places(points, places).collect()] == [(1, 4)]
+    assert gazetteer.nearest_places(points, places.limit(0)).collect() == []
+
+
+def test_nearest_places_need_no_cross_join(spark):
+    places = spark.createDataFrame([(9, 0, 0)], "place_id bigint, cell_x int, cell_y int")
+    points = spark.createDataFrame([(1, 5.0, 5.0)], "point_id int, lon double, lat double")
+    plan = gazetteer.nearest_places(points, places)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan

@@ -3,11 +3,13 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from placefold.functions.boxes import make_box
 from placefold.functions.times import ntz
 from placefold.operators import jobs, tasks
+from placefold.operators import task_tree as tt
 
 LOG = "shard_id bigint, seq bigint, event string, token string, error string"
 
@@ -166,3 +168,53 @@ def test_stats_of_a_job_without_tasks(spark):
         "updated_at timestamp_ntz, next_run_at timestamp_ntz")
     row = jobs.job_shard_stats(job, none).first()
     assert (row.total_shards, row.paused_shards, row.max_depth, row.last_activity_at) == (0, 0, 0, when)
+
+
+# --- task tree ------------------------------------------------------------
+
+
+def test_ids_hold_the_place_in_the_tree(spark):
+    rng = random.Random(2)
+    rows, ids = [], [5, 0, tt.LARGEST_ROOT]
+    parents = {i: None for i in ids}
+    frame = spark.createDataFrame([(i,) for i in ids], "id bigint")
+    for depth in range(14):
+        made = frame.select("id", F.explode(F.array(*[F.lit(q) for q in range(4)])).alias("q")).select(
+            F.col("id").alias("up"), tt.child_id(F.col("id"), F.col("q")).alias("id")).collect()
+        for r in made:
+            parents[r.id] = r.up
+        ids = rng.sample([r.id for r in made], 3)
+        rows += ids
+        frame = spark.createDataFrame([(i,) for i in ids], "id bigint")
+    assert len(set(parents)) == 3 + 14 * 12
+    with pytest.raises(Exception, match="no id"):
+        frame.select(tt.child_id(F.col("id"), F.lit(0))).collect()
+
+    def line(i):
+        return [i, *(line(parents[i]) if parents[i] is not None else [])]
+
+    table = spark.createDataFrame([(i,) for i in parents], "id bigint")
+    for r in table.select("id", tt.parent_id(F.col("id")).alias("up"), tt.ancestors(F.col("id")).alias("line"), tt.root_of(F.col("id")).alias("root"), tt.splits_above(F.col("id")).alias("n")).collect():
+        assert (r.up, r.line, r.root, r.n) == (parents[r.id], line(r.id), line(r.id)[-1], len(line(r.id)) - 1)
+
+
+def test_subtree_totals(spark):
+    child = lambda i, q: tt.child_id(F.lit(i).cast("bigint"), F.lit(q))
+    a, b = spark.range(1).select(child(7, 0), child(7, 3)).first()
+    c = spark.range(1).select(child(b, 2)).first()[0]
+    frame = spark.createDataFrame([(7, 1), (a, 10), (c, 100), (c, 1000), (8, 5), (None, 9)], "id bigint, n bigint")
+    got = {r.id: (r.root_id, r.parent_id, r.splits, r.tasks, r.total) for r in tt.subtree_totals(frame, {"total": F.col("n")}).collect()}
+    assert got == {7: (7, None, 0, 4, 1111), a: (7, 7, 1, 1, 10), b: (7, 7, 1, 2, 1100), c: (7, b, 2, 2, 1100), 8: (8, None, 0, 1, 5)}
+
+
+def test_only_the_claim_that_holds_a_task_splits_it(spark):
+    box = F.struct(*[F.lit(v).alias(n) for v, n in ((0.0, "south"), (0.0, "west"), (8.0, "north"), (8.0, "east"))])
+    shards = spark.createDataFrame(
+        [(1, "j", 0, "running", "t2"), (2, "j", 0, "running", "t1"), (3, "j", 0, "retry", "t1"), (4, "j", 0, "running", None)],
+        "id bigint, job_id string, depth int, status string, run_token string",
+    ).withColumn("bbox", box).withColumn("updated_at", ntz("2024-01-01"))
+    writes = spark.createDataFrame([(1, "t1"), (2, "t1"), (2, "t1"), (3, "t1"), (4, None), (9, "t1")], "id bigint, token string")
+    rows = tasks.apply_splits(tasks.owned_splits(shards, writes), F.col("splitting"), ntz("2024-01-02")).collect()
+    assert {r.id for r in rows if r.status == "split"} == {2}
+    assert len(rows) == 8 and all(r.id is not None for r in rows) and len({r.id for r in rows}) == 8
+    assert {r.parent_id for r in rows if r.status == "pending"} == {2}
