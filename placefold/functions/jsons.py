@@ -15,12 +15,11 @@ def decode(c: Column, ddl: str) -> Column:
     """Parsed JSON, null when the text is not JSON of that shape.
 
     For an array ``from_json`` does just that. For a struct it answers bad text
-    with a struct of nulls, so there the text is checked first.
+    with a struct of nulls; whether the text is an object at all is a scan of
+    its outermost keys.
     """
     value = F.from_json(c, ddl)
-    if ddl.startswith("array"):
-        return value
-    return F.when(F.try_parse_json(c).isNotNull() & (F.trim(c) != "null"), value)
+    return value if ddl.startswith("array") else F.when(F.json_object_keys(c).isNotNull(), value)
 
 
 def encode(c: Column, default: str) -> Column:

@@ -141,6 +141,7 @@ def final_status(counters: DataFrame) -> DataFrame:
         .when(F.col("failed_shards") > 0, F.lit("partial"))
         .otherwise(F.lit("completed"))
     )
+    # The messages that go with a status.
     message = (
         F.when(F.col("final_status") == "failed", F.lit("All shards failed."))
         .when(F.col("final_status") == "partial", F.lit("Completed with failed shards."))

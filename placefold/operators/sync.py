@@ -17,6 +17,7 @@ def sync_state_fold(runs: DataFrame) -> DataFrame:
     seq, event = F.col("seq"), F.col("event")
     success = F.when(event == "success", seq)
     started = F.when(event == "started", seq)
+    # Fixed value: the message while a delivery runs.
     message = F.when(event == "started", F.lit("Sync in progress.")).otherwise(F.col("message"))
     status = F.when(event == "started", F.lit("running")).otherwise(event)
     first_ts = F.min_by("ts", seq)

@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.jsons import ADDRESS_DDL, BBOX_DDL, decode, setting
 from ..operators import paging
-from ..operators.merge import as_sightings
+from ..operators.delivery import mask_secret
+from ..operators.jobs import lead_coverage
+from ..operators.merge import as_sightings, merge_listings
+from ..operators.normalize import normalize_listings
 from ..sources import listing_pages as lp
+from ..sources.boundaries import edge_table
+from ..sources.stored import keyed_default
 from ..sources.views import view, with_views
 from .golden import GOLDEN
 
@@ -87,6 +92,62 @@ def extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SITES = [
+    lp.Site("https://us.directory.example", lp.CARD_US), lp.Site("https://au.directory.example", lp.CARD_AU),
+    lp.Site("https://ca.directory.example", lp.LISTING_CA), lp.Site("https://nz.directory.example", lp.ITEM_NZ),
+]
+
+
+def _mixed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = view(spark, sf_dir, "layout_pages").withColumn("seq", F.col("page_id"))
+    return lp.extract_mixed(pages, SITES, "page_id", "seq", "job_id", "observed_at")
+
+
+def masked_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings with a secret in two rows of three, of which one is blank; only whether it is set is shown."""
+    third = F.col("seq") % 3
+    token = F.when(third == 1, F.lit("")).when(third == 2, F.concat(F.lit("t"), F.col("seq").cast("string")))
+    return mask_secret(view(spark, sf_dir, "settings_log").withColumn("token", token), "token").select("setting", "seq", "has_token")
+
+
+def job_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts that the tasks of a job may take: by the job's key in any case, else the default."""
+    limits = F.create_map(*[F.lit(v) for pair in {"1-urgent": 9, "2-high": 7, "": 1}.items() for v in pair])
+    key = F.when(F.col("id") % 10 != 0, F.col("job_id"))
+    return view(spark, sf_dir, "shards").select("id", keyed_default(limits, key, F.col("attempt_count")).alias("most_attempts"))
+
+
+def boundary_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges read back from GeoJSON texts: Polygon, MultiPolygon, Feature of either, and broken ones."""
+    point = lambda n: F.array(F.col(f"lon{n}"), F.col(f"lat{n}"))
+    each = F.sort_array(F.collect_list(F.struct("seq", point(1).alias("a"), point(2).alias("b"))))
+    rings = view(spark, sf_dir, "zone_edges").groupBy("geom_id", "part_id", "ring_id").agg(each.alias("e"))
+    closed = F.concat(F.col("e.a"), F.array(F.element_at("e.b", -1)))
+    parts = rings.groupBy("geom_id", "part_id").agg(F.sort_array(F.collect_list(F.struct("ring_id", closed.alias("ring")))).alias("rings"))
+    whole = parts.groupBy("geom_id").agg(F.sort_array(F.collect_list(F.struct("part_id", F.col("rings.ring").alias("r")))).alias("parts"))
+    kind = F.col("geom_id") % 6
+    first = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.element_at("parts.r", 1).alias("coordinates")))
+    many = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.col("parts.r").alias("coordinates")))
+    feature = lambda inner: F.concat(F.lit('{"type": "Feature", "properties": {"type": "x"}, "geometry": '), inner, F.lit("}"))
+    text = (
+        F.when(kind == 0, many).when(kind == 1, feature(many)).when(kind == 2, first).when(kind == 3, feature(first))
+        .when(kind == 4, F.substring(many, 1, 40)).otherwise(many)
+    )
+    return edge_table(whole.select(F.col("geom_id").cast("bigint").alias("geom_id"), text.alias("geometry")))
+
+
+def mixed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of pages of four layouts and of a site that is not known."""
+    return _mixed_records(spark, sf_dir).drop("seq", "job_id", "observed_at", "categories", "category")
+
+
+def pages_to_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From stored pages to the coverage of each job: read, normalise, merge, count."""
+    # The cards of a page are numbered, as arrival has to be unique per listing.
+    records = _mixed_records(spark, sf_dir).withColumn("seq", F.col("page_id") * 2 + F.col("position"))
+    return lead_coverage(merge_listings(as_sightings(normalize_listings(records, "seq", "job_id", "observed_at"))))
+
+
 QUERIES = {
     "jobs_listing": (jobs_listing, with_views("jobs", "SELECT * FROM jobs")),
     "point_lookup": (point_lookup, with_views("shards", "SELECT * FROM shards WHERE id = 42")),
@@ -156,6 +217,55 @@ QUERIES = {
             FROM c""",
         ),
     ),
+    "mixed_pages": (
+        mixed_pages,
+        with_views(
+            "layout_pages",
+            """, p AS (SELECT *, CASE site WHEN 0 THEN 'US' WHEN 1 THEN 'AU' WHEN 2 THEN 'CA' ELSE 'NZ' END AS country FROM layout_pages WHERE site < 4),
+            first AS (SELECT page_id, 0::INT AS position, 'Shop ' || who AS name, CASE WHEN site = 2 THEN '' ELSE 'shop-' END || who AS listing_id,
+              'https://' || lower(country) || '.directory.example' || CASE site WHEN 2 THEN '/bus/Ontario/Toronto/Shop/' || who || '.html'
+                WHEN 3 THEN '/b/shop-' || who ELSE '/mip/shop-' || who || '?lid=' || page_id END AS listing_url,
+              CASE WHEN has_phone THEN CASE site WHEN 2 THEN '555-0100' WHEN 3 THEN 'Ring' ELSE '(555) 0100' END END AS phone,
+              CASE WHEN has_site THEN 'http://shop.example' END AS website, CASE WHEN site < 3 THEN '1 Main St' END AS street,
+              CASE site WHEN 2 THEN 'Toronto' WHEN 3 THEN 'Auckland' ELSE 'Springfield' END AS city, CASE site WHEN 2 THEN 'ON' WHEN 3 THEN 'AKL' ELSE 'IL' END AS state_region,
+              CASE site WHEN 2 THEN 'M5V' WHEN 3 THEN '1010' ELSE '62701' END AS postcode, country,
+              CASE WHEN site < 2 THEN 4.5::DOUBLE END AS rating, CASE WHEN site < 2 THEN 12 ELSE 0 END::INT AS review_count FROM p),
+            twin AS (SELECT page_id, 1::INT, 'Twin', 'twin-' || who, 'https://' || lower(country) || '.directory.example/mip/twin-' || who, NULL, NULL, NULL, NULL, NULL, NULL,
+              country, NULL, 0::INT FROM p WHERE site < 2)
+            SELECT * FROM first UNION ALL SELECT * FROM twin""",
+        ),
+    ),
+    "pages_to_coverage": (
+        pages_to_coverage,
+        with_views(
+            "layout_pages",
+            """, seen AS (SELECT job_id, CASE WHEN site = 2 THEN '' ELSE 'shop-' END || who AS dedupe_key, has_site, has_phone FROM layout_pages WHERE site < 4
+              UNION ALL SELECT job_id, 'twin-' || who, false, false FROM layout_pages WHERE site < 2),
+            lead AS (SELECT job_id, dedupe_key, bool_or(has_site) AS w, bool_or(has_phone) AS p FROM seen GROUP BY ALL)
+            SELECT job_id, count(*) AS leads, count(*) FILTER (w) AS leads_with_website, count(*) FILTER (p) AS leads_with_phone FROM lead GROUP BY job_id""",
+        ),
+    ),
+    "masked_settings": (
+        masked_settings,
+        with_views("settings_log", "SELECT setting, seq, seq % 3 = 2 AS has_token FROM settings_log"),
+    ),
+    "job_limits": (
+        job_limits,
+        with_views(
+            "shards",
+            """SELECT id, CASE WHEN id % 10 = 0 THEN 1 WHEN job_id = '1-URGENT' THEN 9 WHEN job_id = '2-HIGH' THEN 7 ELSE attempt_count END::INT AS most_attempts FROM shards""",
+        ),
+    ),
+    "boundary_edges": (
+        boundary_edges,
+        with_views(
+            "zone_edges",
+            """, z AS (SELECT * FROM zone_edges WHERE geom_id % 6 <> 4)
+            SELECT CAST(geom_id AS BIGINT) AS geom_id, CAST(part_id AS INT) AS part_id,
+              CAST(ring_id AS INT) AS ring_id, CAST(seq AS INT) AS seq, lon1, lat1, lon2, lat2 FROM z
+            WHERE (geom_id % 6 NOT IN (2, 3) OR part_id = 0)""",
+        ),
+    ),
     "extract_links": (
         extract_links,
         """WITH found AS (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">[^<]*</a></li>', 1) AS hrefs,

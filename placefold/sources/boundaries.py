@@ -30,21 +30,25 @@ def read_boundaries(spark: SparkSession, path: str, country: str | None = None)
 
 
 def polygon_parts(geometry: Column) -> Column:
-    """Polygons of a GeoJSON Feature, Polygon or MultiPolygon text as an array."""
-    kind = F.get_json_object(geometry, "$.type")
-    inner = F.when(kind == "Feature", F.get_json_object(geometry, "$.geometry")).otherwise(geometry)
-    inner_kind = F.get_json_object(inner, "$.type")
-    coordinates = F.get_json_object(inner, "$.coordinates")
-    return F.when(
-        inner_kind == "Polygon", F.array(F.from_json(coordinates, POLYGON))
-    ).when(inner_kind == "MultiPolygon", F.from_json(coordinates, f"array<{POLYGON}>"))
+    """Polygons of a GeoJSON Feature, Polygon or MultiPolygon as an array, null for anything else.
+
+    ``geometry`` is a variant, so that its text is parsed once.
+    """
+    at = lambda path, kind: F.try_variant_get(geometry, path, kind)
+    featured = F.coalesce(at("$.type", "string") == "Feature", F.lit(False))
+    kind = F.when(featured, at("$.geometry.type", "string")).otherwise(at("$.type", "string"))
+    rings = lambda kind: F.when(featured, at("$.geometry.coordinates", kind)).otherwise(at("$.coordinates", kind))
+    return F.when(kind == "Polygon", F.array(rings(POLYGON))).when(kind == "MultiPolygon", rings(f"array<{POLYGON}>"))
 
 
 def edge_table(boundaries: DataFrame, geometry: str = "geometry") -> DataFrame:
-    """Edges of all rings: geom_id, part_id, ring_id, seq and both ends."""
-    parts = boundaries.select(
-        "geom_id", F.posexplode(polygon_parts(F.col(geometry))).alias("part_id", "rings")
-    )
+    """Edges of all rings: geom_id, part_id, ring_id, seq and both ends.
+
+    Broken texts, other geometries, nulls and rings of fewer than two points
+    give no edges.
+    """
+    read = boundaries.select("geom_id", F.try_parse_json(F.col(geometry)).alias("_geometry"))
+    parts = read.select("geom_id", F.posexplode(polygon_parts(F.col("_geometry"))).alias("part_id", "rings"))
     rings = parts.select("geom_id", "part_id", F.posexplode("rings").alias("ring_id", "ring"))
     n = F.size("ring") - 1
     ends = F.arrays_zip(

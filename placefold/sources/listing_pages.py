@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -220,28 +220,26 @@ def _record(element: Element, profile: Profile, own_host: str) -> dict | None:
     }
 
 
-def raw_pages(
-    pages: DataFrame,
-    profile: Profile,
-    own_host: str,
-    *carry: str,
-    html: str = "html",
-    with_counts: bool = True,
-) -> DataFrame:
-    """``carry`` columns, count text and raw records of each page.
+LAYOUT = "_layout"
 
-    When the count text is not needed, pages without the layout's marker,
-    which have no listing, are left out before Python. A page that cannot be
-    read keeps its row, without records and with the reason in ``error``.
+
+def _own_host(base_url: str) -> str:
+    return re.sub(r"^https?://(www\.)?", "", base_url).split(".")[0]
+
+
+def _read_pages(pages: DataFrame, profiles: dict[str, tuple[Profile, str]], *carry: str, html: str) -> DataFrame:
+    """``carry`` columns, layout, count text, records and error of each page.
+
+    One pass for all layouts: a page is read by the profile that its
+    ``_layout`` names, with the host that its site calls its own.
     """
-    text = F.col(html)
-    read = pages if with_counts else pages.where(F.lower(text).contains(profile.marker.lower()))
-    kept = read.select(*carry, text.alias(html))
+    kept = pages.select(*carry, LAYOUT, F.col(html).alias(html))
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in kept.drop(html).schema]
     schema = ", ".join([*fields, "count_text string", f"records array<{RAW_RECORD}>", "error string"])
 
-    def read_page(page: str) -> tuple:
+    def read_page(page: str, layout: str) -> tuple:
         try:
+            profile, own_host = profiles[layout]
             elements = parse_html(page).walk()
             cards = (_record(c, profile, own_host) for c in find_all(elements, profile.card))
             return _count_text(elements, profile), [r for r in cards if r], None
@@ -250,13 +248,36 @@ def raw_pages(
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [read_page(page or "") for page in batch[html]]
+            found = [read_page(page or "", layout) for page, layout in zip(batch[html], batch[LAYOUT])]
             counts, records, errors = zip(*found) if found else ((), (), ())
             yield batch.drop(columns=[html]).assign(count_text=counts, records=records, error=errors)
 
     return kept.mapInPandas(extract, schema)
 
 
+def _may_list(html: str, profile: Profile) -> Column:
+    return F.lower(F.col(html)).contains(profile.marker.lower())
+
+
+def raw_pages(
+    pages: DataFrame,
+    profile: Profile,
+    own_host: str,
+    *carry: str,
+    html: str = "html",
+    with_counts: bool = True,
+) -> DataFrame:
+    """``carry`` columns, count text and raw records of each page.
+
+    When the count text is not needed, pages without the layout's marker,
+    which have no listing, are left out before Python. A page that cannot be
+    read keeps its row, without records and with the reason in ``error``.
+    """
+    read = pages if with_counts else pages.where(_may_list(html, profile))
+    named = read.select(*carry, html, F.lit("").alias(LAYOUT))
+    return _read_pages(named, {"": (profile, own_host)}, *carry, html=html).drop(LAYOUT)
+
+
 def page_summary(raw: DataFrame, profile: Profile) -> DataFrame:
     """Records of each page with its announced total (its own size without one)."""
     return raw.withColumn("n_results", F.size("records")).withColumn(
@@ -268,12 +289,9 @@ def page_summary(raw: DataFrame, profile: Profile) -> DataFrame:
     )
 
 
-def listing_records(
-    raw: DataFrame, profile: Profile, base_url: str, *carry: str, grouped_counts: bool = True
-) -> DataFrame:
-    """Parsed listing records, one row each, in page order (``position``)."""
+def _fields(profile: Profile, base_url: str, grouped_counts: bool) -> dict[str, Column]:
+    """Parsed fields of a raw ``record``; ``place`` is still one text."""
     r = lambda name: F.col(f"record.{name}")
-    rows = raw.select(*carry, F.posexplode("records").alias("position", "record"))
     if profile.full_address:
         whole = r("full_address")
         comma = F.instr(whole, ",")
@@ -293,31 +311,77 @@ def listing_records(
         listing_id = tx.id_from_href(r("href"))
         url = tx.absolute_url(r("href"), base_url)
     stars = tx.null_if_empty(F.regexp_extract(r("star_class"), r"s(\d+)", 1))
-    rating = F.coalesce(tx.parse_float(r("rating_text")), stars.cast("double") / 10)
-    return rows.withColumn("place", tx.parse_locality(place)).select(
-        *carry,
-        "position",
-        r("name").alias("name"),
-        listing_id.alias("listing_id"),
-        url.alias("listing_url"),
-        tx.null_if_empty(phone).alias("phone"),
-        r("website").alias("website"),
-        tx.null_if_empty(street).alias("street"),
-        F.col("place.city").alias("city"),
-        F.col("place.state_region").alias("state_region"),
-        F.col("place.postcode").alias("postcode"),
-        F.lit(profile.country).alias("country"),
-        r("categories").alias("categories"),
-        F.get(r("categories"), F.lit(0)).alias("category"),
-        rating.alias("rating"),
-        tx.parse_count(r("reviews_text"), grouped_counts).try_cast("int").alias("review_count"),
-    )
+    return {
+        "name": r("name"),
+        "listing_id": listing_id,
+        "listing_url": url,
+        "phone": tx.null_if_empty(phone),
+        "website": r("website"),
+        "street": tx.null_if_empty(street),
+        "place": place,
+        "country": F.lit(profile.country),
+        "categories": r("categories"),
+        "category": F.get(r("categories"), F.lit(0)),
+        "rating": F.coalesce(tx.parse_float(r("rating_text")), stars.cast("double") / 10),
+        "review_count": tx.parse_count(r("reviews_text"), grouped_counts).try_cast("int"),
+    }
+
+
+def _records(raw: DataFrame, fields: dict[str, Column], *carry: str) -> DataFrame:
+    rows = raw.withColumn("place", tx.parse_locality(fields["place"]))
+    parsed = {c: F.col(f"place.{c}") for c in ("city", "state_region", "postcode")}
+    named: list[Column] = []
+    for name, value in fields.items():
+        named += [v.alias(c) for c, v in parsed.items()] if name == "place" else [value.alias(name)]
+    return rows.select(*carry, "position", *named)
+
+
+def listing_records(
+    raw: DataFrame, profile: Profile, base_url: str, *carry: str, grouped_counts: bool = True
+) -> DataFrame:
+    """Parsed listing records, one row each, in page order (``position``)."""
+    rows = raw.select(*carry, F.posexplode("records").alias("position", "record"))
+    return _records(rows, _fields(profile, base_url, grouped_counts), *carry)
 
 
 def extract_listings(
     pages: DataFrame, profile: Profile, base_url: str, *carry: str
 ) -> DataFrame:
     """Parsed records of stored pages; ``base_url`` is the directory's own site."""
-    own_host = re.sub(r"^https?://(www\.)?", "", base_url).split(".")[0]
-    raw = raw_pages(pages, profile, own_host, *carry, with_counts=False)
+    raw = raw_pages(pages, profile, _own_host(base_url), *carry, with_counts=False)
     return listing_records(raw, profile, base_url, *carry)
+
+
+@dataclass(frozen=True)
+class Site:
+    """A directory: its own address and the layout of its pages."""
+
+    base_url: str
+    profile: Profile
+
+    @property
+    def host(self) -> str:
+        return re.sub(r"^https?://", "", self.base_url).split("/")[0].lower()
+
+
+def extract_mixed(pages: DataFrame, sites: list[Site], *carry: str, url: str = "url", html: str = "html") -> DataFrame:
+    """Parsed records of pages of several sites, read in one pass.
+
+    The layout is chosen per row from the host of the page's address. Pages of
+    other hosts, and those without their layout's marker, have no listings and
+    do not go to Python.
+    """
+    by_host = {site.host: site for site in sites}
+    host = F.lower(F.try_parse_url(F.col(url), F.lit("HOST")))
+    reads = F.lit(False)
+    for name, site in by_host.items():
+        reads = reads | ((host == name) & _may_list(html, site.profile))
+    named = pages.withColumn(LAYOUT, host).where(reads).select(*carry, html, LAYOUT)
+    raw = _read_pages(named, {n: (s.profile, _own_host(s.base_url)) for n, s in by_host.items()}, *carry, html=html)
+    rows = raw.select(*carry, LAYOUT, F.posexplode("records").alias("position", "record"))
+    chosen: dict[str, Column] = {}
+    for name, site in by_host.items():
+        for field, value in _fields(site.profile, site.base_url, True).items():
+            so = F.col(LAYOUT) == name
+            chosen[field] = F.when(so, value) if field not in chosen else chosen[field].when(so, value)
+    return _records(rows, chosen, *carry)

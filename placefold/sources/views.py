@@ -317,6 +317,28 @@ JOIN (VALUES
 ) AS t(ring_id, seq, x1, y1, x2, y2) ON t.ring_id = p.ring
 """
 
+LAYOUT_PAGES = """
+SELECT event_id AS page_id, event_type AS job_id, ts AS observed_at, user_id AS who, event_id % 5 AS site, event_id % 3 <> 0 AS has_phone, event_id % 7 = 0 AS has_site,
+  concat('https://', CASE event_id % 5 WHEN 0 THEN 'us' WHEN 1 THEN 'au' WHEN 2 THEN 'ca' WHEN 3 THEN 'nz' ELSE 'other' END, '.directory.example/search?p=', CAST(event_id AS STRING)) AS url,
+  concat('<html><body>', CASE WHEN event_id % 5 IN (0, 1) THEN concat(
+      '<div class="v-card"><a class="business-name" href="/mip/shop-', CAST(user_id AS STRING), '?lid=', CAST(event_id AS STRING), '">Shop ', CAST(user_id AS STRING), '</a>',
+      CASE WHEN event_id % 3 <> 0 THEN '<div class="phones phone primary"> (555) 0100 </div>' ELSE '' END,
+      CASE WHEN event_id % 7 = 0 THEN '<a class="track website" href="http://shop.example">Site</a>' ELSE '' END,
+      '<div class="street-address">1 Main St</div><div class="locality">Springfield, IL 62701</div><div class="rating"><em>4.5</em></div><span class="count">(12)</span></div>',
+      '<div class="v-card"><a class="business-name" href="/mip/twin-', CAST(user_id AS STRING), '">Twin</a></div>')
+    WHEN event_id % 5 = 2 THEN concat(
+      '<div class="listing__content"><a class="listing__name--link">Shop ', CAST(user_id AS STRING), '</a><div data-merchanturl="/bus/Ontario/Toronto/Shop/', CAST(user_id AS STRING), '.html?what=d"></div>',
+      CASE WHEN event_id % 3 <> 0 THEN '<a href="tel:555-0100">call</a>' ELSE '' END,
+      CASE WHEN event_id % 7 = 0 THEN '<ul><li class="mlr__item--website"><a href="http://shop.example">Site</a></li></ul>' ELSE '<a href="https://ca.directory.example/self">self</a>' END,
+      '<span class="listing__address--full">1 Main St, Toronto, ON M5V 2H1</span></div>')
+    ELSE concat(
+      '<div class="listing-item"><h3><a href="/b/shop-', CAST(user_id AS STRING), '">Shop ', CAST(user_id AS STRING), '</a></h3>',
+      CASE WHEN event_id % 3 <> 0 THEN '<a href="tel:0955">Ring</a>' ELSE '' END,
+      CASE WHEN event_id % 7 = 0 THEN '<a rel="nofollow" href="http://shop.example">k</a>' ELSE '' END,
+      '<div class="item-address">Auckland, AKL 1010</div></div>') END, '</body></html>') AS html
+FROM {events}
+"""
+
 VIEWS = {
     "observations": OBSERVATIONS,
     "shards": SHARDS,
@@ -333,6 +355,7 @@ VIEWS = {
     "raw_words": RAW_WORDS,
     "place_records": PLACE_RECORDS,
     "attempts": ATTEMPTS,
+    "layout_pages": LAYOUT_PAGES,
     "shard_events": SHARD_EVENTS,
     "job_events": JOB_EVENTS,
     "sync_runs": SYNC_RUNS,

@@ -152,3 +152,22 @@ def test_overflowing_counts_are_null(spark):
     pages = spark.createDataFrame([(1, html)], "page_id int, html string")
     rows = lp.extract_listings(pages, lp.PROFILES["card_us"], "https://x.example", "page_id").collect()
     assert all(r.review_count is None for r in rows)
+
+
+def test_pages_of_several_sites_in_one_pass(spark):
+    """Layouts by host: the same records as one profile after the other; other hosts give none."""
+    sites = [lp.Site("https://us.example", lp.CARD_US), lp.Site("https://www.ca.example", lp.LISTING_CA), lp.Site("https://nz.example/dir", lp.ITEM_NZ)]
+    rows = [
+        (1, "https://us.example/search?q=a", US), (2, "http://WWW.CA.example/x", CA), (3, "https://nz.example/dir/1", NZ),
+        (4, "https://elsewhere.example/", US), (5, "https://us.example/", CA), (6, None, US), (7, "https://us.example/", None),
+        (8, "not an address", NZ), (9, "https://us.example/2", US),
+    ]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string").repartition(3)
+    got = lp.extract_mixed(pages, sites, "page_id")
+    want = None
+    for ids, site in (((1, 9), sites[0]), ((2,), sites[1]), ((3,), sites[2])):
+        own = lp.extract_listings(pages.where(pages.page_id.isin(*ids)), site.profile, site.base_url, "page_id")
+        want = own if want is None else want.unionByName(own)
+    assert got.columns == want.columns and got.count() > 8
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1

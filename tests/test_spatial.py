@@ -456,3 +456,16 @@ def test_nearest_places_need_no_cross_join(spark):
     points = spark.createDataFrame([(1, 5.0, 5.0)], "point_id int, lon double, lat double")
     plan = gazetteer.nearest_places(points, places)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_broken_boundaries_have_no_edges(spark):
+    texts = [
+        None, "", "null", "[]", "{", '{"type": "Point", "coordinates": [1, 2]}', '{"type": "Polygon"}', '{"type": "Polygon", "coordinates": "x"}',
+        '{"type": "Feature", "geometry": null}', '{"type": "Polygon", "coordinates": [[]]}', '{"type": "Polygon", "coordinates": [[[1, 2]]]}',
+    ]
+    good = json.dumps({"type": "Feature", "properties": {"type": "Polygon"}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0, 5], [4, 0, 5], [4, 4.5, 5], [0, 0, 5]]]}})
+    rows = spark.createDataFrame([*enumerate([*texts, good])], "geom_id int, geometry string")
+    got = boundaries.edge_table(rows).orderBy("seq").collect()
+    assert [tuple(r) for r in got] == [
+        (len(texts), 0, 0, 0, 0.0, 0.0, 4.0, 0.0), (len(texts), 0, 0, 1, 4.0, 0.0, 4.0, 4.5), (len(texts), 0, 0, 2, 4.0, 4.5, 0.0, 0.0),
+    ]
