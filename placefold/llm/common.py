@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..workspace import fresh_dir
+from ..workspace import fresh_dir, remove_dir
 
 ID, ROW, TEXT = "_id", "_row", "_text"
 PACKED = "_packed"
@@ -69,7 +69,29 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     """Cut the lineage by a table in the shared folder; survives lost executors."""
     path = fresh_dir(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` gave, once nothing reads them any more."""
+    for table in tables:
+        remove_dir(table.sparkSession, table.written_to)
+
+
+def with_list(pairs: DataFrame, side: str, lists: DataFrame, values: str, name: str, share: int = 256) -> DataFrame:
+    """``pairs`` (a, b) with the array ``values`` of one side's row in ``lists`` (node, ...), as ``name``.
+
+    A node that is in many pairs is a hot key, and its array would go to one
+    task with all of them: its row is read in copies, one for ``share`` pairs,
+    among which the pairs are dealt.
+    """
+    copies = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("_m"))
+    dealt = pairs.join(copies, side).withColumn("_k", F.pmod(F.xxhash64("a", "b"), "_m").cast("int")).drop("_m")
+    own = lists.select(F.col("node").alias(side), F.col(values).alias(name)).join(copies, side)
+    each = own.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_m") - 1))).drop("_m")
+    return dealt.join(each, [side, "_k"]).drop("_k")
 
 
 def id_type(docs: DataFrame, name: str) -> str:

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """Hang the neighbours of each node on its smallest neighbour.
 
     The large star moves the larger neighbours, the small star the node itself
-    and its smaller ones. Minima are aggregated before the shuffle, so a node
-    with very many neighbours costs no task more than its share.
+    and its smaller ones. Minima are aggregated before the shuffle. The rows of
+    a node with very many neighbours meet its minimum in a join, which the
+    adaptive skew split serves: the other side has one row per node.
     """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both if large else both.where("b <= a")
@@ -49,7 +50,8 @@ def connected(links: DataFrame) -> DataFrame:
     low, high = F.least("a", "b"), F.greatest("a", "b")
     edges = written(links.where("a != b").select(high.alias("a"), low.alias("b")).distinct(), "edges")
     while not _is_forest_of_stars(edges):
-        edges = written(_stars(_stars(edges, large=True), large=False), "edges")
+        before, edges = edges, written(_stars(_stars(edges, large=True), large=False), "edges")
+        discard(before)
     hung = edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
     return hung.unionByName(roots)

@@ -14,12 +14,14 @@ from .common import (
     ODD,
     ROW,
     TEXT,
+    discard,
     gram_hashes,
     gram_starts,
     keyed,
     mix,
     only_rows,
     text_slices,
+    with_list,
     word_hashes,
     written,
 )
@@ -152,8 +154,7 @@ def _sets(texts: DataFrame, rows: DataFrame, rule: NearRule) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: NearRule) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    first = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x")), "a")
-    both = first.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y")), "b")
+    both = with_list(with_list(pairs, "a", sets, "shingles", "_x"), "b", sets, "shingles", "_y")
     common = F.size(F.array_intersect("_x", "_y")).cast("long")
     return both.select("a", "b", common.alias("_c"), (F.size("_x") + F.size("_y")).cast("long").alias("_t")).where(
         100 * F.col("_c") >= rule.percent * (F.col("_t") - F.col("_c"))
@@ -197,6 +198,7 @@ def near_duplicates(
         F.min(F.struct(F.col(ID).alias("_i"), F.col(ROW).alias("_r"))).alias("at")
     )
     sets = _sets(texts, rows.select("node", "at.*"), rule)
+    last = [members]
     for turn in range(rule.stars + 1):
         labelled = members.join(comp, "node")
         # The nodes that meet most others lie amid them: they link the most at once.
@@ -206,11 +208,17 @@ def near_duplicates(
             F.max(F.struct(order.alias("o"), "node", "n", "comp")).alias("centre"),
         ).where("_lo != _hi").select("key", "centre")
         left = written(labelled.join(split, "key"), "open")
-        pairs = _to_centres(left, rule) if turn < rule.stars else _across(left, sets, rule)
-        comp = _merged(comp, written(_verified(pairs, sets, rule), "links"))
+        discard(*last)
+        pairs = written(_to_centres(left, rule) if turn < rule.stars else _across(left, sets, rule), "pairs")
+        links = written(_verified(pairs, sets, rule), "links")
+        merged = _merged(comp, links)
+        discard(comp, pairs, links)
+        comp, last = merged, [left]
         # Closed buckets are done for good: components only grow.
         members = left.select("node", "n", "key")
-    return _per_document(drawn, comp, id_col)
+    result = _per_document(drawn, comp, id_col)
+    discard(*last, comp, sets)
+    return result
 
 
 def _to_centres(left: DataFrame, rule: NearRule) -> DataFrame:

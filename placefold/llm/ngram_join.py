@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, ODD, ROW, id_type, keyed, mix, text_slices, written
+from .common import ID, ODD, ROW, discard, id_type, keyed, mix, text_slices, with_list, written
 from .components import connected
 from .minhash import shingles
 
@@ -294,21 +294,16 @@ def _other(centre: str) -> list[Column]:
     return [F.col(f"{centre}.{c}").alias(f"{c}_b") for c in ("node", "comp", "n", "pos", "u", "behind")]
 
 
-def _with_list(pairs: DataFrame, side: str, lists: DataFrame, name: str) -> DataFrame:
-    """``pairs`` with the shared shingles of one side; a set that is in many pairs is read in copies."""
-    copies = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("_m"))
-    dealt = pairs.join(copies, side).withColumn("_k", F.pmod(F.xxhash64("a", "b"), "_m").cast("int")).drop("_m")
-    own = lists.join(copies, lists.node == copies[side]).select(
-        side, F.col("shared").alias(name), F.col("n").alias(f"_n{name}"), F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_k")
-    )
-    return dealt.join(own, [side, "_k"]).drop("_k")
-
-
 def _verified(pairs: DataFrame, lists: DataFrame, rule: JoinRule) -> DataFrame:
-    """Pairs (a, b) with ``linked``: whether their sets are similar enough."""
-    both = _with_list(_with_list(pairs, "a", lists, "_x"), "b", lists, "_y")
-    common = F.size(F.array_intersect("_x", "_y")).cast("long")
-    linked = (100 + rule.percent) * common >= rule.percent * (F.col("_n_x") + F.col("_n_y"))
+    """Pairs (a, b) with ``linked``: whether their sets are similar enough.
+
+    Shingles that a set has alone are in no intersection: the shared ones and
+    the sizes decide.
+    """
+    sized = lists.select("node", F.struct("n", "shared").alias("own"))
+    both = with_list(with_list(pairs, "a", sized, "own", "_x"), "b", sized, "own", "_y")
+    common = F.size(F.array_intersect("_x.shared", "_y.shared")).cast("long")
+    linked = (100 + rule.percent) * common >= rule.percent * (F.col("_x.n") + F.col("_y.n"))
     return both.select("a", "b", linked.alias("linked"))
 
 
@@ -380,7 +375,7 @@ def jaccard_components(
     met = postings.groupBy("tok").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("tok")
     rows = written(postings.join(met, "tok"), "postings")
     comp = written(rows.select("node", F.col("node").alias("comp")).distinct(), "join-labels")
-    done = None
+    done, told, last = None, [], [rows]
     for turn in range(rule.stars + 1):
         labelled = rows.join(comp, "node")
         # Sets with few shingles of their own are amid the others: they link the most at once.
@@ -388,13 +383,18 @@ def jaccard_components(
         centre = F.max(F.struct(order.alias("o"), "node", "comp", "n", "pos", "u", "behind")).alias("centre")
         split = labelled.groupBy("tok").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), centre)
         open_rows = written(labelled.join(split.where("_lo != _hi").select("tok", "centre"), "tok"), "postings")
+        discard(*last)
         pairs = _to_centres(open_rows, rule) if turn < rule.stars else _across(open_rows, rule)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        told = written(_verified(pairs, lists, rule), "join-pairs")
-        done = told.select("a", "b") if done is None else done.unionByName(told.select("a", "b"))
-        comp = _joined(comp, told.where("linked"))
+        pairs = written(pairs, "join-pairs")
+        told.append(written(_verified(pairs, lists, rule), "join-links"))
+        done = told[-1].select("a", "b") if done is None else done.unionByName(told[-1].select("a", "b"))
+        merged = _joined(comp, told[-1].where("linked"))
+        discard(comp, pairs)
+        comp, last = merged, [open_rows]
         rows = open_rows.select(*rows.columns)
+    discard(*last, *told, lists)
     return _per_document(ranked, comp, id_col)
 
 
