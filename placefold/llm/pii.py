@@ -27,7 +27,9 @@ _PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     _TOKEN: r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+",
 }
-_LEFT = 80
+# The last two words of what lies before a token, or its only one; entered at word starts, never given back.
+_LAST_WORDS = r"(?<![^\x20\x09-\x0D])((?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++)?[^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+$"
+HIDDEN = "#"
 
 
 @dataclass(frozen=True)
@@ -72,7 +74,7 @@ def _pieces(kind: str, guard: Column) -> Column:
         F.lit(kind).alias("kind"),
         i.alias("idx"),
         F.length(x).alias("len"),
-        F.when(i % 2 == 1, x).otherwise(F.right(x, F.lit(_LEFT))).alias("s"),
+        F.when(i % 2 == 1, x).otherwise(F.regexp_extract(x, _LAST_WORDS, 1) if kind == _TOKEN else F.lit("")).alias("s"),
     )
     empty = F.array().cast("array<struct<kind:string,idx:int,len:int,s:string>>")
     return F.when(guard, F.transform(F.split(marked, MARK, -1), piece)).otherwise(empty)
@@ -81,8 +83,9 @@ def _pieces(kind: str, guard: Column) -> Column:
 def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id, _row, kind, start, end, s, left, seed): valid spans and tokens with a digit.
 
-    Positions are running sums over the pieces of one document. seed says that
-    a token overlaps a span of a fixed kind.
+    Positions are running sums over the pieces of one document. ``left`` are
+    the two words before a token, another token among them as ``#``. seed says
+    that a token overlaps a span of a fixed kind.
     """
     texts = keyed(docs, id_col, text_col)
     digit = F.col(TEXT).rlike("[0-9]")
@@ -99,7 +102,13 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     pieces = each.select(ID, ROW, "p.*").repartition(ID, ROW).dropDuplicates([ID, ROW, "kind", "idx"])
     in_kind = Window.partitionBy(ID, ROW, "kind").orderBy("idx")
     start = F.coalesce(F.sum("len").over(in_kind.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = pieces.select("*", start.alias("start"), F.lag("s").over(in_kind).alias("left")).where("idx % 2 = 1")
+    # Token and gap take turns: before a token lie a gap, a token, a gap, a token.
+    gap = lambda back: F.filter(
+        F.split(F.lower(F.coalesce(F.lag("s", back).over(in_kind), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: F.length(w) > 0
+    )
+    token = lambda least: F.when(F.col("idx") >= least, F.array(F.lit(HIDDEN))).otherwise(F.array().cast("array<string>"))
+    before = F.concat(token(5), gap(3), token(3), gap(1))
+    placed = pieces.select("*", start.alias("start"), F.slice(before, F.greatest(F.size(before) - 1, F.lit(1)), F.lit(2)).alias("left")).where("idx % 2 = 1")
     valid = placed.where(_valid(F.col("kind"), F.col("s"))).select(
         ID, ROW, "kind", "start", (F.col("start") + F.col("len")).alias("end"), "s", "left"
     )
@@ -115,15 +124,13 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _tokens(spans: DataFrame) -> DataFrame:
     """Tokens with their pattern (the two words before) and instance (a hash of the value)."""
-    words = F.filter(F.split(F.lower("left"), r"[\x20\x09-\x0D]+"), lambda w: F.length(w) > 0)
     value = F.regexp_replace("s", r"[.,;:!?)\]}\"']+$", "")
     return (
         spans.where(F.col("kind") == _TOKEN)
-        .withColumn("_w", words)
-        .where(F.size("_w") >= 2)
+        .where(F.size("left") >= 2)
         .select(
             ID, ROW, "start", (F.col("start") + F.length(value)).alias("end"), "seed",
-            F.array_join(F.slice("_w", -2, 2), " ").alias("pattern"),
+            F.array_join("left", " ").alias("pattern"),
             F.xxhash64(F.lower(value)).alias("instance"),
             F.length(F.regexp_replace(value, "[^0-9]", "")).alias("digits"),
         )

@@ -99,3 +99,49 @@ def test_many_tokens_in_one_document(frame):
     seconds(many[:100])
     spread = seconds(many)
     assert seconds([(1, " ".join(f"n{i} and number" for i in range(60_000)))]) < 2 * spread + 2
+
+
+def test_words_before_a_token(frame):
+    """The last two words whatever lies between; other tokens are hidden; whole words, however long."""
+    long = "w" * 300
+    texts = [
+        f"{long} {long}  \n x1", "one 22", "33", "44 55", "44 55 66", "call me 7 or 8 now 9", "a b c1 d e2 f g3", "7 call 8", f"x {long}\ty9",
+    ]
+    found = pii._spans(frame(list(enumerate(texts))), "doc_id", "text").where("kind = 'token'").collect()
+    got = {(r._id, r.s): r.left for r in found}
+
+    def plain(text):
+        words = re.split(r"[\x20\x09-\x0D]+", text.lower())
+        for i, w in enumerate(words):
+            if re.search("[0-9]", w):
+                yield w, ["#" if re.search("[0-9]", x) else x for x in words[max(0, i - 2) : i]]
+
+    assert got == {(i, w): left for i, t in enumerate(texts) for w, left in plain(t)}
+
+
+def test_scores_against_a_plain_loop(spark):
+    """Patterns and instances rate each other in rounds."""
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for _ in range(900):
+        p = rng.randrange(25)
+        i = rng.randrange(40) if rng.random() < 0.5 else p * 10 + rng.randrange(6)
+        rows.append((f"p{p}", i, i % 3 != 0 if p % 2 else i % 5 == 0))
+    tokens = spark.createDataFrame(rows, "pattern string, instance long, seed boolean")
+    for rule in (pii.ContextRule(min_score=0.4, min_seeds=2), pii.ContextRule(rounds=0, min_score=0.3), pii.ContextRule(rounds=4, min_score=0.5)):
+        pairs = {(p, i) for p, i, _ in rows}
+        known = {i: any(s for _, j, s in rows if j == i) for _, i, _ in rows}
+        worth = {i: float(known[i]) for i in known}
+        of_pattern = collections.defaultdict(list)
+        of_instance = collections.defaultdict(list)
+        for p, i in pairs:
+            of_pattern[p].append(i)
+            of_instance[i].append(p)
+        score = lambda: {p: sum(worth[i] for i in own) / (len(own) + 1) for p, own in of_pattern.items()}
+        for _ in range(rule.rounds):
+            now = score()
+            worth = {i: 1.0 if known[i] else sum(now[p] for p in ps) / len(ps) for i, ps in of_instance.items()}
+        want = {p for p, s in score().items() if s >= rule.min_score and sum(known[i] for i in of_pattern[p]) >= rule.min_seeds}
+        assert {r.pattern for r in pii.trusted_contexts(tokens, rule).collect()} == want and want
