@@ -429,3 +429,22 @@ def dedup_substrings(
     marked = repeated_windows(docs, id_col, text_col, rule).select(ID, TEXT, "starts", "whole")
     kind = docs.schema[id_col].dataType.simpleString()
     return marked.mapInArrow(cut, f"{ID} {kind}, n_words long, n_removed long, kept string").withColumnRenamed(ID, id_col)
+
+
+SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), win AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS p FROM win, range(35) r(k) WHERE g IN (SELECT g FROM win GROUP BY g HAVING count(*) > 1)
+), each AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w
+), kept AS (
+  SELECT e.doc_id, count(g.p) AS n_removed, string_agg(word, ' ' ORDER BY e.p) FILTER (g.p IS NULL) AS kept
+  FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.p = e.p GROUP BY e.doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""

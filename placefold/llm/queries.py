@@ -192,13 +192,13 @@ QUERIES = {
     "op2_secret_scan": (op2_secret_scan, None),
     "op3_line_windows": (op3_line_windows, lines.SQL),
     "op4_byte_pairs": (op4_byte_pairs, None),
-    "op5_near_duplicates": (op5_near_duplicates, None),
+    "op5_near_duplicates": (op5_near_duplicates, minhash.SQL),
     "op6_token_files": (op6_token_files, None),
     "op7_cotrained_quality": (op7_cotrained_quality, None),
-    "op8_winnow_benchmark": (op8_winnow_benchmark, None),
+    "op8_winnow_benchmark": (op8_winnow_benchmark, winnow.SQL),
     "op9_personal_data": (op9_personal_data, None),
-    "op10_fm_substrings": (op10_fm_substrings, None),
-    "op11_turn_trie": (op11_turn_trie, None),
+    "op10_fm_substrings": (op10_fm_substrings, fmindex.SQL),
+    "op11_turn_trie": (op11_turn_trie, turn_trie.SQL),
     "op12_periodic_runs": (op12_periodic_runs, None),
-    "op13_ngram_join": (op13_ngram_join, None),
+    "op13_ngram_join": (op13_ngram_join, ngram_join.SQL),
 }

@@ -298,3 +298,40 @@ def trie_nodes(sequences: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFram
 def conversation_trie(turns: DataFrame, **columns: str) -> DataFrame:
     """``trie_nodes`` of a table of turns as it is; ``columns`` as in ``turn_sequences``."""
     return trie_nodes(turn_sequences(turns, **columns))
+
+
+#: The nodes of the rebuilt conversations (see ``queries.rebuilt``); crc32 is folded bit by bit.
+SQL = r"""
+WITH t AS (
+  SELECT conv_id AS c, turn, strlen(x) AS s, md5(strlen(r) || ':' || r || ':' || x) AS d
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)
+), k AS (
+  SELECT c, list(struct_pack(d := d, s := s) ORDER BY turn NULLS FIRST, d) AS seq FROM t GROUP BY c
+), steps AS (
+  SELECT c, seq, list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(c::VARCHAR, ''),
+    lambda ch: [(256 + ascii(ch))::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0]))) AS bits FROM k
+), h AS (
+  SELECT c, seq, CAST(xor(list_reduce(bits, lambda crc, e: CASE WHEN e >= 256 THEN xor(crc, e - 256)
+    ELSE xor(crc >> 1, 3988292384::UBIGINT * (crc & 1)) END), 4294967295::UBIGINT) % 9 AS INT) AS h FROM steps
+), rebuilt AS (
+  SELECT h.c, list_concat(CASE WHEN b.seq IS NULL THEN [] ELSE b.seq[1:h.h] END, h.seq[h.h + 1:]) AS seq
+  FROM h LEFT JOIN k b ON b.c = h.c - h.c % 5
+), pre AS (
+  SELECT c, d, len(seq) AS n, CASE WHEN d = 0 THEN 0 ELSE seq[d].s END AS size,
+    array_to_string(list_transform(seq[1:d], lambda e: e.d), '') AS p
+  FROM (SELECT c, seq, unnest(range(0, len(seq) + 1)) AS d FROM rebuilt)
+), node AS (
+  SELECT p, d, min(c) AS conv, count(*) AS n, max(size) AS size,
+    coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d), '') AS ends FROM pre GROUP BY p, d
+), kids AS (
+  SELECT p[1:32 * (d - 1)] AS p, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1
+), own AS (
+  SELECT node.*, coalesce(n_children, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n - 1) * size END AS saved FROM node LEFT JOIN kids USING (p)
+), below AS (
+  SELECT p[1:32 * j] AS p, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM own) GROUP BY 1
+)
+SELECT o.conv AS conv_id, CAST(o.d AS BIGINT) AS depth, u.conv AS parent_conv_id, o.n AS n_convs, o.n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(o.ends) AS ends_sha256
+FROM own o JOIN below USING (p) LEFT JOIN node u ON o.d > 0 AND u.p = o.p[1:32 * (o.d - 1)]
+"""

@@ -282,3 +282,30 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     """``docs`` without the contaminated rows, all columns as they were."""
     bad = find_contamination(docs, items, id_col, text_col, **kw).where(contaminated())
     return only_rows(docs, bad.select(F.col(id_col).alias(ID), ROW), "left_anti", id_col, text_col)
+
+
+SQL = r"""
+WITH words AS (
+  SELECT 'd' AS side, doc_id::VARCHAR AS id, doc_id, text FROM documents UNION ALL SELECT 'b', item_id::VARCHAR, NULL, text FROM benchmark
+), w AS (
+  SELECT side, id, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM words
+), item AS (
+  SELECT DISTINCT id, k, array_to_string(ws[i:i + k - 1], ' ') AS g
+  FROM (SELECT id, ws, least(len(ws), 13) AS k, unnest(range(1, len(ws) - least(len(ws), 13) + 2)) AS i FROM w WHERE side = 'b' AND len(ws) > 0)
+), width AS (
+  SELECT DISTINCT k FROM item
+), met AS (
+  SELECT doc_id, i, m.k, item.id FROM (
+    SELECT doc_id, i, k, array_to_string(ws[i:i + k - 1], ' ') AS g
+    FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, width WHERE side = 'd' AND len(ws) >= k)) m
+  JOIN item ON item.k = m.k AND item.g = m.g
+), hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM met) GROUP BY doc_id
+), ids AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS listed FROM (SELECT DISTINCT doc_id, id FROM met) GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN hit ON hit.doc_id = w.doc_id LEFT JOIN ids ON ids.doc_id = w.doc_id WHERE side = 'd'
+"""
