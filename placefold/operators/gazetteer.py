@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.boxes import cell_of, haversine_m
 from ..functions.joins import lookup_join
+from ..workspace import stored
 
 PER_DEGREE = 10
 
@@ -54,20 +55,24 @@ def _cubes(df: DataFrame) -> list[Column]:
     return [_cube(F.col(a)).alias(f"i{a}") for a in _AXES]
 
 
-def _packed(x: Column, y: Column, z: Column) -> Column:
-    """One number per cube; the numbers of an axis stay below 2^12 with a margin for neighbours."""
-    return F.shiftleft(x + 4, 32).bitwiseOR(F.shiftleft(y + 4, 16)).bitwiseOR(z + 4)
+def _at(levels: int) -> Column:
+    """The cubes of all sizes that hold a row's smallest one."""
+    each = [
+        F.struct(F.lit(n).alias("level"), *[F.shiftright(F.col(f"i{a}"), 2 * n).alias(f"c{a}") for a in _AXES])
+        for n in range(levels)
+    ]
+    return F.array(*each)
 
 
-def _around(level: int) -> Column:
-    """The cube of a row and its neighbours, 27 in all."""
+def _around(cube: Column) -> Column:
+    """A cube and its neighbours of the same size, 27 in all."""
     steps = F.array(*[F.lit(i).cast("bigint") for i in (-1, 0, 1)])
-    at = {a: F.shiftright(F.col(f"i{a}"), 2 * level) for a in _AXES}
+    moved = lambda dx, dy, dz: F.struct(
+        cube["level"].alias("level"), (cube["cx"] + dx).alias("cx"), (cube["cy"] + dy).alias("cy"), (cube["cz"] + dz).alias("cz")
+    )
     return F.flatten(
-        F.transform(steps, lambda dx: F.flatten(F.transform(steps, lambda dy: F.transform(
-            steps, lambda dz: F.struct((at["x"] + dx).alias("cx"), (at["y"] + dy).alias("cy"), (at["z"] + dz).alias("cz"))
-        ))))
-    )
+        F.transform(steps, lambda dx: F.flatten(F.transform(steps, lambda dy: F.transform(steps, lambda dz: moved(dx, dy, dz)))))
+    )
 
 
 def _gap(level: int, far: bool) -> Column:
@@ -93,25 +98,19 @@ def _candidates(cells: DataFrame, places: DataFrame) -> DataFrame:
     side. Nothing but cubes is compared, so the work does not grow with the
     points, and each cube keeps few candidates.
     """
-    own = ["ix", "iy", "iz"]
-    held = places.select(*_cubes(places)).distinct()
-    at = lambda level: held.select(*[F.shiftright(f"i{a}", 2 * level).alias(f"c{a}") for a in _AXES]).distinct()
-    first = None
-    for level in range(_LEVELS):
-        found = (
-            cells.select(*own, F.explode(_around(level)).alias("c")).select(*own, "c.*")
-            .join(at(level), ["cx", "cy", "cz"], "left_semi").select(*own).distinct().withColumn("level", F.lit(level))
-        )
-        first = found if first is None else first.unionByName(found)
+    own, cube = ["ix", "iy", "iz"], ["level", "cx", "cy", "cz"]
+    held = stored(places.select(*_cubes(places)).distinct().select(F.explode(_at(_LEVELS)).alias("c")).select("c.*").distinct(), "cubes")
+    rings = cells.select(*own, F.explode(F.flatten(F.transform(_at(_LEVELS), _around))).alias("c")).select(*own, "c.*")
     # The level to begin at: one wider than the first ring with a place.
-    begin = first.groupBy(*own).agg(F.least(F.min("level") + 1, F.lit(_LEVELS - 1)).alias("level"))
+    first = rings.join(held, cube, "left_semi").groupBy(*own).agg(F.least(F.min("level") + 1, F.lit(_LEVELS - 1)).alias("first"))
+    begin = first.select(*own, F.explode(_around(F.get(_at(_LEVELS), F.col("first")))).alias("c")).select(*own, "c.*")
+    begin = stored(begin.join(held, cube, "left_semi"), "rings")
     nearest = Window.partitionBy(*own)
     kept = None
     for level in range(_LEVELS - 1, -1, -1):
-        mine = begin.where(F.col("level") == level).select(*own, F.explode(_around(level)).alias("c")).select(*own, "c.*")
-        new = mine.join(at(level), ["cx", "cy", "cz"], "left_semi")
+        new = begin.where(F.col("level") == level).drop("level")
         if kept is not None:
-            inside = at(level).select(*[F.shiftright(f"c{a}", 2).alias(f"p{a}") for a in _AXES], "cx", "cy", "cz")
+            inside = held.where(F.col("level") == level).select(*[F.shiftright(f"c{a}", 2).alias(f"p{a}") for a in _AXES], "cx", "cy", "cz")
             old = kept.select(*own, *[F.col(f"c{a}").alias(f"p{a}") for a in _AXES]).join(inside, ["px", "py", "pz"])
             new = old.select(*own, "cx", "cy", "cz").unionByName(new)
         kept = (
