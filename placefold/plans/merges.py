@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.merge import as_sightings, latest_per_key as fold_latest
+from ..operators import clustered
+from ..operators.merge import as_sightings, golden_rows, latest_per_key as fold_latest
 from ..operators.merge import merge_listings as merge
 from ..operators.normalize import backfill_locations as backfill
 from ..operators.normalize import normalize_listings as normalize
@@ -62,7 +63,56 @@ def _filled(name: str, *paths: str) -> str:
     return f"CASE WHEN coalesce({name}, '') <> '' THEN {name} ELSE coalesce({found}, NULL) END AS {name}"
 
 
+BUCKETS = 8
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sightings that are stored already, and those that come after, in no order of arrival."""
+    seen = as_sightings(view(spark, sf_dir, "observations"))
+    return seen.where("seq % 10 < 7"), seen.where("seq % 10 >= 7")
+
+
+def clustered_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings of a stored table of states after more sightings."""
+    stored, late = _parts(spark, sf_dir)
+    table = clustered.store_states(stored, BUCKETS)
+    return golden_rows(clustered.with_sightings(spark, table, late, BUCKETS)).select(*MERGED)
+
+
+def clustered_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next fifty listings of a job in a stored table."""
+    table = clustered.store(golden_observations(spark, sf_dir, "id", "name", "phone"), BUCKETS)
+    return clustered.page_after(spark, table, "click", 20, 50, "id", "dedupe_key", "name", "phone")
+
+
+def clustered_unsent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings of a stored table that were not among those sent."""
+    table = clustered.store(golden_observations(spark, sf_dir, "id", "name"), BUCKETS)
+    sent = view(spark, sf_dir, "observations").where("seq % 10 < 3").select("job_id", "dedupe_key")
+    return clustered.not_among(spark, table, sent, BUCKETS).select("job_id", "dedupe_key", "id", "name")
+
+
 QUERIES = {
+    "clustered_update": (
+        clustered_update,
+        with_views("observations", GOLDEN + f"SELECT {', '.join(MERGED)} FROM golden"),
+    ),
+    "clustered_page": (
+        clustered_page,
+        with_views(
+            "observations",
+            GOLDEN + "SELECT id, dedupe_key, name, phone FROM golden WHERE job_id = 'click' AND id > 20 ORDER BY id LIMIT 50",
+        ),
+    ),
+    "clustered_unsent": (
+        clustered_unsent,
+        with_views(
+            "observations",
+            GOLDEN
+            + """SELECT job_id, dedupe_key, id, name FROM golden g WHERE NOT EXISTS (
+              SELECT 1 FROM observations o WHERE o.seq % 10 < 3 AND o.job_id = g.job_id AND o.dedupe_key = g.dedupe_key)""",
+        ),
+    ),
     "normalize_listings": (
         normalize_listings,
         with_views(
