@@ -86,7 +86,7 @@ def test_no_single_partition_shuffle_of_rows(plans):
 
 def test_only_page_extraction_runs_python(plans):
     for name, plan in plans.items():
-        assert ("MapInPandas" in plan) == (name == "extract_links"), name
+        assert ("MapInPandas" in plan) == (name in ("extract_links", "mixed_pages", "pages_to_coverage")), name
         assert "PythonUDF" not in plan, name
 
 
