@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..workspace import fresh_dir, remove_dir
@@ -80,6 +80,11 @@ def discard(*tables: DataFrame) -> None:
         remove_dir(table.sparkSession, table.written_to)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let shuffle files of steps that are written go: Spark deletes them once the driver's JVM has collected their plans."""
+    spark._jvm.System.gc()
+
+
 def with_list(pairs: DataFrame, side: str, lists: DataFrame, values: str, name: str, share: int = 256) -> DataFrame:
     """``pairs`` (a, b) with the array ``values`` of one side's row in ``lists`` (node, ...), as ``name``.
 

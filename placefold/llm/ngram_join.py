@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, ODD, ROW, discard, id_type, keyed, mix, text_slices, with_list, written
+from .common import ID, ODD, ROW, discard, id_type, keyed, mix, release_shuffles, text_slices, with_list, written
 from .components import connected
 from .minhash import shingles
 
@@ -361,6 +361,7 @@ def jaccard_components(
     where a component has no other. An empty table gives no rows.
     """
     ranked = ranked_sets(docs, id_col, text_col, rule)
+    release_shuffles(docs.sparkSession)  # the packed hashes, twice the input
     picked = ranked.where("shared IS NOT NULL").groupBy("node").agg(F.min(F.struct(ID, ROW)).alias("_at"))
     lists = written(
         ranked.where("shared IS NOT NULL")
