@@ -96,7 +96,7 @@ def _candidates(cells: DataFrame, places: DataFrame) -> DataFrame:
     ring holds every place that can be nearest. From there on cubes are halved
     twice at a time, and those go that are further off than another one's far
     side. Nothing but cubes is compared, so the work does not grow with the
-    points, and each cube keeps few candidates.
+    points, and each cube keeps few candidates: one row with all of them, ``near``.
     """
     own, cube = ["ix", "iy", "iz"], ["level", "cx", "cy", "cz"]
     held = stored(places.select(*_cubes(places)).distinct().select(F.explode(_at(_LEVELS)).alias("c")).select("c.*").distinct(), "cubes")
@@ -117,8 +117,27 @@ def _candidates(cells: DataFrame, places: DataFrame) -> DataFrame:
             new.withColumn("least", _gap(level, far=False)).withColumn("most", F.min(_gap(level, far=True)).over(nearest))
             .where(F.col("least") <= F.col("most") + 1e-9).drop("least", "most")
         )
-    named = places.select("place_id", "place_lon", "place_lat", *[_cube(F.col(a)).alias(f"c{a}") for a in _AXES])
-    return kept.join(named, ["cx", "cy", "cz"]).drop("cx", "cy", "cz")
+    named = places.select("*", *[_cube(F.col(a)).alias(f"c{a}") for a in _AXES])
+    met = _undominated(kept.join(named, ["cx", "cy", "cz"]).drop("cx", "cy", "cz"))
+    return met.groupBy(*own).agg(F.collect_list(F.struct("place_id", "place_lon", "place_lat")).alias("near"))
+
+
+def _undominated(met: DataFrame) -> DataFrame:
+    """Candidates of each smallest cube, but for those that are further off all over the cube than its middle's nearest.
+
+    Of two places p and q on the sphere, q is the nearer one to x by
+    x . (q - p), half the difference of the squared distances. That is linear,
+    so its least value over a cube is exact. What is left differs by less than
+    a millimetre or is nearest somewhere.
+    """
+    apart, least = F.lit(0.0), F.lit(0.0)
+    for a in _AXES:
+        low = F.col(f"i{a}").cast("double") * F.lit(_LEAST_SIDE) - 1.0
+        off, gain = F.col(a) - low - F.lit(_LEAST_SIDE / 2), F.col(f"q.{a}") - F.col(a)
+        apart = apart + off * off
+        least = least + F.least(low * gain, (low + F.lit(_LEAST_SIDE)) * gain)
+    middle = F.min(F.struct(apart.alias("d"), *_AXES)).over(Window.partitionBy("ix", "iy", "iz"))
+    return met.withColumn("q", middle).where(least <= 1e-9).drop("q")
 
 
 def nearest_places(points: DataFrame, gazetteer: DataFrame, id_col: str = "point_id") -> DataFrame:
@@ -140,6 +159,10 @@ def nearest_places(points: DataFrame, gazetteer: DataFrame, id_col: str = "point
     in_space = alone.select(id_col, "lon", "lat", *_vector(F.col("lon"), F.col("lat")))
     cubed = in_space.select(id_col, "lon", "lat", *_cubes(in_space))
     found = cubed.join(_candidates(cubed.select("ix", "iy", "iz").distinct(), placed), ["ix", "iy", "iz"])
-    metres = haversine_m(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon"))
-    best = F.min(F.struct(F.floor(metres * 1000 + 0.5).cast("bigint").alias("distance_mm"), "place_id")).alias("best")
-    return found.groupBy(id_col).agg(best).select(id_col, "best.place_id", "best.distance_mm")
+    metres = lambda p: haversine_m(F.col("lat"), F.col("lon"), p["place_lat"], p["place_lon"])
+    away = lambda p: F.struct(
+        F.floor(metres(p) * 1000 + 0.5).cast("bigint").alias("distance_mm"), p["place_id"].alias("place_id")
+    )
+    # A point's candidates stay in its row: they are neither sorted nor sent.
+    best = found.select(id_col, F.array_min(F.transform("near", away)).alias("best"))
+    return best.groupBy(id_col).agg(F.min("best").alias("best")).select(id_col, "best.place_id", "best.distance_mm")

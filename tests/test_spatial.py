@@ -458,6 +458,23 @@ def test_nearest_places_need_no_cross_join(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_nearest_places_keep_few_candidates_in_the_row_of_a_cube(spark):
+    """A far edge of a dense block: a cube keeps the places that some point of it is nearest to, and no row per candidate."""
+    table = spark.range(1600).selectExpr("id AS place_id", "CAST(id % 40 AS int) AS cell_x", "CAST(400 + floor(id / 40) AS int) AS cell_y")
+    points = spark.range(400).selectExpr("id AS point_id", "-60e0 + id * 5e-3 AS lon", "42e0 + (id % 20) * 5e-3 AS lat")
+    placed = table.selectExpr("place_id", "(cell_x + 5e-1) / 10 AS place_lon", "(cell_y + 5e-1) / 10 AS place_lat")
+    at = lambda df, lon, lat: df.select("*", *gazetteer._vector(F.col(lon), F.col(lat)))
+    cubes = at(points, "lon", "lat").select(*gazetteer._cubes(points)).distinct()
+    near = gazetteer._candidates(cubes, at(placed, "place_lon", "place_lat")).select("ix", "iy", "iz", F.size("near").alias("n")).collect()
+    assert len(near) == len({r[:3] for r in near}) == cubes.count()
+    assert max(r.n for r in near) <= 12
+    places = [(r.place_id, r.place_lon, r.place_lat) for r in placed.collect()]
+    got = {r.point_id: (r.distance_mm, r.place_id) for r in gazetteer.nearest_places(points, table).collect()}
+    for p in points.collect():
+        want = min((math.floor(great_circle(p.lat, p.lon, lat, lon) * 1000 + 0.5), i) for i, lon, lat in places)
+        assert got[p.point_id][1] == want[1] and abs(got[p.point_id][0] - want[0]) <= 1
+
+
 def test_broken_boundaries_have_no_edges(spark):
     texts = [
         None, "", "null", "[]", "{", '{"type": "Point", "coordinates": [1, 2]}', '{"type": "Polygon"}', '{"type": "Polygon", "coordinates": "x"}',
