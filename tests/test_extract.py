@@ -1,8 +1,11 @@
 """Stored pages of each layout, by hand."""
 
+import random
+
 import pytest
 
 from placefold.operators.normalize import normalize_listings
+from placefold.sources import html_tree
 from placefold.sources import listing_pages as lp
 from placefold.sources.html_tree import Match, find_all, parse_html
 
@@ -131,6 +134,46 @@ def test_tree_closes_what_html_leaves_open():
     assert parse_html("<div>a<script>x</script><style>y</style>b</div>").text() == "ab"
 
 
+def _tree(node):
+    texts = "".join(c for c in node.children if isinstance(c, str))
+    return node.tag, node.attrs, texts, [_tree(c) for c in node.children if not isinstance(c, str)]
+
+
+def test_plain_markup_gives_the_tree_of_the_standard_parser():
+    parts = [
+        "<div>", "</div>", '<p class="a b">', "<LI Class='x'>", "</li>", "text ", "a &amp; b", '<a href="/x?a=1&b=2&copy=3">', "</a>", "<br/>",
+        "<img src=x>", '<script>var a="b";</script>', "<script>a<b</script>", "<style>x</style>", "<!-- c -->", "<!-- a-b -->", "<!doctype html>",
+        "< b", "&", "<b", "<ul>", "<script/>", '<div a="1"b="2">', "</p >", "<title>x &lt; y</title>", "<![x[y]]>", "<?pi?>", "\n", "</", '<a b=">">',
+    ]
+    rng = random.Random(2)
+    for _ in range(3000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 12)))
+        standard = html_tree._Builder()
+        standard.feed(page)
+        standard.close()
+        assert _tree(parse_html(page)) == _tree(standard.root), page
+
+
+def test_plain_pages_do_without_the_standard_parser(monkeypatch):
+    monkeypatch.setattr(html_tree._Builder, "feed", None)
+    assert [len(_tree(parse_html(page))[3]) for page in (US.replace("src=x", ""), CA, NZ)] == [1, 1, 1]
+
+
+def test_one_pass_finds_what_each_match_finds():
+    for page, profile in ((US, lp.CARD_US), (CA, lp.LISTING_CA), (NZ, lp.ITEM_NZ)):
+        elements = parse_html(page).walk()
+        reader = lp._Cards(profile, "directory")
+        found = reader.fields.find(elements)
+        for match, number in reader.fields.numbers.items():
+            assert found.all((number,)) == find_all(elements, (match,)), match
+
+
+def test_records_come_back_flat(spark):
+    pages = spark.createDataFrame([(1, US)], "page_id int, html string")
+    plan = lp.extract_listings(pages, lp.CARD_US, SITE, "page_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and "records" not in plan
+
+
 def test_broken_pages_do_not_end_the_job(spark):
     deep = "<ul><li><a href='/x'>name</a>" + "<b>" * 100_000 + "end"
     ends = "<p>" * 20_000 + "</q>" * 20_000
