@@ -300,3 +300,29 @@ def test_windows_over_batches_and_late_rows(spark):
     got = st.table_so_far(spark, f"{root}/out").select("job_id", "window_end", "seen_last_hour", "seen_last_day").collect()
     assert sorted(map(tuple, got)) == sorted(want)
     assert late_rows(query) == 24 * dropped
+
+
+@pytest.mark.parametrize("step", [30, 120])
+def test_windows_keep_a_sighting_once_at_any_step(spark, step):
+    source, root = fresh_dir(spark, "seen"), fresh_dir(spark, "recency")
+    rng = random.Random(step)
+    sent = []
+    for n, (a, b) in enumerate([(0, 30), (30, 60)]):
+        part = [(rng.choice(["x", None]), rng.choice([None, *(f"k{i}" for i in range(40))]), round(rng.uniform(a, b), 2)) for _ in range(150)]
+        spark.createDataFrame([(j, k, _at(60 * h)) for j, k, h in part], SEEN).coalesce(1).write.mode("append").parquet(source)
+        stream = st.stream_parquet(spark, source, spark.createDataFrame([], SEEN).schema)
+        query = st.start_recency(stream, f"{root}/out", f"{root}/checkpoint", "6 hours", f"{step} minutes")
+        query.awaitTermination()
+        sent += part
+        # Before, a sighting had a row for each window it lies in: 48 or 12 of them.
+        if n == 0:
+            kept = max(json.loads(p.json)["stateOperators"][-1]["numRowsTotal"] for p in query.recentProgress)
+            assert kept < 4 * len(part)
+    want = []
+    for job in ("x", None):
+        for end in (step / 60 * i for i in range(1, 200)):
+            day = {k for j, k, h in sent if j == job and end - 24 <= h < end}
+            if day and end <= max(h for *_, h in sent) - 6:
+                want.append((job, _at(60 * end), len({k for j, k, h in sent if j == job and end - 1 <= h < end}), len(day)))
+    got = st.table_so_far(spark, f"{root}/out").select("job_id", "window_end", "seen_last_hour", "seen_last_day").collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
