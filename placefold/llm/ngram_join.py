@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, ODD, ROW, discard, id_type, keyed, mix, release_shuffles, text_slices, with_list, written
+from .common import ID, ODD, ROW, discard, id_type, keyed, mix, text_slices, with_list, written
 from .components import connected
 from .minhash import shingles
 
@@ -261,11 +261,16 @@ def ranked_sets(docs: DataFrame, id_col: str, text_col: str, rule: JoinRule) ->
         return _ranked_rows(table, rule, shards, table.schema.field("ids").type.value_type)
 
     sent = texts.mapInArrow(send, _stream(kind))
-    counted = sent.repartition("target").sortWithinPartitions("shard").mapInArrow(count, _stream(kind))
-    ranked = counted.groupBy("slice").applyInArrow(
-        rank, f"{ID} {kind}, {ROW} long, node binary, n long, shared array<long>, suffixes array<array<int>>"
+    # The sent hashes are twice the input on disk: they go before the slices get theirs back.
+    counted = written(sent.repartition("target").sortWithinPartitions("shard").mapInArrow(count, _stream(kind)), "counted")
+    ranked = written(
+        counted.groupBy("slice").applyInArrow(
+            rank, f"{ID} {kind}, {ROW} long, node binary, n long, shared array<long>, suffixes array<array<int>>"
+        ),
+        "ranked",
     )
-    return written(ranked, "ranked")
+    discard(counted)
+    return ranked
 
 
 def _needed(rule: JoinRule) -> Column:
@@ -361,7 +366,6 @@ def jaccard_components(
     where a component has no other. An empty table gives no rows.
     """
     ranked = ranked_sets(docs, id_col, text_col, rule)
-    release_shuffles(docs.sparkSession)  # the packed hashes, twice the input
     picked = ranked.where("shared IS NOT NULL").groupBy("node").agg(F.min(F.struct(ID, ROW)).alias("_at"))
     lists = written(
         ranked.where("shared IS NOT NULL")
