@@ -1,10 +1,13 @@
 """Stored pages of each layout, by hand."""
 
 import random
+from datetime import datetime
 
 import pytest
+from pyspark.errors import PythonException
 
 from placefold.operators.normalize import normalize_listings
+from placefold.plans import scans
 from placefold.sources import html_tree
 from placefold.sources import listing_pages as lp
 from placefold.sources.html_tree import Match, find_all, parse_html
@@ -214,3 +217,42 @@ def test_pages_of_several_sites_in_one_pass(spark):
     assert got.columns == want.columns and got.count() > 8
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+
+
+def _no_memory_for(word):
+    def parse(html):
+        if word in html:
+            raise MemoryError("none left")
+        return parse_html(html)
+
+    return parse
+
+
+def _layout_pages(spark, *names):
+    """A page of a US card for each name, as ``layout_pages`` has them; the third is of another site."""
+    card = '<div class="v-card"><a class="business-name" href="/mip/{0}">{0}</a><div class="phone">{0}</div></div>'
+    rows = [(i, "job", datetime(2026, 1, 1), f"https://{'other' if i == 3 else 'us'}.directory.example/{i}", card.format(n)) for i, n in enumerate(names, 1)]
+    return spark.createDataFrame(rows, "page_id bigint, job_id string, observed_at timestamp_ntz, url string, html string")
+
+
+def test_numbers_of_any_length_leave_a_page_whole(spark):
+    """Python refuses to read them; as in browsers, one beyond the last character shows as U+FFFD."""
+    long, zeros = "&#" + "9" * 5000, "&#" + "0" * 5000 + "65"
+    for page in (f'<a href="{long};">{zeros};b{long}</a>', f'<a x=1 href="{long};">{zeros};b{long}</a>'):
+        (link,) = parse_html(page).children
+        assert (link.text(), link.attrs["href"]) == ("Ab\ufffd", "\ufffd")
+    same = parse_html("".join(f"&#{n};" for n in ("0", "65", "065", "1114111", "1114112", "99999999", "9" * 600)))
+    assert same.text() == "\ufffdAA\ufffd\ufffd\ufffd"
+    pages = spark.createDataFrame([(1, f"<li><a href='/x'>x</a></li>{long};<li><a href='/y'>y</a></li>")], "page_id int, html string")
+    assert [r.name for r in lp.extract_listings(pages, lp.NAV_LINKS, SITE, "page_id").collect()] == ["x", "y"]
+
+
+def test_mixed_pages_are_whole_or_the_job_ends(spark, monkeypatch):
+    """A page that cannot be read is no page without listings; one that is not read cannot fail."""
+    monkeypatch.setattr(scans, "view", lambda *_: _layout_pages(spark, "a", "b &#" + "9" * 5000 + ";", "c"))
+    assert {(r.page_id, r.name) for r in scans.mixed_pages(spark, "").collect()} == {(1, "a"), (2, "b \ufffd")}
+    monkeypatch.setattr(lp, "parse_html", _no_memory_for(">c<"))
+    assert scans.mixed_pages(spark, "").count() == 2
+    monkeypatch.setattr(lp, "parse_html", _no_memory_for(">a<"))
+    with pytest.raises(PythonException, match=r"page cannot be read \(page_id 1, .*us\.directory\.example\): MemoryError: none left"):
+        scans.mixed_pages(spark, "").collect()
