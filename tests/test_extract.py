@@ -256,3 +256,12 @@ def test_mixed_pages_are_whole_or_the_job_ends(spark, monkeypatch):
     monkeypatch.setattr(lp, "parse_html", _no_memory_for(">a<"))
     with pytest.raises(PythonException, match=r"page cannot be read \(page_id 1, .*us\.directory\.example\): MemoryError: none left"):
         scans.mixed_pages(spark, "").collect()
+
+
+def test_coverage_is_of_all_pages_or_the_job_ends(spark, monkeypatch):
+    """A page that cannot be read would be missing from the counts, which show nothing of it."""
+    monkeypatch.setattr(scans, "view", lambda *_: _layout_pages(spark, "a", "b &#" + "9" * 5000 + ";", "c"))
+    assert [tuple(r) for r in scans.pages_to_coverage(spark, "").collect()] == [("job", 2, 0, 2)]
+    monkeypatch.setattr(lp, "parse_html", _no_memory_for(">a<"))
+    with pytest.raises(PythonException, match=r"page cannot be read \(page_id 1, .*job_id job, .*\): MemoryError: none left"):
+        scans.pages_to_coverage(spark, "").collect()
